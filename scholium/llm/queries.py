@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm import quality, simhash
+from scholium.llm import decontam, packing, quality, simhash, suffix
 from scholium.llm.common import read
+from scholium.llm.quality import STOP_WORDS
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,5 +41,68 @@ b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality
 SELECT *, NOT base_failed AND {within} AS kept FROM b"""
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_quality_rules": op2_quality_rules}
-SQL = {"op2_quality_rules": _op2_sql()}
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bin and offset of each piece of each document."""
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and spans that each document loses to earlier ones, and a digest of the rest."""
+    found = suffix.remove_earlier(read(spark, sf_dir, "documents"))
+    return found.select("rest.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE m < doc_id),
+new AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true) AS first FROM hit),
+run AS (SELECT doc_id, i, sum(first::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM new),
+span AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS e FROM run GROUP BY doc_id, k),
+gap AS (SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM span),
+cut AS (SELECT doc_id, sum(e - a) AS n_removed, count(*) AS n_spans, max(e) AS e, string_agg(substr(x, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS k
+        FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(k, '') || substr(x, 2 * coalesce(e, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)"""
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they hold."""
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def _op8_sql() -> str:
+    def quoted(words):
+        return ", ".join(f"'{w}'" for w in sorted(set(words)))
+
+    edges = decontam.EDGES.replace("'", "''")
+    return rf"""
+WITH x AS (SELECT 'd' AS k, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+w AS (SELECT k, id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'), lambda v: trim(v, '{edges}')), lambda v: v <> '') AS w FROM x),
+u AS (SELECT k, id, w, list_transform(w, lambda v: CASE WHEN regexp_matches(v, '{decontam.NUMBER}') THEN '<num>'
+        WHEN regexp_matches(v, '{decontam.NAME}') AND lower(v) NOT IN ({quoted(STOP_WORDS)}) THEN '<name>' ELSE lower(v) END) AS t FROM w),
+p AS (SELECT k, id, generate_subscripts(w, 1) AS i, unnest(w) AS v, unnest(t) AS t FROM u WHERE len(w) >= 5),
+q AS (SELECT k, id, i, lower(v) AS v, CASE WHEN t IN ({quoted(decontam.UNITS)}) AND lag(t) OVER (PARTITION BY k, id ORDER BY i) = '<num>' THEN '<unit>' ELSE t END AS t FROM p),
+s AS (SELECT k, id, i, t, CASE WHEN t IN ('<num>', '<unit>', '<name>') THEN v END AS slot FROM q),
+win AS (SELECT k, id, i, list(t) OVER f AS h, list(slot) OVER f AS slots, count(*) OVER f AS n FROM s WINDOW f AS (PARTITION BY k, id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+d AS (SELECT id AS doc_id, i, h, slots AS held FROM win WHERE k = 'd' AND n = 5),
+b AS (SELECT id AS item_id, i AS q, h, slots FROM win WHERE k = 'b' AND n = 5 AND len(list_filter(slots, lambda z: z IS NULL)) >= {decontam.LITERALS}),
+c AS (SELECT item_id, count(DISTINCT h) AS n_windows FROM b GROUP BY item_id),
+m AS (SELECT doc_id, item_id, i - q AS g, h, slots, held FROM d JOIN b USING (h)),
+y AS (SELECT DISTINCT doc_id, item_id, g, slots[z] AS a, held[z] AS e FROM (SELECT *, unnest(range(1, 6)) AS z FROM m) WHERE slots[z] IS NOT NULL),
+bad AS (SELECT doc_id, item_id, g FROM y GROUP BY ALL HAVING count(*) <> count(DISTINCT a) OR count(*) <> count(DISTINCT e)),
+r AS (SELECT doc_id, item_id, count(DISTINCT h) AS n_matched FROM m ANTI JOIN bad USING (doc_id, item_id, g) GROUP BY ALL)
+SELECT doc_id, item_id, n_matched, n_windows, n_matched / n_windows AS similarity FROM r JOIN c USING (item_id) WHERE n_matched >= 0.8 * n_windows"""
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_suffix_array": op4_suffix_array,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+}
+SQL = {"op2_quality_rules": _op2_sql(), "op4_suffix_array": OP4_SQL, "op8_benchmark_decontamination": _op8_sql()}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm import decontam, packing, quality, simhash, suffix
+from scholium.llm import classifier, decontam, licences, packing, quality, simhash, suffix, tokenbin, tokencount, urlfilter
 from scholium.llm.common import read
 from scholium.llm.quality import STOP_WORDS
 
@@ -98,11 +100,93 @@ r AS (SELECT doc_id, item_id, count(DISTINCT h) AS n_matched FROM m ANTI JOIN ba
 SELECT doc_id, item_id, n_matched, n_windows, n_matched / n_windows AS similarity FROM r JOIN c USING (item_id) WHERE n_matched >= 0.8 * n_windows"""
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and lines that are a known licence or notice."""
+    return licences.licence_scan(read(spark, sf_dir, "documents"))
+
+
+def _op5_sql() -> str:
+    def q(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    table: dict[str, str] = {}
+    for name, text in licences.known_licences():
+        key = licences.canonical_text(text)
+        table[key] = min(name, table.get(key, name))
+    known = ", ".join(f"({q(k)}, {q(v)})" for k, v in sorted(table.items()))
+    spelt = "plain"
+    for old, new in licences.SPELLINGS:
+        spelt = rf"regexp_replace({spelt}, '\b{old}\b', '{new}', 'g')"
+
+    return rf"""
+WITH known(canon, license) AS (VALUES {known}),
+u AS (SELECT doc_id, r, line_no, unit FROM (SELECT doc_id, r, unnest(range(0, len(ls) + 1)) AS line_no, unnest(list_prepend(t, ls)) AS unit
+      FROM (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r, regexp_split_to_array(coalesce(text, ''), '\r?\n|\r') AS ls FROM documents))),
+c AS (SELECT doc_id, r, line_no, list_filter(regexp_split_to_array(unit, '\r?\n|\r'), lambda x: NOT regexp_matches(x, {q(licences.COPYRIGHT_LINE)})) AS ls FROM u),
+p AS (SELECT doc_id, line_no, trim(regexp_replace(lower(array_to_string(ls, ' ')), '{licences.OTHER}', ' ', 'g')) AS plain FROM c)
+SELECT doc_id, CAST(line_no AS INT) AS line_no, license FROM p JOIN known ON canon = {spelt}"""
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    return urlfilter.url_filter(read(spark, sf_dir, "pages"))
+
+
+def _op6_sql() -> str:
+    ordered = sorted(urlfilter.RULES, key=lambda r: -len(r[1] + r[2]))
+
+    def fits(host: str, path: str) -> str:
+        return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in ordered)
+    verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in ordered)
+    listed = " OR ".join(f"host = '{x}' OR ends_with(host, '.{x}')" for x in urlfilter.LISTED)
+    return rf"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{urlfilter.UPPER}', '{urlfilter.LOWER}') AS host,
+           regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN {listed} THEN 'block' ELSE 'allow' END AS verdict FROM u"""
+
+
+#: Where the public tokenizers' files lie on the driver.
+TOKENIZERS = "/opt/tokenizers"
+# Fixed value: how byte_bpe_50k cuts a text before merging bytes.
+BPE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BPE_END = 50256
+
+
+def op7_training_order(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Slot, shard, byte offset and record digest of every token sequence."""
+    ranks = Path(tokenizers, "byte_bpe_50k.tiktoken").read_bytes()
+    found = tokenbin.records(tokenbin.sequences(read(spark, sf_dir, "documents"), ranks, BPE_PATTERN, BPE_END))
+    return found.select("shard", "slot", "byte_offset", "doc_id", "seq", "n_tokens", F.md5("record").alias("record_md5"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Unigram token count and score of every document."""
+    return tokencount.token_counts(read(spark, sf_dir, "documents"), tokencount.vocabulary(Path(tokenizers, "piece_bpe_32k.model").read_bytes()))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated quality score of every document."""
+    return classifier.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_suffix_array": op4_suffix_array,
+    "op5_licence_scan": op5_licence_scan,
+    "op6_url_filter": op6_url_filter,
+    "op7_training_order": op7_training_order,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_token_counts": op9_token_counts,
+    "op10_quality_classifier": op10_quality_classifier,
+}
+SQL = {
+    "op2_quality_rules": _op2_sql(),
+    "op4_suffix_array": OP4_SQL,
+    "op5_licence_scan": _op5_sql(),
+    "op6_url_filter": _op6_sql(),
+    "op8_benchmark_decontamination": _op8_sql(),
 }
-SQL = {"op2_quality_rules": _op2_sql(), "op4_suffix_array": OP4_SQL, "op8_benchmark_decontamination": _op8_sql()}

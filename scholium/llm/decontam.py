@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholium.llm.common import let, words_of
+from scholium.llm.common import cut, let, words_of
 from scholium.llm.quality import STOP_WORDS
 
 WORDS, SIMILARITY = 5, 0.8
 #: A window of a benchmark text counts only with this many words that are no placeholders.
 LITERALS = 2
-#: Windows of the benchmark that may be broadcast (24 bytes each); beyond it the join is left to a shuffle.
+#: Rows of benchmark windows or of candidate ids that may be broadcast; beyond it the join is left to a shuffle.
 BROADCAST_ROWS = 200_000
 
 EDGES = "\"'`.,;:!?()[]{}<>*#$%&|-_…«»“”‘’¿¡"
@@ -51,10 +51,16 @@ def window_hashes(templates: Column) -> Column:
 
 def _windows(rows: DataFrame, key: str) -> DataFrame:
     """(key, pos, h, slots): slots holds the lower-cased words behind the placeholders of a window, by place."""
-    named = rows.select(key, cleaned(F.col("text").cast("string")).alias("w")).select(key, "w", template(F.col("w")).alias("t"))
-    hashed = named.select(key, "w", "t", window_hashes(F.col("t")).alias("hs")).select(key, "w", "t", F.posexplode("hs").alias("pos", "h"))
-    held = F.zip_with(F.slice("t", F.col("pos") + 1, WORDS), F.slice("w", F.col("pos") + 1, WORDS), lambda t, w: F.when(t.isin("<num>", "<unit>", "<name>"), F.lower(w)))
-    return hashed.select(key, "pos", "h", held.alias("slots"))
+
+    def windows(w: Column, t: Column, hs: Column) -> Column:
+        def held(i: Column) -> Column:
+            return F.zip_with(F.slice(t, i + 1, WORDS), F.slice(w, i + 1, WORDS), lambda x, y: F.when(x.isin("<num>", "<unit>", "<name>"), F.lower(y)))
+
+        return F.transform(hs, lambda h, i: F.struct(i.alias("pos"), h.alias("h"), held(i).alias("slots")))
+
+    whole = let(cleaned(F.col("text").cast("string")), lambda w: let(template(w), lambda t: let(window_hashes(t), lambda hs: windows(w, t, hs))))
+    # Outer, as Spark would else work the windows out a second time to leave out empty arrays.
+    return rows.select(key, F.explode_outer(whole).alias("x")).where("x is not null").select(key, "x.*")
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -81,10 +87,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     small = items.count() <= BROADCAST_ROWS
     near = F.broadcast if small else (lambda x: x)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    hashes = docs.select("doc_id", F.explode(window_hashes(template(cleaned(F.col("text"))))).alias("h"))
+    hashes = docs.select("doc_id", F.explode_outer(window_hashes(template(cleaned(F.col("text"))))).alias("h"))
     counted = hashes.join(near(keys), "h").groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("h").alias("n"))
-    candidates = counted.where(F.col("n") >= similarity * F.col("n_windows")).select("doc_id").distinct()
-    found = _windows(docs.join(candidates, "doc_id", "left_semi"), "doc_id").withColumnRenamed("slots", "held").join(near(items), "h").withColumn("diagonal", F.col("pos") - F.col("q"))
+    candidates = cut(counted.where(F.col("n") >= similarity * F.col("n_windows")).select("doc_id").distinct())
+    few = F.broadcast if candidates.count() <= BROADCAST_ROWS else (lambda x: x)
+    found = _windows(docs.join(few(candidates), "doc_id", "left_semi"), "doc_id").withColumnRenamed("slots", "held").join(near(items), "h").withColumn("diagonal", F.col("pos") - F.col("q"))
     group = ["doc_id", "item_id", "diagonal"]
     pairs = found.select(*group, F.explode_outer(F.array_distinct(F.filter(F.arrays_zip(F.col("slots").alias("slots"), F.col("held").alias("held")), lambda p: p["slots"].isNotNull()))).alias("p")).distinct()
     sound = pairs.groupBy(group).agg(F.count("p").alias("n"), F.count_distinct("p.slots").alias("a"), F.count_distinct("p.held").alias("b")).where("n = a and n = b").select(group)

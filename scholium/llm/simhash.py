@@ -173,7 +173,7 @@ def links(classes: DataFrame, leaf: int = LEAF) -> DataFrame:
     node = ["block", "na", "nb", "depth"]
     done = None
     for _ in range(64 // STEP + 1):
-        hot = rows.groupBy(node).count().where(F.col("count") > leaf).drop("count")
+        hot = rows.where(F.col("depth") + STEP <= 64).groupBy(node).count().where(F.col("count") > leaf).drop("count")
         if hot.isEmpty():
             break
         hot = cut(hot)

@@ -56,7 +56,8 @@ def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM d)),
+c AS (SELECT doc_id, b, substr(x, 2 * b + 1, 2 * (256 + 49)) AS y FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49, 256)) AS b FROM d)),
+w AS (SELECT doc_id, b + j AS i, substr(y, 2 * j + 1, 100) AS s FROM (SELECT doc_id, b, y, unnest(range(0, length(y) // 2 - 49)) AS j FROM c)),
 f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
 hit AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE m < doc_id),
 new AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true) AS first FROM hit),

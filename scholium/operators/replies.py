@@ -158,13 +158,13 @@ def theme_reply(raw: Column, known_ids: Column, evidence: Column) -> Column:
     """struct(consensus, contradictions, gaps) with ids kept that the evidence has. Without evidence one gap of high
     priority, without a JSON object one of low priority."""
     clean = unfenced(raw)
-    kind = "consensus array<struct<statement:string,strength:string,evidence_chunk_ids:array<string>>>, contradictions array<struct<point:string,study_a:string,study_b:string,evidence_chunk_ids:array<string>>>, gaps " + GAP
+    kind = "consensus_points array<struct<statement:string,strength:string,evidence_chunk_ids:array<string>>>, contradictions array<struct<point:string,study_a:string,study_b:string,evidence_chunk_ids:array<string>>>, knowledge_gaps " + GAP
     parsed = F.from_json(F.when(clean.startswith("{"), F.when(_json(clean).isNotNull(), clean)), kind)
     keep = lambda ids: F.filter(F.coalesce(ids, F.array().cast("array<string>")), lambda i: F.array_contains(known_ids, i))
-    consensus = F.transform(F.coalesce(parsed["consensus"], F.array().cast("array<struct<statement:string,strength:string,evidence_chunk_ids:array<string>>>")), lambda c: F.struct(c["statement"].alias("statement"), c["strength"].alias("strength"), keep(c["evidence_chunk_ids"]).alias("ids")))
+    consensus = F.transform(F.coalesce(parsed["consensus_points"], F.array().cast("array<struct<statement:string,strength:string,evidence_chunk_ids:array<string>>>")), lambda c: F.struct(c["statement"].alias("statement"), c["strength"].alias("strength"), keep(c["evidence_chunk_ids"]).alias("ids")))
     against = F.transform(F.coalesce(parsed["contradictions"], F.array().cast("array<struct<point:string,study_a:string,study_b:string,evidence_chunk_ids:array<string>>>")), lambda c: F.struct(c["point"].alias("point"), c["study_a"].alias("study_a"), c["study_b"].alias("study_b"), keep(c["evidence_chunk_ids"]).alias("ids")))
     gap = lambda text, priority: F.array(F.struct(F.lit(text).alias("description"), F.lit(priority).alias("priority"), F.lit("").alias("suggested_approach")))
-    gaps = F.when(evidence == 0, gap("No evidence for this theme.", "high")).when(parsed.isNull(), gap("The synthesis could not be read.", "low")).otherwise(F.coalesce(parsed["gaps"], F.array().cast(GAP)))
+    gaps = F.when(evidence == 0, gap("No evidence for this theme.", "high")).when(parsed.isNull(), gap("The synthesis could not be read.", "low")).otherwise(F.coalesce(parsed["knowledge_gaps"], F.array().cast(GAP)))
     empty = lambda xs: F.when((evidence == 0) | parsed.isNull(), F.slice(xs, 1, 0)).otherwise(xs)
     return F.struct(empty(consensus).alias("consensus"), empty(against).alias("contradictions"), gaps.alias("gaps"))
 
@@ -189,3 +189,18 @@ def table_reply(raw: Column) -> Column:
     v = lenient_object(raw)
     spec = F.from_json(F.to_json(v), "caption string, columns array<string>, rows array<map<string,string>>")
     return F.when((F.size(spec["columns"]) > 0) & (F.size(spec["rows"]) > 0), spec)
+
+
+def relevance_reply(raw: Column, least: float = 0.6) -> Column:
+    """struct(verdict, confidence, brief) of a relevance judge's reply: verdict is kept, irrelevant, low_confidence or
+    unreadable; brief lists claim, method, findings and reason."""
+    v = lenient_object(raw)
+    conf = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(_field(v, "$.confidence", "double"), F.lit(1.0))))
+    part = lambda k, other: F.coalesce(F.nullif(T.strip(T.text_or_empty(_field(v, f"$.{k}"))), F.lit("")), F.lit(other))
+    brief = F.concat(
+        F.lit("- Claim: "), part("claim", "Not specified"), F.lit("\n- Method: "), part("method", "Not specified"), F.lit("\n- Findings: "), part("findings", "Not specified"),
+        F.lit("\n- Relevance: "), part("why", "Relevant to section scope"), F.lit("\n- Judge confidence: "), F.format_string("%.2f", conf),
+    )
+    relevant = F.coalesce(_field(v, "$.is_relevant", "boolean"), F.lit(False))
+    verdict = F.when(v.isNull(), "unreadable").when(~relevant, "irrelevant").when(conf < least, "low_confidence").otherwise("kept")
+    return F.struct(verdict.alias("verdict"), conf.alias("confidence"), brief.alias("brief"))

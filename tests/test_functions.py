@@ -66,7 +66,11 @@ def cases():
         "table_bad": (replies.table_reply(S("none")), None),
         "theme_bad": (replies.theme_reply(S("bad"), F.array(S("c1")), S(3))["gaps"][0]["priority"], "low"),
         "theme_empty": (replies.theme_reply(S("{}"), F.array(S("c1")), S(0))["gaps"][0]["priority"], "high"),
-        "theme_ids": (replies.theme_reply(S('{"consensus": [{"statement": "s", "strength": "x", "evidence_chunk_ids": ["c1", "c9"]}]}'), F.array(S("c1")), S(1))["consensus"][0]["ids"], ["c1"]),
+        "theme_ids": (replies.theme_reply(S('{"consensus_points": [{"statement": "s", "strength": "x", "evidence_chunk_ids": ["c1", "c9"]}]}'), F.array(S("c1")), S(1))["consensus"][0]["ids"], ["c1"]),
+        "relevance_kept": (replies.relevance_reply(S('{"is_relevant": true, "confidence": 0.9, "claim": "c"}'))["verdict"], "kept"),
+        "relevance_low": (replies.relevance_reply(S('Ok {"is_relevant": true, "confidence": 0.5} end'))["verdict"], "low_confidence"),
+        "relevance_out": (replies.relevance_reply(S('{"is_relevant": false}'))["verdict"], "irrelevant"),
+        "relevance_bad": (replies.relevance_reply(S("yes"))["verdict"], "unreadable"),
         "critical_bad": (replies.critical_reply(S("hm")), ("hm", "média")),
         "review_bad": (replies.review_reply(S("hm"), S(False)), 7.0),
         "review_empty": (replies.review_reply(S(""), S(True)), 10.0),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholium.functions import text as T
-from scholium.operators import chunk, coverage, dedup, gate, markdown, meta, profile, replies, routing, scope, screening, sections, studies
+from scholium.operators import chunk, coverage, dedup, gate, markdown, meta, profile, replies, routing, scope, screening, sections, studies, synthesis
 from scholium.plans import analysis, harness, oracle
 from scholium.sources import outline
 
@@ -397,6 +397,53 @@ def rob_replies(spark, sf):
     return parsed.select("doc_id", F.size("d").alias("n_domains"), meta.overall_rating(F.col("d")).alias("overall_rating"))
 
 
+@query
+def rewrites_by_position(spark, sf):
+    """The texts of even conversations come back with a word in front, those of every third one short of a turn."""
+    rows = _read(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("body")).select(F.col("conv_id").alias("chapter"), F.col("turn").alias("place"), F.lit("h").alias("heading"), "body")
+    back = rows.where("chapter % 2 = 0 and not (chapter % 3 = 0 and place = 0)").select("chapter", "place", F.concat(F.lit("new "), "body").alias("body"))
+    return synthesis.take_rewrites(rows, back).select("chapter", "place", F.md5("body").alias("body_md5"))
+
+
+@query
+def chapter_questions(spark, sf):
+    """Roles as chapters, the first words of their first turns as questions."""
+    rows = _read(spark, sf, "conversations").select("role", F.struct((F.col("conv_id") * 1000 + F.col("turn")).alias("section_pos"), F.slice(T.words(F.col("text")), 1, 2).alias("q")).alias("x"))
+    rows = rows.select(F.col("role").alias("parent"), F.col("x.section_pos").alias("section_pos"), F.col("x.q").alias("research_questions")).where("section_pos % 1000 < 2 and section_pos < 50000")
+    return synthesis.chapter_questions(rows).select("parent", F.md5(F.array_join("questions", " ")).alias("questions_md5"))
+
+
+def _maps(spark, sf):
+    """Theme replies made of labels: some broken, some with ids that the evidence does not have."""
+    rows = _read(spark, sf, "labels")
+    body = F.concat(F.lit('{"consensus_points": [{"statement": "s", "strength": "x", "evidence_chunk_ids": ["c'), (F.col("doc_id") % 4).cast("string"), F.lit('", "c9"]}], "contradictions": ['), F.when(F.col("quality") == 0, '{"point": "p", "evidence_chunk_ids": ["c1"]}').otherwise(""), F.lit('], "knowledge_gaps": [{"description": "d", "priority": "low"}]}'))
+    raw = F.when(F.col("doc_id") % 5 == 0, "broken").otherwise(body)
+    known = F.array(F.lit("c1"), F.lit("c2"))
+    return rows.select(F.col("doc_id").cast("string").alias("theme"), replies.theme_reply(raw, known, F.when(F.col("doc_id") % 7 == 0, 0).otherwise(2)).alias("m")).select("theme", "m.*")
+
+
+@query
+def theme_replies(spark, sf):
+    """What is left of each map, and whether every point names a chunk."""
+    maps = _maps(spark, sf)
+    return maps.select("theme", F.size("consensus").alias("n_consensus"), F.size("contradictions").alias("n_contradictions"), F.get("gaps", F.lit(0))["priority"].alias("first_priority"), sections.grounded(F.col("consensus"), F.col("contradictions")).alias("grounded"))
+
+
+@query
+def theme_totals(spark, sf):
+    """D16."""
+    return synthesis.theme_totals(_maps(spark, sf))
+
+
+@query
+def relevance_replies(spark, sf):
+    """Verdicts of the relevance judge."""
+    rows = _read(spark, sf, "labels")
+    body = F.concat(F.lit('{"is_relevant": '), F.when(F.col("quality") == 1, "true").otherwise("false"), F.lit(', "confidence": 0.'), (F.col("doc_id") % 10).cast("string"), F.lit(', "claim": "c \\p"}'))
+    raw = F.when(F.col("doc_id") % 3 == 0, body).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Here: "), body)).otherwise("none")
+    return rows.select("doc_id", replies.relevance_reply(raw)["verdict"].alias("verdict"))
+
+
 @query
 def page_titles(spark, sf):
     """A12's kind of extraction: title and paragraphs of raw pages."""

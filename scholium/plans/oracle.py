@@ -239,6 +239,8 @@ decided AS (SELECT pos, pmid, CASE WHEN exc AND NOT inc THEN 'exclude' WHEN sc >
     claim = lambda c: f"CASE WHEN regexp_matches({c}, {q('(?i)' + lexicon.QUANTITY)}) THEN 'quant' WHEN regexp_matches({c}, {q('(?i)' + lexicon.COMPARISON)}) THEN 'qual' END"
     author, plain = "áàâãäåāăąçćčďéèêëēėęěíìîïīįłñńňóòôõöøōőŕřśšşťțúùûüūůűųýÿžźż", "aaaaaaaaacccdeeeeeeeeiiiiiilnnnoooooooorrsssttuuuuuuuuyyzzz"
     meta_w = f"pow((ci_upper - ci_lower) / (2 * {H.Z95}), -2)"
+    maps = """WITH maps AS (SELECT CAST(doc_id AS VARCHAR) AS theme, CAST(CASE WHEN none OR bad THEN 0 ELSE 1 END AS INTEGER) AS c, CAST(CASE WHEN none OR bad OR quality <> 0 THEN 0 ELSE 1 END AS INTEGER) AS a,
+        CASE WHEN none THEN 'high' ELSE 'low' END AS first_priority, none OR bad OR doc_id % 4 IN (1, 2) AS g FROM (SELECT *, doc_id % 7 = 0 AS none, doc_id % 5 = 0 AS bad FROM labels))"""
     out = {
         "studies_view": f"WITH {STUDIES} SELECT pos, pmid, title, abstract, authors FROM studies",
         "exact_title_dedup": f"WITH {STUDIES}, {FIRST_TITLES} SELECT pos, pmid FROM titled",
@@ -322,6 +324,14 @@ decided AS (SELECT pos, pmid, CASE WHEN exc AND NOT inc THEN 'exclude' WHEN sc >
             r AS (SELECT *, row_number() OVER (ORDER BY CASE lower(priority) WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, pos) AS rank FROM f) SELECT pos, description, priority, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 30""",
         "screening_replies": f"""SELECT doc_id, CASE WHEN doc_id % 4 = 3 OR quality <> 1 THEN 'exclude' ELSE 'include' END AS decision, CASE WHEN doc_id % 4 = 3 THEN 0.5 ELSE {conf} END AS confidence, CASE WHEN doc_id % 4 = 3 THEN 'I cannot say' ELSE 'because' END AS justification FROM labels""",
         "rob_replies": "SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 2 THEN 5 ELSE 1 END AS INTEGER) AS n_domains, CASE WHEN doc_id % 3 = 2 THEN 'moderate' WHEN quality = 1 THEN 'low' ELSE 'high' END AS overall_rating FROM labels",
+        "rewrites_by_position": r"""WITH o AS (SELECT conv_id AS chapter, turn AS place, min(text) AS body FROM conversations GROUP BY ALL), b AS (SELECT * FROM o WHERE chapter % 2 = 0 AND NOT (chapter % 3 = 0 AND place = 0)),
+            r AS (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY place) AS r, count(*) OVER (PARTITION BY chapter) AS n FROM o), s AS (SELECT chapter, body AS back, row_number() OVER (PARTITION BY chapter ORDER BY place) AS r, count(*) OVER (PARTITION BY chapter) AS m FROM b)
+            SELECT chapter, place, md5(CASE WHEN n = m AND n >= 2 AND len(list_filter(regexp_split_to_array(body, '\s+'), lambda w: w <> '')) >= 20 THEN 'new ' || back ELSE body END) AS body_md5 FROM r LEFT JOIN s USING (chapter, r)""",
+        "chapter_questions": r"""WITH x AS (SELECT role, conv_id * 1000 + turn AS p, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:2] AS q FROM conversations WHERE turn < 2 AND conv_id < 50)
+            SELECT role AS parent, md5(array_to_string(flatten(list(q ORDER BY p, q)), ' ')) AS questions_md5 FROM x GROUP BY role""",
+        "theme_replies": f"""{maps} SELECT theme, c AS n_consensus, a AS n_contradictions, first_priority, g AS grounded FROM maps""",
+        "theme_totals": f"""{maps} SELECT count(*) AS themes, CAST(sum(c) AS BIGINT) AS total_consensus, CAST(sum(a) AS BIGINT) AS total_contradictions, count(*) AS total_gaps FROM maps""",
+        "relevance_replies": "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'unreadable' WHEN quality <> 1 THEN 'irrelevant' WHEN doc_id % 10 < 6 THEN 'low_confidence' ELSE 'kept' END AS verdict FROM labels",
         "page_titles": r"""SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<p[ >]')) AS INTEGER) AS n_paragraphs, CAST(len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS INTEGER) AS n_links FROM pages""",
         "event_windows": "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
     }

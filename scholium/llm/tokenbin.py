@@ -6,6 +6,7 @@ import base64
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -63,8 +64,9 @@ def sequences(docs: DataFrame, ranks: bytes, pattern: str, end: int, length: int
     permutation, so the order depends on the key and the rows alone. Null and empty texts give the end id only; a
     null doc_id comes first; repeated rows have sequences each; no rows give no rows; other columns are ignored.
 
-    Token ids are written once; ids and numbers alone are sorted to number the sequences, and of that only a count
-    for each partition reaches the driver.
+    Texts are dealt by ranges of doc_id once, so that the order of partitions and rows is the numbering; token ids are
+    then written, and only a count for each partition reaches the driver. Slots are worked out from a row's place
+    alone, without a join.
     """
     spark = docs.sparkSession
     file = spark.sparkContext.broadcast((ranks, pattern))
@@ -83,24 +85,22 @@ def sequences(docs: DataFrame, ranks: bytes, pattern: str, end: int, length: int
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["doc_id", "seq", "n_tokens", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encoded, "doc_id long, seq int, n_tokens int, ids binary")
-    rows = spill(rows.withColumn("at", F.monotonically_increasing_id()))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranked = rows.select("doc_id", "seq", "at").repartitionByRange(parts, "doc_id", "seq", "at").sortWithinPartitions("doc_id", "seq", "at")
-    ranked = spill(ranked.select("at", F.monotonically_increasing_id().alias("rank")))
-    counts = {r["p"]: r["n"] for r in ranked.groupBy(F.shiftright("rank", 33).alias("p")).agg(F.count("*").alias("n")).collect()}
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = dealt.mapInArrow(encoded, "doc_id long, seq int, n_tokens int, ids binary")
+    rows = spill(rows.withColumn("at", F.monotonically_increasing_id()))  # partition << 33 | row
+    counts = {r["p"]: r["n"] for r in rows.groupBy(F.shiftright("at", 33).alias("p")).agg(F.count("*").alias("n")).collect()}
     base, total = {}, 0
     for p in sorted(counts):
         base[p], total = total, total + counts[p]
 
-    def slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rank = batch.column(1).to_numpy()
-            first = np.array([base[p] for p in (rank >> 33).tolist()], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(feistel(first + (rank & (1 << 33) - 1), total, key))], ["at", "slot"])
+    @F.pandas_udf("long")
+    def slot(at: pd.Series) -> pd.Series:
+        place = at.to_numpy()
+        first = np.array([base[p] for p in (place >> 33).tolist()], dtype=np.int64)
+        return pd.Series(feistel(first + (place & (1 << 33) - 1), total, key))
 
-    slots = ranked.mapInArrow(slotted, "at long, slot long")
-    return rows.join(slots, "at").select("slot", "doc_id", "seq", "n_tokens", "ids")
+    return rows.select(slot("at").alias("slot"), "doc_id", "seq", "n_tokens", "ids")
 
 
 def records(found: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:

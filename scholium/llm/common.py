@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space as Java and DuckDB patterns both read it; what lies between is a word.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Spark's own setting that shuffle files go at the end of a query.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,13 +43,24 @@ def words_of(text: Column) -> Column:
 
 
 def spill(df: DataFrame) -> DataFrame:
-    """Like cut(), but as a compressed table in the same folder; the shuffle files of what led to df can then go."""
+    """Like cut(), but as a compressed table in the same folder; the shuffle files of what led to df go as soon as it stands."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     schema = df.schema
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table.spilled_to = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Removes a table of spill() once everything that was made of it is written itself."""
+    sc = table.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(table.spilled_to)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

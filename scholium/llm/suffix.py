@@ -1,7 +1,7 @@
 """Removal of byte strings that an earlier document holds, by longest-previous-factor arrays.
 
 A text of any size is never compared with another directly. Every 50-byte window picks the least hash of the
-18-byte strings in it, its anchor; equal windows pick equal anchors. Only windows whose anchor lies in two or
+24-byte strings in it, its anchor; equal windows pick equal anchors. Only windows whose anchor lies in two or
 more documents are looked at, grouped by anchor, and each bounded group gets a suffix array: the previous and
 next smaller document in suffix order tell whether an earlier match of at least 50 bytes exists.
 """
@@ -16,13 +16,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholium.llm.common import spill
+from scholium.llm.common import discard, spill
 
 #: Bytes of a match, of an anchor, and the anchors' starts in a window.
-MATCH, GRAM = 50, 18
+MATCH, GRAM = 50, 24
 WINDOW = MATCH - GRAM + 1
-#: Anchors with more occurrences are compared window by window with a grouped minimum instead of in one task.
-HOT = 2000
+#: Anchors with more occurrences are compared by grouped minima instead of in one task.
+HOT = 20_000
 #: Bytes of text that are hashed or sorted at once.
 PIECE, BLOCK = 1 << 16, 1 << 20
 _POS = np.uint64((1 << 18) - 1)
@@ -38,8 +38,7 @@ def _grams(buf: np.ndarray) -> np.ndarray:
         h2 = h1[:-1] * _P + h1[1:]
         h4 = h2[:-2] * p2 + h2[2:]
         h8 = h4[:-4] * p4 + h4[4:]
-        h16 = h8[:-8] * p8 + h8[8:]
-        h = h16[:-2] * p2 + h2[16:]
+        h = (h8[:-8] * p8 + h8[8:])[:-8] * p8 + h8[16:]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
@@ -58,7 +57,7 @@ def anchor_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np
         n = len(buf) - MATCH + 1
         h = _grams(buf)
         least = (h & ~_POS) | np.arange(len(h), dtype=np.uint64)
-        for step in (1, 2, 4, 8, 16, 1):  # the least of 2, 4, 8, 16, 32 and 33
+        for step in (1, 2, 4, 8, 11):  # the least of 2, 4, 8, 16 and then 27
             least = np.minimum(least[:-step], least[step:])
         pick = (least[:n] & _POS).astype(np.int64)
         part = np.repeat(np.arange(len(parts)), np.maximum(sizes - MATCH + 1, 0))
@@ -69,7 +68,7 @@ def anchor_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np
         first = np.flatnonzero(new)
         last = np.concatenate((first[1:], [len(pick)])) - 1
         number, offset = np.array([x[0] for x in parts])[part[first]], np.array([x[1] for x in parts])[part[first]]
-        return number, starts[first] + offset, starts[last] + offset, h[pick[first]].view(np.int64)
+        return number, starts[first] + offset, starts[last] + offset, (h[pick[first]] >> np.uint64(16)).view(np.int64)
 
     for k, text in enumerate(texts):
         for at in range(0, max(len(text) - MATCH + 1, 0), PIECE):
@@ -93,11 +92,11 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[number])], ["h", "doc"])
 
 
-_SEGMENT = "h long, doc long, row long, start int, seg binary, hot boolean"
+_RUN = "h long, sd long, doc long, row long, start int, end int, hot boolean"
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, row, text, shared anchors) -> the bytes under each run of a shared anchor, or each window of a hot one."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, row, text, shared anchors) -> place and digest of the bytes under each run of a shared anchor."""
     for batch in batches:
         ids, rows, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _texts(batch.column(2))
         shared = batch.column(3)
@@ -108,31 +107,63 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
             order = np.argsort(hashes[lo:hi])
             lists.append((hashes[lo:hi][order], hot[lo:hi][order]))
-        out: list[list] = [[] for _ in range(6)]
-        held = 0
         for number, first, last, h in anchor_runs(texts):
-            for k in np.unique(number).tolist():
-                own = number == k
-                known, is_hot = lists[k]
-                at = np.minimum(np.searchsorted(known, h[own]), max(len(known) - 1, 0))
-                found = known[at] == h[own] if len(known) else np.zeros(len(at), bool)
-                text, doc, row = texts[k], int(ids[k]), int(rows[k])
-                for a, b, x, many in zip(first[own][found].tolist(), last[own][found].tolist(), h[own][found].tolist(), is_hot[at[found]].tolist() if len(known) else []):
-                    segments = [(i, xxhash.xxh3_128_digest(text[i : i + MATCH])) for i in range(a, b + 1)] if many else [(a, text[a : b + MATCH])]
-                    for i, seg in segments:
-                        for c, v in zip(out, (x, doc, row, i, seg, many)):
-                            c.append(v)
-                        held += len(seg) + 64
-            if held > BLOCK:
-                yield _batch(out)
-                out, held = [[] for _ in range(6)], 0
-        if held:
-            yield _batch(out)
-
-
-def _batch(out: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["h", "doc", "row", "start", "seg", "hot"])
+            cuts = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1], [True])))
+            found, is_hot = np.zeros(len(h), bool), np.zeros(len(h), bool)
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                known, many = lists[number[lo]]
+                at = np.minimum(np.searchsorted(known, h[lo:hi]), len(known) - 1)
+                found[lo:hi], is_hot[lo:hi] = known[at] == h[lo:hi], many[at]
+            if found.any():
+                number, first, end, h, is_hot = number[found], first[found], last[found] + MATCH, h[found], is_hot[found]
+                digest = np.fromiter((xxhash.xxh3_64_intdigest(texts[k][i:j]) for k, i, j in zip(number.tolist(), first.tolist(), end.tolist())), dtype=np.uint64, count=len(h))
+                columns = [pa.array(h), pa.array(digest.view(np.int64)), pa.array(ids[number]), pa.array(rows[number]), pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(is_hot)]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "sd", "doc", "row", "start", "end", "hot"])
+
+
+_JUDGED = "h long, doc long, row long, start int, end int, open boolean"
+
+
+def _judge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, sd, doc, row, start, end), sorted -> those that a smaller document has whole, and, open, those of anchors
+    with unlike runs that none has whole; the others lose nothing."""
+
+    def judged(cols: list[np.ndarray]) -> pa.RecordBatch:
+        h, sd, doc, row, start, end = cols
+        new_h = np.concatenate(([True], h[1:] != h[:-1]))
+        new = new_h | np.concatenate(([True], sd[1:] != sd[:-1]))
+        least = doc[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+        group = np.cumsum(new_h) - 1
+        several = np.bincount(group, weights=new)[group] > 1
+        late = doc > least
+        keep = late | several
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, doc, row, start, end, ~late)], ["h", "doc", "row", "start", "end", "open"])
+
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+        whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+        if whole:
+            yield judged([c[:whole] for c in held])
+            held = [c[whole:] for c in held]
+    if held is not None and len(held[0]):
+        yield judged(held)
+
+
+def _cutouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, row, text, open runs) -> the bytes under each of them."""
+    for batch in batches:
+        texts, runs = _texts(batch.column(2)), batch.column(3)
+        flat, ends = runs.flatten(), runs.offsets.to_numpy()
+        ends = ends - ends[0]
+        number = np.repeat(np.arange(len(texts)), np.diff(ends))
+        h, start, end, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+        for at in range(0, len(number), 1 << 14):
+            part = slice(at, at + (1 << 14))
+            segs = [texts[k][i:j] for k, i, j in zip(number[part].tolist(), start[part].tolist(), end[part].tolist())]
+            columns = [pa.array(h[part]), batch.column(0).take(pa.array(number[part])), batch.column(1).take(pa.array(number[part])), pa.array(start[part]), pa.array(segs, pa.binary()), pa.array(hot[part])]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "doc", "row", "start", "seg", "hot"])
 
 
 def earlier_windows(segments: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
@@ -217,26 +248,49 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(rows)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc: doc_id, null before all others. row: tells rows of one doc_id with unlike texts apart."""
+def _keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc: doc_id, null before all others. row: tells rows of one doc_id with unlike texts apart, 0 if ids are unique."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    unique = docs.select(key.alias("doc")).groupBy("doc").count().where("count > 1").isEmpty()
+    rest = [F.struct(*keep).alias("rest")] if keep else []
+    return docs.select(key.alias("doc"), (F.lit(0).cast("long") if unique else F.xxhash64(text)).alias("row"), text.alias("text"), *rest)
+
 
+def removed_spans(keyed: DataFrame, hot: int = HOT) -> DataFrame:
+    """(doc, row, spans): for each document of keyed(doc, row, text) that loses bytes, spans (start, end) that cover them.
 
-def removed_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """(doc, row, spans): for each document that loses bytes, spans (start, end) that together cover them."""
-    keyed = _keyed(docs)
+    Each step is written before the next begins, so that its shuffle files and the tables before it can go.
+    """
+    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     anchors = keyed.select("doc", "text").mapInArrow(_anchors, "h long, doc long")
-    shared = anchors.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("h", (F.col("n") > hot).alias("hot"))
-    lists = anchors.join(shared, "h").groupBy("doc").agg(F.collect_set(F.struct("h", "hot")).alias("hs"))
-    segments = spill(keyed.join(lists, "doc").select("doc", "row", "text", "hs").mapInArrow(_segments, _SEGMENT))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cold = segments.where("not hot").select("h", "doc", "row", "start", "seg").repartition(n, "h").sortWithinPartitions("h")
+    shared = spill(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("hot")))
+    lists = spill(anchors.join(shared, "h").groupBy("doc").agg(F.collect_set(F.struct("h", "hot")).alias("hs")))
+    discard(shared)
+    runs = spill(keyed.join(lists, "doc").select("doc", "row", "text", "hs").mapInArrow(_runs, _RUN))
+    discard(lists)
+    few = runs.where("not hot").select("h", "sd", "doc", "row", "start", "end").repartition(n, "h").sortWithinPartitions("h", "sd", "doc").mapInArrow(_judge_runs, _JUDGED)
+    many = runs.where("hot")
+    least = many.groupBy("h", "sd").agg(F.min("doc").alias("first"))
+    many = many.join(least, ["h", "sd"]).select("h", "doc", "row", "start", "end", (F.col("doc") == F.col("first")).alias("open"))
+    judged = spill(few.select("*", F.lit(False).alias("hot")).unionAll(many.select("*", F.lit(True).alias("hot"))))
+    discard(runs)
+    asked = judged.where("open").groupBy("doc", "row").agg(F.collect_set(F.struct("h", "start", "end", "hot")).alias("runs"))
+    parts = spill(keyed.join(asked, ["doc", "row"]).select("doc", "row", "text", "runs").mapInArrow(_cutouts, "h long, doc long, row long, start int, seg binary, hot boolean"))
+    cold = parts.where("not hot").select("h", "doc", "row", "start", "seg").repartition(n, "h").sortWithinPartitions("h")
     spans = cold.mapInArrow(_spans, "doc long, row long, start int, end int")
-    windows = segments.where("hot").select("seg", "doc", "row", "start")
-    least = windows.groupBy("seg").agg(F.min("doc").alias("first"))
-    late = windows.join(least, "seg").where("doc > first").select("doc", "row", "start", (F.col("start") + MATCH).alias("end"))
-    return spans.unionAll(late).groupBy("doc", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    whole = judged.where("not open").select("doc", "row", "start", "end")
+    found = spill(whole.unionAll(spans).unionAll(window_spans(parts.where("hot"))).groupBy("doc", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+    discard(judged), discard(parts)
+    return found
+
+
+def window_spans(parts: DataFrame) -> DataFrame:
+    """Removed spans (doc, row, start, end): each window of parts(doc, row, start, seg) that a smaller document has."""
+    at = F.explode(F.sequence(F.lit(0), F.length("seg") - MATCH)).alias("i")
+    windows = parts.select("doc", "row", "start", "seg", at).select("doc", "row", (F.col("start") + F.col("i")).alias("start"), F.substr("seg", F.col("i") + 1, F.lit(MATCH)).alias("w"))
+    least = windows.groupBy("w").agg(F.min("doc").alias("first"))
+    return windows.join(least, "w").where("doc > first").select("doc", "row", "start", (F.col("start") + MATCH).alias("end"))
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,13 +327,12 @@ def remove_earlier(docs: DataFrame, hot: int = HOT, keep: tuple[str, ...] = ("do
     nothing; a null doc_id comes before all others; rows with one doc_id never remove each other's bytes; no
     rows give no rows; other columns are ignored, whatever their names.
 
-    Two passes shuffle anchors (about one 8-byte hash per 17 bytes), one joins whole texts with their shared
-    anchors, one with their spans. Groups of an anchor over `hot` occurrences are compared as 50-byte windows by
-    a grouped minimum and a join, both of which Spark can split.
+    Two passes shuffle anchors (about one 6-byte hash per 14 bytes); whole texts are joined with their shared anchors,
+    then with their open runs, then with their spans, and what a step needed goes before the next. Groups of an anchor over `hot` occurrences are compared by grouped
+    minima and joins, which Spark can split.
     """
-    spans = removed_spans(docs, hot)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"), F.struct(*keep).alias("rest"))
+    keyed = _keyed(docs, keep)
+    spans = removed_spans(keyed.drop("rest"), hot)
     joined = keyed.join(spans, ["doc", "row"], "left").select("text", "spans", "rest")
     kind = keyed.schema["rest"].dataType.simpleString()
     return joined.mapInArrow(_apply, f"kept binary, n_bytes long, n_removed long, n_spans long, rest {kind}")

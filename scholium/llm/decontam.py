@@ -49,6 +49,18 @@ def window_hashes(templates: Column) -> Column:
     return let(F.transform(templates, lambda t: F.xxhash64(t)), lambda h1: F.when(F.size(h1) < WORDS, F.array().cast("array<bigint>")).otherwise(windows(h1)))
 
 
+def folded(words: Column) -> Column:
+    """Each word in lower case; ß as ss, its upper case."""
+    return F.transform(words, lambda w: F.replace(F.lower(w), F.lit("ß"), F.lit("ss")))
+
+
+def literal_windows(benchmark: DataFrame) -> DataFrame:
+    """(h, item_id, n_windows) of the unlike windows of plain words."""
+    hashes = F.array_distinct(window_hashes(folded(cleaned(F.col("text").cast("string")))))
+    rows = benchmark.where("item_id is not null").select("item_id", F.explode_outer(hashes).alias("h")).where("h is not null").distinct()
+    return rows.join(rows.groupBy("item_id").agg(F.count("*").alias("n_windows")), "item_id").select("h", "item_id", "n_windows")
+
+
 def _windows(rows: DataFrame, key: str) -> DataFrame:
     """(key, pos, h, slots): slots holds the lower-cased words behind the placeholders of a window, by place."""
 
@@ -71,33 +83,40 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, item_id, n_matched, n_windows, similarity): documents that hold a benchmark text or a re-parameterised one.
+    """(doc_id, item_id, n_matched, n_windows, similarity): documents that hold a benchmark text, in any case, or a re-parameterised one.
 
     Texts become templates of typed placeholders; windows of five template words of docs(doc_id, text, ...) are
     hash-joined to those of benchmark(item_id, text, ...). Matches on one diagonal (one copy of the item) count if
     their slots are consistent: each value of the item stands for one value of the document, and the other way
-    round. A pair is returned if `similarity` of the item's unlike windows are matched by such diagonals. Null
-    texts are empty; texts under five words and items without a window of two literal words match nothing; null
-    ids are left out; rows of one doc_id are judged together; empty tables give no rows; other columns are ignored.
+    round. A pair is returned if `similarity` of the item's unlike windows are matched by such diagonals, or else if
+    as many of its unlike windows of plain words are found whatever their case, as a text in other case gets other
+    placeholders; the counts are those of the templates where these suffice. Null texts are empty; texts under five
+    words match nothing, and items without a window of two literal words only as plain words; null ids are left
+    out; rows of one doc_id are judged together; empty tables give no rows; other columns are ignored.
 
     The first join reads each text once and shuffles matches only; the second looks at candidate documents alone.
     """
     items = benchmark_windows(benchmark)
-    keys = items.select("h", "item_id", "n_windows").distinct()
-    small = items.count() <= BROADCAST_ROWS
+    plain = literal_windows(benchmark).withColumn("by", F.lit("plain"))
+    keys = items.select("h", "item_id", "n_windows").distinct().withColumn("by", F.lit("template")).unionByName(plain)
+    small = items.count() + plain.count() <= BROADCAST_ROWS
     near = F.broadcast if small else (lambda x: x)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    hashes = docs.select("doc_id", F.explode_outer(window_hashes(template(cleaned(F.col("text"))))).alias("h"))
-    counted = hashes.join(near(keys), "h").groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("h").alias("n"))
-    candidates = cut(counted.where(F.col("n") >= similarity * F.col("n_windows")).select("doc_id").distinct())
+    both = let(cleaned(F.col("text")), lambda w: F.concat(window_hashes(template(w)), window_hashes(folded(w))))
+    hashes = docs.select("doc_id", F.explode_outer(both).alias("h"))
+    counted = hashes.join(near(keys), "h").groupBy("doc_id", "item_id", "by", "n_windows").agg(F.count_distinct("h").alias("n_matched"))
+    enough = F.col("n_matched") >= similarity * F.col("n_windows")
+    reached = cut(counted.where(enough))
+    candidates = reached.where("by = 'template'").select("doc_id").distinct()
     few = F.broadcast if candidates.count() <= BROADCAST_ROWS else (lambda x: x)
     found = _windows(docs.join(few(candidates), "doc_id", "left_semi"), "doc_id").withColumnRenamed("slots", "held").join(near(items), "h").withColumn("diagonal", F.col("pos") - F.col("q"))
     group = ["doc_id", "item_id", "diagonal"]
     pairs = found.select(*group, F.explode_outer(F.array_distinct(F.filter(F.arrays_zip(F.col("slots").alias("slots"), F.col("held").alias("held")), lambda p: p["slots"].isNotNull()))).alias("p")).distinct()
     sound = pairs.groupBy(group).agg(F.count("p").alias("n"), F.count_distinct("p.slots").alias("a"), F.count_distinct("p.held").alias("b")).where("n = a and n = b").select(group)
     matched = found.join(sound, group, "left_semi").groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("h").alias("n_matched"))
-    share = (F.col("n_matched") / F.col("n_windows")).alias("similarity")
-    return matched.where(F.col("n_matched") >= similarity * F.col("n_windows")).select("doc_id", "item_id", "n_matched", "n_windows", share)
+    found = matched.where(enough).withColumn("by", F.lit("template")).unionByName(reached.where("by = 'plain'"))
+    best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_matched", "n_windows"), "by").alias("best"))
+    return best.select("doc_id", "item_id", "best.*", (F.col("best.n_matched") / F.col("best.n_windows")).alias("similarity"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

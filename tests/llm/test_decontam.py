@@ -32,3 +32,13 @@ def test_empty_tables_and_plan(spark, make_docs):
     assert decontam.contaminated(make_docs([(1, ITEM)]), items(spark, ITEM).limit(0)).collect() == []
     plan = decontam.contaminated(make_docs([(1, ITEM)]), items(spark, ITEM))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_copies_in_other_case(spark, make_docs):
+    docs = make_docs([(1, "before it " + ITEM.upper() + " and after"), (2, ITEM.lower()), (3, ITEM.title()), (4, ITEM.upper()[: len(ITEM) // 2]), (5, "Straße " + ITEM)])
+    found = {r.doc_id: r.similarity for r in decontam.contaminated(docs, items(spark, ITEM)).collect()}
+    assert found == {1: 1.0, 2: 1.0, 3: 1.0, 5: 1.0}
+    street = "die alte straße führt am großen fluß entlang bis zur stadt"
+    assert [r.doc_id for r in decontam.contaminated(make_docs([(1, street.upper())]), items(spark, street)).collect()] == [1]
+    names = "Berlin Paris London Madrid Rome Dover"
+    assert [r.doc_id for r in decontam.contaminated(make_docs([(1, "x " + names), (2, "Bonn Kiel Ulm Trier Mainz Jena")]), items(spark, names)).collect()] == [1]

@@ -87,8 +87,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     Texts become templates of typed placeholders; windows of five template words of docs(doc_id, text, ...) are
     hash-joined to those of benchmark(item_id, text, ...). Matches on one diagonal (one copy of the item) count if
-    their slots are consistent: each value of the item stands for one value of the document, and the other way
-    round. A pair is returned if `similarity` of the item's unlike windows are matched by such diagonals, or else if
+    their slots are literally equal, or else if each value of the item stands for one value of the document all over
+    the diagonal. Where one stands for several, only the windows with it or with one of these several values are lost;
+    two values of the item may become equal. A pair is returned if `similarity` of the item's unlike windows are matched by such diagonals, or else if
     as many of its unlike windows of plain words are found whatever their case, as a text in other case gets other
     placeholders; the counts are those of the templates where these suffice. Null texts are empty; texts under five
     words match nothing, and items without a window of two literal words only as plain words; null ids are left
@@ -111,9 +112,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     few = F.broadcast if candidates.count() <= BROADCAST_ROWS else (lambda x: x)
     found = _windows(docs.join(few(candidates), "doc_id", "left_semi"), "doc_id").withColumnRenamed("slots", "held").join(near(items), "h").withColumn("diagonal", F.col("pos") - F.col("q"))
     group = ["doc_id", "item_id", "diagonal"]
-    pairs = found.select(*group, F.explode_outer(F.array_distinct(F.filter(F.arrays_zip(F.col("slots").alias("slots"), F.col("held").alias("held")), lambda p: p["slots"].isNotNull()))).alias("p")).distinct()
-    sound = pairs.groupBy(group).agg(F.count("p").alias("n"), F.count_distinct("p.slots").alias("a"), F.count_distinct("p.held").alias("b")).where("n = a and n = b").select(group)
-    matched = found.join(sound, group, "left_semi").groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("h").alias("n_matched"))
+    slots = F.filter(F.arrays_zip(F.col("slots").alias("slots"), F.col("held").alias("held")), lambda p: p["slots"].isNotNull())
+    pairs = found.select(*group, F.explode_outer(F.array_distinct(slots)).alias("p")).where("p is not null").select(*group, "p.*").distinct()
+    odd = pairs.groupBy(*group, "slots").agg(F.collect_set("held").alias("images")).where(F.size("images") > 1)
+    odd = odd.groupBy(group).agg(F.collect_set("slots").alias("values"), F.array_distinct(F.flatten(F.collect_list("images"))).alias("images"))
+    bad = F.exists(slots, lambda p: (p["slots"] != p["held"]) & (F.array_contains("values", p["slots"]) | F.array_contains("images", p["held"])))
+    same = F.forall(slots, lambda p: p["slots"] == p["held"])
+    torn = F.exists(slots, lambda p: F.array_contains("values", p["slots"]))
+    matched = found.join(odd, group, "left").where(F.col("values").isNull() | same | ~(bad | torn)).groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("h").alias("n_matched"))
     found = matched.where(enough).withColumn("by", F.lit("template")).unionByName(reached.where("by = 'plain'"))
     best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_matched", "n_windows"), "by").alias("best"))
     return best.select("doc_id", "item_id", "best.*", (F.col("best.n_matched") / F.col("best.n_windows")).alias("similarity"))

@@ -42,3 +42,14 @@ def test_copies_in_other_case(spark, make_docs):
     assert [r.doc_id for r in decontam.contaminated(make_docs([(1, street.upper())]), items(spark, street)).collect()] == [1]
     names = "Berlin Paris London Madrid Rome Dover"
     assert [r.doc_id for r in decontam.contaminated(make_docs([(1, "x " + names), (2, "Bonn Kiel Ulm Trier Mainz Jena")]), items(spark, names)).collect()] == [1]
+
+
+def test_odd_slots_cost_their_own_windows_only(spark, make_docs):
+    item = "Alice picked 12 apples from the tree and then 7 apples from the ground before Bob came home to bake a fine cake for all of the guests"
+    renamed = item.replace("Alice", "Carol").replace("Bob", "Dave")
+    long = item + " while Bob sang and nobody else in the whole house could sleep at all that night or even the next morning after the party was over"
+    mixed = long.replace("Alice", "Carol").replace("while Bob", "while Eve")
+    docs = make_docs([(1, renamed.replace("12", "5").replace("7", "5")), (2, long.replace("while Bob", "while Eve")), (3, mixed)])
+    found = {(r.doc_id, r.item_id): (r.n_matched, r.n_windows) for r in decontam.contaminated(docs, items(spark, item, long)).collect()}
+    assert found[1, 0][0] == found[1, 0][1]
+    assert {2, 3} <= {d for d, i in found if i == 1} and found[2, 1][0] < found[2, 1][1]

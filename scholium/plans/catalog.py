@@ -407,9 +407,9 @@ def rewrites_by_position(spark, sf):
 
 @query
 def chapter_questions(spark, sf):
-    """Roles as chapters, the first words of their first turns as questions."""
+    """Roles as chapters, the first words of their turns as questions."""
     rows = _read(spark, sf, "conversations").select("role", F.struct((F.col("conv_id") * 1000 + F.col("turn")).alias("section_pos"), F.slice(T.words(F.col("text")), 1, 2).alias("q")).alias("x"))
-    rows = rows.select(F.col("role").alias("parent"), F.col("x.section_pos").alias("section_pos"), F.col("x.q").alias("research_questions")).where("section_pos % 1000 < 2 and section_pos < 50000")
+    rows = rows.select(F.col("role").alias("parent"), F.col("x.section_pos").alias("section_pos"), F.col("x.q").alias("research_questions"))
     return synthesis.chapter_questions(rows).select("parent", F.md5(F.array_join("questions", " ")).alias("questions_md5"))
 
 

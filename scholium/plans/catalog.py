@@ -278,7 +278,6 @@ def candidate_pairs(spark, sf):
 def meta_fixed_effect(spark, sf):
     """Pooled prices of each flag and status."""
     rows = _read(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", (F.col("l_extendedprice") / 10000).alias("effect_size"), (F.col("l_extendedprice") / 10000 - F.col("l_discount")).alias("ci_lower"), F.when(F.col("l_quantity") > 3, F.col("l_extendedprice") / 10000 + F.col("l_discount") + F.col("l_tax")).alias("ci_upper"))
-    rows = rows.where("ci_upper - ci_lower > 0.001 or ci_upper is null")
     return _rounded(meta.fixed_effect(rows, ["l_returnflag", "l_linestatus"]), 4)
 
 

@@ -20,10 +20,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go where the cluster says; only a session that names no folder (tests) gets a local one."""
+    """Checkpoints go where the cluster says. Only a local session that names no folder, as in tests, gets one of its own;
+    on a cluster that would be a folder that executors do not share, so a missing setting is an error there."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder; on a cluster it has to be one that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -43,7 +47,8 @@ def words_of(text: Column) -> Column:
 
 
 def spill(df: DataFrame) -> DataFrame:
-    """Like cut(), but as a compressed table in the same folder; the shuffle files of what led to df go as soon as it stands."""
+    """Like cut(), but as a compressed table in the same folder; the shuffle files of what led to df go as soon as it stands,
+    and the table with the session, if discard() has not removed it before."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
@@ -56,11 +61,19 @@ def spill(df: DataFrame) -> DataFrame:
     schema = df.schema
     table = spark.read.schema(schema).parquet(path)
     table.spilled_to = path
+    fs, where = _file(spark, path)
+    fs.deleteOnExit(where)
     return table
 
 
+def _file(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) as Hadoop knows them."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(sc._jsc.hadoopConfiguration()), where
+
+
 def discard(table: DataFrame) -> None:
     """Removes a table of spill() once everything that was made of it is written itself."""
-    sc = table.sparkSession.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(table.spilled_to)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    fs, where = _file(table.sparkSession, table.spilled_to)
+    fs.delete(where, True)

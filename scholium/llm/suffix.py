@@ -1,9 +1,12 @@
 """Removal of byte strings that an earlier document holds, by longest-previous-factor arrays.
 
 A text of any size is never compared with another directly. Every 50-byte window picks the least hash of the
-24-byte strings in it, its anchor; equal windows pick equal anchors. Only windows whose anchor lies in two or
-more documents are looked at, grouped by anchor, and each bounded group gets a suffix array: the previous and
-next smaller document in suffix order tell whether an earlier match of at least 50 bytes exists.
+24-byte strings in it, its anchor; equal windows pick equal anchors. The bytes under a run of windows that pick one
+anchor are a segment. Equal segments of one anchor are a class, named by 48 bits of anchor hash and 64 of digest; the
+least document of a class comes from a grouped minimum, and everything that later documents have of the class goes, as
+their longest previous factor is the segment itself. One representative of each class is put into the suffix array of its anchor's
+classes: factor lengths come from the previous and the next suffix of a smaller document and the least common prefix on the way
+there. Anchors with more classes than a task should sort are split by the bytes that their windows share (see _halves).
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ from scholium.llm.common import discard, spill
 #: Bytes of a match, of an anchor, and the anchors' starts in a window.
 MATCH, GRAM = 50, 24
 WINDOW = MATCH - GRAM + 1
-#: Anchors with more occurrences are compared by grouped minima instead of in one task.
-HOT = 20_000
-#: Bytes of text that are hashed or sorted at once.
-PIECE, BLOCK = 1 << 16, 1 << 20
+#: Classes that one suffix array takes of one anchor; a group with more is split by further bytes.
+GROUP = 4096
+#: Bytes of a suffix, the longest segment rounded up to whole words.
+WIDE = 80
+#: Bytes of text that are hashed or sorted at once; texts that a task holds as Python objects at once.
+PIECE, BLOCK, SLICE = 1 << 16, 1 << 20, 512
 _POS = np.uint64((1 << 18) - 1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.RandomState(7).randint(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -45,8 +50,9 @@ def _grams(buf: np.ndarray) -> np.ndarray:
     return h
 
 
-def anchor_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text number, first window, last window, anchor hash) of the runs of windows that pick one anchor."""
+def anchor_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text number, first window, last window, anchor hash, anchor's place in the first window) of the runs of windows
+    that pick one anchor."""
     parts: list[tuple[int, int, bytes]] = []
     held = 0
 
@@ -64,11 +70,12 @@ def anchor_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np
         starts = np.arange(len(part)) - np.repeat(np.concatenate(([0], np.cumsum(np.maximum(sizes - MATCH + 1, 0))[:-1])), np.maximum(sizes - MATCH + 1, 0))
         place = starts + (ends - sizes)[part]
         pick = pick[place]
+        inside = pick - place
         new = np.concatenate(([True], (pick[1:] != pick[:-1]) | (part[1:] != part[:-1])))
         first = np.flatnonzero(new)
         last = np.concatenate((first[1:], [len(pick)])) - 1
         number, offset = np.array([x[0] for x in parts])[part[first]], np.array([x[1] for x in parts])[part[first]]
-        return number, starts[first] + offset, starts[last] + offset, (h[pick[first]] >> np.uint64(16)).view(np.int64)
+        return number, starts[first] + offset, starts[last] + offset, (h[pick[first]] >> np.uint64(16)).view(np.int64), inside[first]
 
     for k, text in enumerate(texts):
         for at in range(0, max(len(text) - MATCH + 1, 0), PIECE):
@@ -81,230 +88,239 @@ def anchor_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np
         yield flush()
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(0).to_numpy()
-        for number, _, _, h in anchor_runs(_texts(batch.column(1))):
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[number])], ["h", "doc"])
+    """(doc, row, text) -> the unlike anchors of each text."""
+    for batch in _slices(batches):
+        ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for number, _, _, h, _ in anchor_runs(_texts(batch.column(2))):
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[number]), pa.array(rows[number])], ["h", "doc", "row"])
 
 
-_RUN = "h long, sd long, doc long, row long, start int, end int, hot boolean"
+_RUN = "h long, sd long, doc long, row long, start int, end int, at int"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, row, text, shared anchors) -> place and digest of the bytes under each run of a shared anchor."""
-    for batch in batches:
+    for batch in _slices(batches):
         ids, rows, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _texts(batch.column(2))
         shared = batch.column(3)
-        flat, ends = shared.flatten(), shared.offsets.to_numpy()
+        hashes, ends = shared.flatten().to_numpy(), shared.offsets.to_numpy()
         ends = ends - ends[0]
-        hashes, hot = flat.field(0).to_numpy(), flat.field(1).to_numpy(zero_copy_only=False)
-        lists = []
-        for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
-            order = np.argsort(hashes[lo:hi])
-            lists.append((hashes[lo:hi][order], hot[lo:hi][order]))
-        for number, first, last, h in anchor_runs(texts):
+        lists = [np.sort(hashes[lo:hi]) for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        for number, first, last, h, at in anchor_runs(texts):
             cuts = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1], [True])))
-            found, is_hot = np.zeros(len(h), bool), np.zeros(len(h), bool)
+            found = np.zeros(len(h), bool)
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                known, many = lists[number[lo]]
-                at = np.minimum(np.searchsorted(known, h[lo:hi]), len(known) - 1)
-                found[lo:hi], is_hot[lo:hi] = known[at] == h[lo:hi], many[at]
+                known = lists[number[lo]]
+                found[lo:hi] = known[np.minimum(np.searchsorted(known, h[lo:hi]), len(known) - 1)] == h[lo:hi]
             if found.any():
-                number, first, end, h, is_hot = number[found], first[found], last[found] + MATCH, h[found], is_hot[found]
+                number, first, end, h, at = number[found], first[found], last[found] + MATCH, h[found], at[found]
                 digest = np.fromiter((xxhash.xxh3_64_intdigest(texts[k][i:j]) for k, i, j in zip(number.tolist(), first.tolist(), end.tolist())), dtype=np.uint64, count=len(h))
-                columns = [pa.array(h), pa.array(digest.view(np.int64)), pa.array(ids[number]), pa.array(rows[number]), pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(is_hot)]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "sd", "doc", "row", "start", "end", "hot"])
-
+                columns = [pa.array(h), pa.array(digest.view(np.int64)), pa.array(ids[number]), pa.array(rows[number]), *(pa.array(x, pa.int32()) for x in (first, end, at))]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "sd", "doc", "row", "start", "end", "at"])
 
-_JUDGED = "h long, doc long, row long, start int, end int, open boolean"
 
-
-def _judge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, sd, doc, row, start, end), sorted -> those that a smaller document has whole, and, open, those of anchors
-    with unlike runs that none has whole; the others lose nothing."""
-
-    def judged(cols: list[np.ndarray]) -> pa.RecordBatch:
-        h, sd, doc, row, start, end = cols
-        new_h = np.concatenate(([True], h[1:] != h[:-1]))
-        new = new_h | np.concatenate(([True], sd[1:] != sd[:-1]))
-        least = doc[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
-        group = np.cumsum(new_h) - 1
-        several = np.bincount(group, weights=new)[group] > 1
-        late = doc > least
-        keep = late | several
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, doc, row, start, end, ~late)], ["h", "doc", "row", "start", "end", "open"])
-
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
-        whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-        if whole:
-            yield judged([c[:whole] for c in held])
-            held = [c[whole:] for c in held]
-    if held is not None and len(held[0]):
-        yield judged(held)
+_SEGMENT = "h long, doc long, row long, start int, at int, seg binary, hot boolean"
 
 
 def _cutouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, row, text, open runs) -> the bytes under each of them."""
-    for batch in batches:
+    for batch in _slices(batches):
         texts, runs = _texts(batch.column(2)), batch.column(3)
         flat, ends = runs.flatten(), runs.offsets.to_numpy()
         ends = ends - ends[0]
         number = np.repeat(np.arange(len(texts)), np.diff(ends))
-        h, start, end, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-        for at in range(0, len(number), 1 << 14):
-            part = slice(at, at + (1 << 14))
+        h, start, end, at, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+        for lo in range(0, len(number), 1 << 14):
+            part = slice(lo, lo + (1 << 14))
             segs = [texts[k][i:j] for k, i, j in zip(number[part].tolist(), start[part].tolist(), end[part].tolist())]
-            columns = [pa.array(h[part]), batch.column(0).take(pa.array(number[part])), batch.column(1).take(pa.array(number[part])), pa.array(start[part]), pa.array(segs, pa.binary()), pa.array(hot[part])]
-            yield pa.RecordBatch.from_arrays(columns, ["h", "doc", "row", "start", "seg", "hot"])
+            own = pa.array(number[part])
+            columns = [pa.array(h[part]), batch.column(0).take(own), batch.column(1).take(own), pa.array(start[part]), pa.array(at[part]), pa.array(segs, pa.binary()), pa.array(hot[part])]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "doc", "row", "start", "at", "seg", "hot"])
 
 
-def earlier_windows(segments: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-    """For each segment the starts of its windows of MATCH bytes that a segment of a smaller document holds too.
+def _smaller(doc: np.ndarray, lcp: np.ndarray, step: int) -> np.ndarray:
+    """For each suffix in order the common prefix with the nearest one of a smaller document, before it (step -1) or
+    after it (step 1); 0 without one. lcp[i] is the common prefix of suffixes i - 1 and i.
 
-    The suffix array covers the windows of all segments, ordered by their MATCH bytes. Within a run whose common
-    prefix is MATCH long the previous smaller and next smaller document of a position are the matches that the
-    longest-previous-factor array takes its maximum over; either of them makes the factor MATCH long at least.
+    Every suffix points to its neighbour. A pointer to a document that is no smaller is replaced by that suffix's own
+    pointer, all at once, until none is left; what lies between has no smaller document. Pointers that have come down
+    to a prefix under MATCH are left alone.
+    """
+    n = len(doc)
+    near = np.arange(n) + step
+    common = lcp.copy() if step < 0 else np.append(lcp[1:], 0)
+    ends = lambda x: (x >= 0) & (x < n)
+    while True:
+        bad = np.flatnonzero(ends(near) & (common >= MATCH))
+        bad = bad[doc[near[bad]] >= doc[bad]]
+        if not len(bad):
+            break
+        via = near[bad]
+        common[bad], near[bad] = np.minimum(common[bad], common[via]), near[via]
+    return np.where(ends(near) & (common >= MATCH), common, 0)
+
+
+def longest_previous_factors(segments: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment number, start, length) of the longest previous factors of MATCH bytes or more, in order.
+
+    The suffix array covers the suffixes of MATCH bytes or more of all segments, none of which is longer than WIDE. A factor
+    is previous if a segment of a smaller document has it: of the nearest suffix of a smaller document before and the
+    one after, the longer common prefix is the factor's length.
     """
     sizes = np.array([len(s) for s in segments])
-    buf = np.frombuffer(b"".join(segments) + bytes(8), dtype=np.uint8)
+    buf = np.frombuffer(b"".join(segments) + bytes(WIDE), dtype=np.uint8)
     counts = sizes - MATCH + 1
     owner = np.repeat(np.arange(len(segments)), counts)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    starts = inner + (np.cumsum(sizes) - sizes)[owner]
-    keys = np.lib.stride_tricks.sliding_window_view(buf, 56)[starts]
-    keys[:, MATCH:] = 0
-    keys = keys.view(">u8").astype(np.uint64)
-    order = np.lexsort(keys.T[::-1])
-    keys = keys[order]
-    doc = docs[owner[order]]
-    fresh = np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))  # here the common prefix is shorter
-    run = np.cumsum(fresh)
-    rank = np.unique(doc, return_inverse=True)[1]
-    span = int(rank.max()) + 2
-    down = np.minimum.accumulate(rank + (run[-1] - run) * span) - (run[-1] - run) * span
-    up = (np.minimum.accumulate((rank + run * span)[::-1])[::-1]) - run * span
-    matched = (down < rank) | (up < rank)
-    hit = np.zeros(len(owner), bool)
-    hit[order[matched]] = True
-    cuts = np.cumsum(counts)[:-1]
-    return [np.flatnonzero(x) for x in np.split(hit, cuts)]
-
-
-def _merged(starts: np.ndarray, length: int = MATCH) -> list[tuple[int, int]]:
-    """Spans [a, b) that windows at the sorted starts cover."""
-    gap = np.flatnonzero(np.diff(starts) > length) + 1
-    return [(int(x[0]), int(x[-1]) + length) for x in np.split(starts, gap)] if len(starts) else []
-
-
-def _solve(rows: list[tuple[int, int, int, int, bytes]]) -> Iterator[tuple[int, int, int, int]]:
-    """Rows (h, doc, row, start, seg) of whole anchors -> removed spans (doc, row, start, end)."""
-    first: dict[tuple[int, bytes], int] = {}
-    for h, doc, _, _, seg in rows:
-        if first.get((h, seg), doc) >= doc:
-            first[h, seg] = doc
-    kinds: dict[int, int] = {}
-    for h, _ in first:
-        kinds[h] = kinds.get(h, 0) + 1
-    several = [k for k in first if kinds[k[0]] > 1]
-    spans: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-    if several:
-        for k, starts in zip(several, earlier_windows([s for _, s in several], np.array([first[k] for k in several]))):
-            if len(starts):
-                spans[k] = _merged(starts)
-    for h, doc, row, start, seg in rows:
-        if doc > first[h, seg]:
-            yield doc, row, start, start + len(seg)
-        else:
-            for a, b in spans.get((h, seg), ()):
-                yield doc, row, start + a, start + b
+    left = sizes[owner] - inner
+    keys = np.lib.stride_tricks.sliding_window_view(buf, WIDE)[inner + (np.cumsum(sizes) - sizes)[owner]]
+    keys[np.arange(WIDE) >= left[:, None]] = 0
+    order = np.argsort(np.ascontiguousarray(keys).view(f"S{WIDE}").ravel(), kind="stable")
+    keys, left, doc = keys[order], left[order], docs[owner[order]]
+    unlike = keys[1:] != keys[:-1]
+    prefix = np.where(unlike.any(axis=1), unlike.argmax(axis=1), WIDE)
+    lcp = np.concatenate(([0], np.minimum(prefix, np.minimum(left[1:], left[:-1]))))
+    length = np.zeros(len(owner), dtype=np.int64)
+    length[order] = np.maximum(_smaller(doc, lcp, -1), _smaller(doc, lcp, 1))
+    found = np.flatnonzero(length)
+    return owner[found], inner[found], length[found]
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor -> removed spans, a bounded number of bytes at a time."""
-
-    def out(rows):
-        found = list(_solve(rows))
-        cols = list(zip(*found)) or [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc", "row", "start", "end"])
-
-    rows: list = []
-    size = 0
+    """Rows (h, doc, row, start, seg) sorted by h -> removed spans, a bounded number of bytes at a time."""
+
+    def solved(cols: list[pa.Array]) -> pa.RecordBatch:
+        # Equal segments of one document need one place in the suffix array.
+        both = pa.table([cols[1], cols[4]], ["doc", "seg"]).group_by(["doc", "seg"]).aggregate([]).to_pydict()
+        place = {k: i for i, k in enumerate(zip(both["doc"], both["seg"]))}
+        number = np.array([place[k] for k in zip(cols[1].to_pylist(), cols[4].to_pylist())])
+        owner, begin, size = longest_previous_factors(both["seg"], np.array(both["doc"], dtype=np.int64))
+        lo, hi = np.searchsorted(owner, number), np.searchsorted(owner, number, side="right")
+        rows = np.repeat(np.arange(len(number)), hi - lo)
+        each = np.arange(len(rows)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[rows]
+        start = cols[3].to_numpy()[rows] + begin[each]
+        # Factors of one row that touch are one span.
+        end = start + size[each]
+        new = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (start[1:] > end[:-1])))) if len(rows) else np.zeros(0, int)
+        last = np.maximum.reduceat(end, new) if len(new) else end
+        own = pa.array(rows[new])
+        return pa.RecordBatch.from_arrays([cols[1].take(own), cols[2].take(own), pa.array(start[new], pa.int32()), pa.array(last, pa.int32())], ["doc", "row", "start", "end"])
+
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        for r in zip(*(c.to_pylist() for c in batch.columns)):
-            if size >= BLOCK and r[0] != rows[-1][0]:
-                yield out(rows)
-                rows, size = [], 0
-            rows.append(r)
-            size += len(r[4])
-    if rows:
-        yield out(rows)
-
-
-def _keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc: doc_id, null before all others. row: tells rows of one doc_id with unlike texts apart, 0 if ids are unique."""
+        h = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(h, h[-1])) if len(h) else 0  # where the last, maybe unfinished, group begins
+        if cut:
+            held.append(batch.slice(0, cut))
+        elif not len(h) or held and held[-1].column(0)[-1].as_py() == h[0]:
+            held.append(batch)
+            continue
+        if sum(b.nbytes for b in held) >= BLOCK:
+            yield solved([pa.chunked_array(c).combine_chunks() for c in zip(*(b.columns for b in held))])
+            held = []
+        held.append(batch.slice(cut))
+    if sum(b.num_rows for b in held):
+        yield solved([pa.chunked_array(c).combine_chunks() for c in zip(*(b.columns for b in held))])
+
+
+def _keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:
+    """docs as (doc, row, text, rest), and whether ids are unique. doc: doc_id, null before all others. row: tells rows of
+    one doc_id with unlike texts apart, 0 if ids are unique."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     unique = docs.select(key.alias("doc")).groupBy("doc").count().where("count > 1").isEmpty()
     rest = [F.struct(*keep).alias("rest")] if keep else []
-    return docs.select(key.alias("doc"), (F.lit(0).cast("long") if unique else F.xxhash64(text)).alias("row"), text.alias("text"), *rest)
+    return docs.select(key.alias("doc"), (F.lit(0).cast("long") if unique else F.xxhash64(text)).alias("row"), text.alias("text"), *rest), unique
+
+
+def _judged(runs: DataFrame, key: list[str], group: int) -> DataFrame:
+    """runs(key..., doc, ...), key being a group and a digest in it -> the runs that lose bytes or may: late, if a smaller document is in their
+    class; else those of groups with several classes, hot if there are more than `group` of them.
+
+    Both minima and counts are combined before the shuffle. The joins find one row for each run, and Spark splits a
+    hot class or group among tasks, as it does any skewed join.
+    """
+    least = runs.groupBy(*key).agg(F.min("doc").alias("first"))
+    classes = least.join(least.groupBy(key[0]).agg(F.count("*").alias("k")).where("k > 1"), key[0], "left")
+    rows = runs.join(classes, key).where("doc > first or k is not null")
+    return rows.select(*runs.columns, (F.col("doc") > F.col("first")).alias("late"), (F.coalesce("k", F.lit(0)) > group).alias("hot"))
 
 
-def removed_spans(keyed: DataFrame, hot: int = HOT) -> DataFrame:
-    """(doc, row, spans): for each document of keyed(doc, row, text) that loses bytes, spans (start, end) that cover them.
+def _halves(segments: DataFrame, width: int) -> DataFrame:
+    """segments(h, doc, row, start, at, seg) cut into pieces whose windows begin at most `width` places apart, counted
+    from the anchor; h becomes the hash of the bytes that all windows of a piece's kind share, sd its digest.
+
+    Equal windows lie at one place from one anchor, so they are in pieces of one kind with the same shared bytes.
+    """
+    shift = F.lit(WINDOW - 1) - F.col("at")  # of the first window, from the leftmost that picks the anchor
+    last = F.length("seg") - MATCH
+    cells = F.sequence(F.floor(shift / width).cast("int"), F.floor((shift + last) / width).cast("int"))
+    rows = segments.select("h", "doc", "row", "start", "at", "seg", shift.alias("shift"), last.alias("last"), F.explode(cells).alias("c"))
+    low = F.greatest(F.lit(0), F.col("c") * width - F.col("shift"))
+    high = F.least(F.col("last"), (F.col("c") + 1) * width - 1 - F.col("shift"))
+    # Shared: from the rightmost window's first byte to the leftmost one's last, whether or not this piece has them.
+    right = F.least(F.lit(WINDOW - 1), (F.col("c") + 1) * width - 1) - F.col("shift")
+    shared = F.substring("seg", right + 1, F.col("c") * width + MATCH - F.col("shift") - right)
+    piece = F.substring("seg", low + 1, high - low + MATCH)
+    return rows.select(F.xxhash64("h", "c", shared).alias("h"), F.xxhash64(piece).alias("sd"), "doc", "row", (F.col("start") + low).cast("int").alias("start"), (F.col("at") - low).cast("int").alias("at"), piece.alias("seg"))
+
+
+def removed_spans(keyed: DataFrame, group: int = GROUP) -> list[DataFrame]:
+    """Tables (doc, row, spans) for the texts of keyed(doc, row, text) that lose bytes; spans (start, end) cover them.
 
     Each step is written before the next begins, so that its shuffle files and the tables before it can go.
     """
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    anchors = keyed.select("doc", "text").mapInArrow(_anchors, "h long, doc long")
-    shared = spill(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("hot")))
-    lists = spill(anchors.join(shared, "h").groupBy("doc").agg(F.collect_set(F.struct("h", "hot")).alias("hs")))
+    sort = lambda df: df.select("h", "doc", "row", "start", "seg").repartition(n, "h").sortWithinPartitions("h").mapInArrow(_spans, "doc long, row long, start int, end int")
+    anchors = keyed.select("doc", "row", "text").mapInArrow(_anchors, "h long, doc long, row long")
+    shared = spill(anchors.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("h"))
+    lists = spill(anchors.join(shared, "h").groupBy("doc", "row").agg(F.collect_set("h").alias("hs")))
     discard(shared)
-    runs = spill(keyed.join(lists, "doc").select("doc", "row", "text", "hs").mapInArrow(_runs, _RUN))
+    runs = spill(keyed.join(lists, ["doc", "row"]).select("doc", "row", "text", "hs").mapInArrow(_runs, _RUN))
     discard(lists)
-    few = runs.where("not hot").select("h", "sd", "doc", "row", "start", "end").repartition(n, "h").sortWithinPartitions("h", "sd", "doc").mapInArrow(_judge_runs, _JUDGED)
-    many = runs.where("hot")
-    least = many.groupBy("h", "sd").agg(F.min("doc").alias("first"))
-    many = many.join(least, ["h", "sd"]).select("h", "doc", "row", "start", "end", (F.col("doc") == F.col("first")).alias("open"))
-    judged = spill(few.select("*", F.lit(False).alias("hot")).unionAll(many.select("*", F.lit(True).alias("hot"))))
+    judged = _judged(runs, ["h", "sd"], group)
+    late = F.collect_list(F.when(F.col("late"), F.struct("start", "end")))
+    asked = F.collect_list(F.when(~F.col("late"), F.struct("h", "start", "end", "at", "hot")))
+    whole = spill(judged.groupBy("doc", "row").agg(late.alias("spans"), asked.alias("open")))
     discard(runs)
-    asked = judged.where("open").groupBy("doc", "row").agg(F.collect_set(F.struct("h", "start", "end", "hot")).alias("runs"))
-    parts = spill(keyed.join(asked, ["doc", "row"]).select("doc", "row", "text", "runs").mapInArrow(_cutouts, "h long, doc long, row long, start int, seg binary, hot boolean"))
-    cold = parts.where("not hot").select("h", "doc", "row", "start", "seg").repartition(n, "h").sortWithinPartitions("h")
-    spans = cold.mapInArrow(_spans, "doc long, row long, start int, end int")
-    whole = judged.where("not open").select("doc", "row", "start", "end")
-    found = spill(whole.unionAll(spans).unionAll(window_spans(parts.where("hot"))).groupBy("doc", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
-    discard(judged), discard(parts)
-    return found
-
-
-def window_spans(parts: DataFrame) -> DataFrame:
-    """Removed spans (doc, row, start, end): each window of parts(doc, row, start, seg) that a smaller document has."""
-    at = F.explode(F.sequence(F.lit(0), F.length("seg") - MATCH)).alias("i")
-    windows = parts.select("doc", "row", "start", "seg", at).select("doc", "row", (F.col("start") + F.col("i")).alias("start"), F.substr("seg", F.col("i") + 1, F.lit(MATCH)).alias("w"))
-    least = windows.groupBy("w").agg(F.min("doc").alias("first"))
-    return windows.join(least, "w").where("doc > first").select("doc", "row", "start", (F.col("start") + MATCH).alias("end"))
+    parts = spill(keyed.join(whole.where(F.size("open") > 0), ["doc", "row"]).select("doc", "row", "text", "open").mapInArrow(_cutouts, _SEGMENT))
+    spans = sort(parts.where("not hot"))
+    hot, width, made = parts.where("hot"), 16, [parts]
+    while not hot.isEmpty():  # at width 1 a piece is one window, and no group has two classes
+        pieces = spill(_halves(hot, width))
+        judged = spill(_judged(pieces, ["h", "sd"], group))
+        discard(pieces)
+        made.append(judged)
+        spans = spans.unionAll(judged.where("late").select("doc", "row", "start", (F.col("start") + F.length("seg")).alias("end"))).unionAll(sort(judged.where("not late and not hot")))
+        hot, width = judged.where("not late and hot"), width // 2
+    found = spill(spans.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    for table in made:
+        discard(table)
+    return [whole.select("doc", "row", "spans"), found]
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, spans, rest) -> (kept, n_bytes, n_removed, n_spans, rest)."""
-    for batch in batches:
+    for batch in _slices(batches):
         texts, lists = _texts(batch.column(0)), batch.column(1)
         flat, ends = lists.flatten(), lists.offsets.to_numpy()
         ends = ends - ends[0]
         starts, stops = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-        valid = lists.is_valid().to_numpy(zero_copy_only=False)
         kept, gone, runs = [], [], []
         for k, text in enumerate(texts):
             lo, hi = int(ends[k]), int(ends[k + 1])
-            if not valid[k] or lo == hi:
+            if lo == hi:
                 kept.append(text), gone.append(0), runs.append(0)
                 continue
             order = np.argsort(starts[lo:hi], kind="stable")
@@ -317,22 +333,26 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["kept", "n_bytes", "n_removed", "n_spans", "rest"])
 
 
-def remove_earlier(docs: DataFrame, hot: int = HOT, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def remove_earlier(docs: DataFrame, group: int = GROUP, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(kept, n_bytes, n_removed, n_spans, rest), one row for each row of docs(doc_id, text, ...); rest is a struct of
     the columns named by keep.
 
     Texts are UTF-8 bytes; a byte goes if a 50-byte string over it also starts in a document with a smaller
     doc_id. Strings are judged on the input, overlaps count, and matches never cross documents. kept holds the
     other bytes in order and may cut a character in two. A null text counts as empty; texts under 50 bytes lose
-    nothing; a null doc_id comes before all others; rows with one doc_id never remove each other's bytes; no
-    rows give no rows; other columns are ignored, whatever their names.
+    nothing; very long ones are hashed in pieces that overlap, with the same result; a null doc_id comes before all
+    others; rows with one doc_id never remove each other's bytes, and rows that repeat id and text are worked out
+    once; no rows give no rows; other columns are ignored, whatever their names.
 
-    Two passes shuffle anchors (about one 6-byte hash per 14 bytes); whole texts are joined with their shared anchors,
-    then with their open runs, then with their spans, and what a step needed goes before the next. Groups of an anchor over `hot` occurrences are compared by grouped
-    minima and joins, which Spark can split.
+    Two passes shuffle anchors (about one per 14 bytes); whole texts are joined with their shared anchors, then with
+    their open runs, then with their spans, and what a step needed goes before the next. `group` bounds the classes of one
+    anchor that one task sorts; it changes the plan, never the rows.
     """
-    keyed = _keyed(docs, keep)
-    spans = removed_spans(keyed.drop("rest"), hot)
-    joined = keyed.join(spans, ["doc", "row"], "left").select("text", "spans", "rest")
+    keyed, unique = _keyed(docs, keep)
+    texts = keyed.drop("rest")
+    whole, found = removed_spans(texts if unique else texts.dropDuplicates(["doc", "row"]), group)
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    spans = whole.join(found.withColumnRenamed("spans", "more"), ["doc", "row"], "full").select("doc", "row", F.concat(F.coalesce("spans", none), F.coalesce("more", none)).alias("spans"))
+    joined = keyed.join(spans, ["doc", "row"], "left").select("text", F.coalesce("spans", none).alias("spans"), "rest")
     kind = keyed.schema["rest"].dataType.simpleString()
     return joined.mapInArrow(_apply, f"kept binary, n_bytes long, n_removed long, n_spans long, rest {kind}")

@@ -50,20 +50,34 @@ def spill(df: DataFrame) -> DataFrame:
     """Like cut(), but as a compressed table in the same folder; the shuffle files of what led to df go as soon as it stands,
     and the table with the session, if discard() has not removed it before."""
     spark = df.sparkSession
+    path = shared_path(spark, "table")
+    with_cleanup(spark, lambda: df.write.option("compression", "zstd").parquet(path))
+    end_with_session(spark, path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.spilled_to = path
+    return table
+
+
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new folder's name below the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{kind}-{uuid.uuid4().hex}"
+
+
+def end_with_session(spark: SparkSession, path: str) -> None:
+    """Has a folder removed when the session's JVM ends."""
+    fs, where = _file(spark, path)
+    fs.deleteOnExit(where)
+
+
+def with_cleanup(spark: SparkSession, write: Callable[[], None]) -> None:
+    """Runs a write whose shuffle files go when it ends. The setting is the session's and is put back."""
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        write()
     finally:
         spark.conf.set(CLEANUP, before)
-    schema = df.schema
-    table = spark.read.schema(schema).parquet(path)
-    table.spilled_to = path
-    fs, where = _file(spark, path)
-    fs.deleteOnExit(where)
-    return table
 
 
 def _file(spark: SparkSession, path: str) -> tuple:

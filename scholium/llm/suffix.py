@@ -98,55 +98,63 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, row, text) -> the unlike anchors of each text."""
-    for batch in _slices(batches):
-        ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for number, _, _, h, _ in anchor_runs(_texts(batch.column(2))):
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[number]), pa.array(rows[number])], ["h", "doc", "row"])
-
-
-_RUN = "h long, sd long, doc long, row long, start int, end int, at int"
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, row, text, shared anchors) -> place and digest of the bytes under each run of a shared anchor."""
-    for batch in _slices(batches):
-        ids, rows, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _texts(batch.column(2))
-        shared = batch.column(3)
-        hashes, ends = shared.flatten().to_numpy(), shared.offsets.to_numpy()
-        ends = ends - ends[0]
-        lists = [np.sort(hashes[lo:hi]) for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist())]
-        for number, first, last, h, at in anchor_runs(texts):
-            cuts = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1], [True])))
-            found = np.zeros(len(h), bool)
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                known = lists[number[lo]]
-                found[lo:hi] = known[np.minimum(np.searchsorted(known, h[lo:hi]), len(known) - 1)] == h[lo:hi]
-            if found.any():
-                number, first, end, h, at = number[found], first[found], last[found] + MATCH, h[found], at[found]
-                digest = np.fromiter((xxhash.xxh3_64_intdigest(texts[k][i:j]) for k, i, j in zip(number.tolist(), first.tolist(), end.tolist())), dtype=np.uint64, count=len(h))
-                columns = [pa.array(h), pa.array(digest.view(np.int64)), pa.array(ids[number]), pa.array(rows[number]), *(pa.array(x, pa.int32()) for x in (first, end, at))]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "sd", "doc", "row", "start", "end", "at"])
-
-
-_SEGMENT = "h long, doc long, row long, start int, at int, seg binary, hot boolean"
-
-
-def _cutouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, row, text, open runs) -> the bytes under each of them."""
-    for batch in _slices(batches):
-        texts, runs = _texts(batch.column(2)), batch.column(3)
-        flat, ends = runs.flatten(), runs.offsets.to_numpy()
-        ends = ends - ends[0]
-        number = np.repeat(np.arange(len(texts)), np.diff(ends))
-        h, start, end, at, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
-        for lo in range(0, len(number), 1 << 14):
-            part = slice(lo, lo + (1 << 14))
-            segs = [texts[k][i:j] for k, i, j in zip(number[part].tolist(), start[part].tolist(), end[part].tolist())]
-            own = pa.array(number[part])
-            columns = [pa.array(h[part]), batch.column(0).take(own), batch.column(1).take(own), pa.array(start[part]), pa.array(at[part]), pa.array(segs, pa.binary()), pa.array(hot[part])]
-            yield pa.RecordBatch.from_arrays(columns, ["h", "doc", "row", "start", "at", "seg", "hot"])
+def _taken(columns: list[pa.Array], number: np.ndarray) -> list[pa.Array]:
+    own = pa.array(number)
+    return [c.take(own) for c in columns]
+
+
+def _anchors(by: list[str]):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(by, text) -> the unlike anchors of each text, or of each piece of a long one."""
+        for batch in _slices(batches):
+            for number, _, _, h, _ in anchor_runs(_texts(batch.column(len(by)))):
+                order = np.lexsort((h, number))
+                number, h = number[order], h[order]
+                new = np.concatenate(([True], (number[1:] != number[:-1]) | (h[1:] != h[:-1])))
+                yield pa.RecordBatch.from_arrays([pa.array(h[new]), *_taken(batch.columns[: len(by)], number[new])], ["h", *by])
+
+    return found
+
+
+def _runs(by: list[str]):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(by, text, shared anchors) -> digest of the bytes under each run of a shared anchor, and its place: start << 16 | size << 8 |
+        the anchor's place in it."""
+        for batch in _slices(batches):
+            texts, shared = _texts(batch.column(len(by))), batch.column(len(by) + 1)
+            hashes, ends = shared.flatten().to_numpy(), shared.offsets.to_numpy()
+            ends = ends - ends[0]
+            lists = [np.sort(hashes[lo:hi]) for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            for number, first, last, h, at in anchor_runs(texts):
+                cuts = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1], [True])))
+                known = np.zeros(len(h), bool)
+                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    own = lists[number[lo]]
+                    known[lo:hi] = own[np.minimum(np.searchsorted(own, h[lo:hi]), len(own) - 1)] == h[lo:hi]
+                if known.any():
+                    number, first, end, h, at = number[known], first[known], last[known] + MATCH, h[known], at[known]
+                    digest = np.fromiter((xxhash.xxh3_64_intdigest(texts[k][i:j]) for k, i, j in zip(number.tolist(), first.tolist(), end.tolist())), dtype=np.uint64, count=len(h))
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(digest.view(np.int64)), *_taken(batch.columns[: len(by)], number), pa.array(first << 16 | (end - first) << 8 | at)], ["h", "sd", *by, "place"])
+
+    return found
+
+
+def _cutouts(by: list[str]):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(by, text, open runs) -> the bytes under each of them."""
+        for batch in _slices(batches):
+            texts, runs = _texts(batch.column(len(by))), batch.column(len(by) + 1)
+            flat, ends = runs.flatten(), runs.offsets.to_numpy()
+            ends = ends - ends[0]
+            number = np.repeat(np.arange(len(texts)), np.diff(ends))
+            h, place, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            for lo in range(0, len(number), 1 << 14):
+                part = slice(lo, lo + (1 << 14))
+                start, size, at = place[part] >> 16, place[part] >> 8 & 255, place[part] & 255
+                segs = [texts[k][i : i + n] for k, i, n in zip(number[part].tolist(), start.tolist(), size.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(h[part]), *_taken(batch.columns[: len(by)], number[part]), pa.array(start, pa.int32()), pa.array(at, pa.int32()), pa.array(segs, pa.binary()), pa.array(hot[part])], ["h", *by, "start", "at", "seg", "hot"])
+
+    return found
 
 
 def _smaller(doc: np.ndarray, lcp: np.ndarray, step: int) -> np.ndarray:
@@ -197,68 +205,72 @@ def longest_previous_factors(segments: list[bytes], docs: np.ndarray) -> tuple[n
     return owner[found], inner[found], length[found]
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, doc, row, start, seg) sorted by h -> removed spans, a bounded number of bytes at a time."""
-
+def _spans(by: list[str]):
     def solved(cols: list[pa.Array]) -> pa.RecordBatch:
+        start, seg, doc = cols[-2].to_numpy(), cols[-1], cols[1]
         # Equal segments of one document need one place in the suffix array.
-        both = pa.table([cols[1], cols[4]], ["doc", "seg"]).group_by(["doc", "seg"]).aggregate([]).to_pydict()
+        both = pa.table([doc, seg], ["doc", "seg"]).group_by(["doc", "seg"]).aggregate([]).to_pydict()
         place = {k: i for i, k in enumerate(zip(both["doc"], both["seg"]))}
-        number = np.array([place[k] for k in zip(cols[1].to_pylist(), cols[4].to_pylist())])
+        number = np.array([place[k] for k in zip(doc.to_pylist(), seg.to_pylist())])
         owner, begin, size = longest_previous_factors(both["seg"], np.array(both["doc"], dtype=np.int64))
         lo, hi = np.searchsorted(owner, number), np.searchsorted(owner, number, side="right")
         rows = np.repeat(np.arange(len(number)), hi - lo)
         each = np.arange(len(rows)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[rows]
-        start = cols[3].to_numpy()[rows] + begin[each]
-        # Factors of one row that touch are one span.
+        start = start[rows] + begin[each]
         end = start + size[each]
-        new = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (start[1:] > end[:-1])))) if len(rows) else np.zeros(0, int)
+        new = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (start[1:] > end[:-1])))) if len(rows) else np.zeros(0, int)  # factors of a row that touch are one span
         last = np.maximum.reduceat(end, new) if len(new) else end
-        own = pa.array(rows[new])
-        return pa.RecordBatch.from_arrays([cols[1].take(own), cols[2].take(own), pa.array(start[new], pa.int32()), pa.array(last, pa.int32())], ["doc", "row", "start", "end"])
-
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        h = batch.column(0).to_numpy()
-        cut = int(np.searchsorted(h, h[-1])) if len(h) else 0  # where the last, maybe unfinished, group begins
-        if cut:
-            held.append(batch.slice(0, cut))
-        elif not len(h) or held and held[-1].column(0)[-1].as_py() == h[0]:
-            held.append(batch)
-            continue
-        if sum(b.nbytes for b in held) >= BLOCK:
+        return pa.RecordBatch.from_arrays([*_taken(cols[1:-2], rows[new]), pa.array(start[new], pa.int32()), pa.array(last, pa.int32())], [*by, "start", "end"])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (h, by, start, seg) sorted by h -> removed spans, a bounded number of bytes at a time."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(h, h[-1])) if len(h) else 0  # where the last, maybe unfinished, group begins
+            if cut:
+                held.append(batch.slice(0, cut))
+            elif not len(h) or held and held[-1].column(0)[-1].as_py() == h[0]:
+                held.append(batch)
+                continue
+            if sum(b.nbytes for b in held) >= BLOCK:
+                yield solved([pa.chunked_array(c).combine_chunks() for c in zip(*(b.columns for b in held))])
+                held = []
+            held.append(batch.slice(cut))
+        if sum(b.num_rows for b in held):
             yield solved([pa.chunked_array(c).combine_chunks() for c in zip(*(b.columns for b in held))])
-            held = []
-        held.append(batch.slice(cut))
-    if sum(b.num_rows for b in held):
-        yield solved([pa.chunked_array(c).combine_chunks() for c in zip(*(b.columns for b in held))])
+
+    return found
 
 
-def _keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:
-    """docs as (doc, row, text, rest), and whether ids are unique. doc: doc_id, null before all others. row: tells rows of
-    one doc_id with unlike texts apart, 0 if ids are unique."""
+def _keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """docs as (doc, [row,] text, rest), and the names of its key. doc: doc_id, null before all others. row is there only where ids repeat,
+    and tells rows of one doc_id with unlike texts apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     unique = docs.select(key.alias("doc")).groupBy("doc").count().where("count > 1").isEmpty()
+    row = [] if unique else [F.xxhash64(text).alias("row")]
     rest = [F.struct(*keep).alias("rest")] if keep else []
-    return docs.select(key.alias("doc"), (F.lit(0).cast("long") if unique else F.xxhash64(text)).alias("row"), text.alias("text"), *rest), unique
+    return docs.select(key.alias("doc"), *row, text.alias("text"), *rest), ["doc"] if unique else ["doc", "row"]
 
 
-def _judged(runs: DataFrame, key: list[str], group: int) -> DataFrame:
-    """runs(key..., doc, ...), key being a group and a digest in it -> the runs that lose bytes or may: late, if a smaller document is in their
-    class; else those of groups with several classes, hot if there are more than `group` of them.
+def _classes(runs: DataFrame) -> DataFrame:
+    """(h, sd, first, k) of runs(h, sd, doc, ...): the least document of each class, and how many classes its group has if there are several.
+    Both are combined before the shuffle."""
+    least = runs.groupBy("h", "sd").agg(F.min("doc").alias("first"))
+    several = least.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+    return least.join(several.hint("shuffle_hash"), "h", "left")
 
-    Both minima and counts are combined before the shuffle. The joins find one row for each run, and Spark splits a
-    hot class or group among tasks, as it does any skewed join.
-    """
-    least = runs.groupBy(*key).agg(F.min("doc").alias("first"))
-    classes = least.join(least.groupBy(key[0]).agg(F.count("*").alias("k")).where("k > 1"), key[0], "left")
-    rows = runs.join(classes, key).where("doc > first or k is not null")
+
+def _judged(runs: DataFrame, classes: DataFrame, group: int) -> DataFrame:
+    """The runs that lose bytes or may: late, if a smaller document is in their class; else those of groups with several
+    classes, hot if there are more than `group` of them. A run finds one class; Spark splits the runs of a hot one among tasks, as in any skewed join."""
+    rows = runs.join(classes.hint("shuffle_hash"), ["h", "sd"]).where("doc > first or k is not null")
     return rows.select(*runs.columns, (F.col("doc") > F.col("first")).alias("late"), (F.coalesce("k", F.lit(0)) > group).alias("hot"))
 
 
-def _halves(segments: DataFrame, width: int) -> DataFrame:
-    """segments(h, doc, row, start, at, seg) cut into pieces whose windows begin at most `width` places apart, counted
+def _halves(segments: DataFrame, by: list[str], width: int) -> DataFrame:
+    """segments(h, by, start, at, seg) cut into pieces whose windows begin at most `width` places apart, counted
     from the anchor; h becomes the hash of the bytes that all windows of a piece's kind share, sd its digest.
 
     Equal windows lie at one place from one anchor, so they are in pieces of one kind with the same shared bytes.
@@ -266,70 +278,76 @@ def _halves(segments: DataFrame, width: int) -> DataFrame:
     shift = F.lit(WINDOW - 1) - F.col("at")  # of the first window, from the leftmost that picks the anchor
     last = F.length("seg") - MATCH
     cells = F.sequence(F.floor(shift / width).cast("int"), F.floor((shift + last) / width).cast("int"))
-    rows = segments.select("h", "doc", "row", "start", "at", "seg", shift.alias("shift"), last.alias("last"), F.explode(cells).alias("c"))
+    rows = segments.select("h", *by, "start", "at", "seg", shift.alias("shift"), last.alias("last"), F.explode(cells).alias("c"))
     low = F.greatest(F.lit(0), F.col("c") * width - F.col("shift"))
     high = F.least(F.col("last"), (F.col("c") + 1) * width - 1 - F.col("shift"))
     # Shared: from the rightmost window's first byte to the leftmost one's last, whether or not this piece has them.
     right = F.least(F.lit(WINDOW - 1), (F.col("c") + 1) * width - 1) - F.col("shift")
     shared = F.substring("seg", right + 1, F.col("c") * width + MATCH - F.col("shift") - right)
     piece = F.substring("seg", low + 1, high - low + MATCH)
-    return rows.select(F.xxhash64("h", "c", shared).alias("h"), F.xxhash64(piece).alias("sd"), "doc", "row", (F.col("start") + low).cast("int").alias("start"), (F.col("at") - low).cast("int").alias("at"), piece.alias("seg"))
+    return rows.select(F.xxhash64("h", "c", shared).alias("h"), F.xxhash64(piece).alias("sd"), *by, (F.col("start") + low).cast("int").alias("start"), (F.col("at") - low).cast("int").alias("at"), piece.alias("seg"))
 
 
-def removed_spans(keyed: DataFrame, group: int = GROUP) -> list[DataFrame]:
-    """Tables (doc, row, spans) for the texts of keyed(doc, row, text) that lose bytes; spans (start, end) cover them.
+def removed_spans(keyed: DataFrame, by: list[str], group: int = GROUP) -> list[DataFrame]:
+    """Tables (by, late) and (by, spans) for the texts of keyed(by, text) that lose bytes: places of runs, and spans (start, end).
 
     Each step is written before the next begins, so that its shuffle files and the tables before it can go.
     """
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sort = lambda df: df.select("h", "doc", "row", "start", "seg").repartition(n, "h").sortWithinPartitions("h").mapInArrow(_spans, "doc long, row long, start int, end int")
-    anchors = keyed.select("doc", "row", "text").mapInArrow(_anchors, "h long, doc long, row long")
-    shared = spill(anchors.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("h"))
-    lists = spill(anchors.join(shared, "h").groupBy("doc", "row").agg(F.collect_set("h").alias("hs")))
+    key = ", ".join(f"{c} long" for c in by)
+    sort = lambda df: df.select("h", *by, "start", "seg").repartition(n, "h").sortWithinPartitions("h").mapInArrow(_spans(by), f"{key}, start int, end int")
+    anchors = keyed.select(*by, "text").mapInArrow(_anchors(by), f"h long, {key}")
+    shared = spill(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    lists = spill(anchors.join(shared.hint("shuffle_hash"), "h").groupBy(*by).agg(F.collect_list("h").alias("hs")))
     discard(shared)
-    runs = spill(keyed.join(lists, ["doc", "row"]).select("doc", "row", "text", "hs").mapInArrow(_runs, _RUN))
+    runs = spill(keyed.join(lists.hint("shuffle_hash"), by).select(*by, "text", "hs").mapInArrow(_runs(by), f"h long, sd long, {key}, place long"))
     discard(lists)
-    judged = _judged(runs, ["h", "sd"], group)
-    late = F.collect_list(F.when(F.col("late"), F.struct("start", "end")))
-    asked = F.collect_list(F.when(~F.col("late"), F.struct("h", "start", "end", "at", "hot")))
-    whole = spill(judged.groupBy("doc", "row").agg(late.alias("spans"), asked.alias("open")))
-    discard(runs)
-    parts = spill(keyed.join(whole.where(F.size("open") > 0), ["doc", "row"]).select("doc", "row", "text", "open").mapInArrow(_cutouts, _SEGMENT))
-    spans = sort(parts.where("not hot"))
+    classes = spill(_classes(runs))
+    late = F.collect_list(F.when(F.col("late"), F.col("place")))
+    asked = F.collect_list(F.when(~F.col("late"), F.struct("h", "place", "hot")))
+    whole = spill(_judged(runs, classes, group).groupBy(*by).agg(late.alias("late"), asked.alias("open")))
+    discard(runs), discard(classes)
+    parts = spill(keyed.join(whole.where(F.size("open") > 0).hint("shuffle_hash"), by).select(*by, "text", "open").mapInArrow(_cutouts(by), f"h long, {key}, start int, at int, seg binary, hot boolean"))
+    found = [spill(sort(parts.where("not hot")))]
     hot, width, made = parts.where("hot"), 16, [parts]
     while not hot.isEmpty():  # at width 1 a piece is one window, and no group has two classes
-        pieces = spill(_halves(hot, width))
-        judged = spill(_judged(pieces, ["h", "sd"], group))
+        pieces = spill(_halves(hot, by, width))
+        judged = spill(_judged(pieces, _classes(pieces), group))
         discard(pieces)
-        made.append(judged)
-        spans = spans.unionAll(judged.where("late").select("doc", "row", "start", (F.col("start") + F.length("seg")).alias("end"))).unionAll(sort(judged.where("not late and not hot")))
+        found.append(spill(judged.where("late").select(*by, "start", (F.col("start") + F.length("seg")).alias("end")).unionAll(sort(judged.where("not late and not hot")))))
         hot, width = judged.where("not late and hot"), width // 2
-    found = spill(spans.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
-    for table in made:
+        made.append(judged)
+    spans = found[0]
+    for table in found[1:]:
+        spans = spans.unionAll(table)
+    spans = spill(spans.groupBy(*by).agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    for table in made + found:
         discard(table)
-    return [whole.select("doc", "row", "spans"), found]
+    return [whole.select(*by, "late"), spans]
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, spans, rest) -> (kept, n_bytes, n_removed, n_spans, rest)."""
+    """(text, late, spans, rest) -> (kept, n_bytes, n_removed, n_spans, rest)."""
     for batch in _slices(batches):
-        texts, lists = _texts(batch.column(0)), batch.column(1)
-        flat, ends = lists.flatten(), lists.offsets.to_numpy()
-        ends = ends - ends[0]
+        texts = _texts(batch.column(0))
+        places, lists = batch.column(1), batch.column(2)
+        late, flat = places.flatten().to_numpy(), lists.flatten()
         starts, stops = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+        late_ends, ends = places.offsets.to_numpy() - places.offsets[0].as_py(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
         kept, gone, runs = [], [], []
         for k, text in enumerate(texts):
-            lo, hi = int(ends[k]), int(ends[k + 1])
-            if lo == hi:
+            own, lo, hi = late[late_ends[k] : late_ends[k + 1]], int(ends[k]), int(ends[k + 1])
+            if not len(own) and lo == hi:
                 kept.append(text), gone.append(0), runs.append(0)
                 continue
-            order = np.argsort(starts[lo:hi], kind="stable")
-            a, b = starts[lo:hi][order], np.maximum.accumulate(stops[lo:hi][order])
+            first = np.concatenate((own >> 16, starts[lo:hi]))
+            order = np.argsort(first, kind="stable")
+            a, b = first[order], np.maximum.accumulate(np.concatenate(((own >> 16) + (own >> 8 & 255), stops[lo:hi]))[order])
             new = np.flatnonzero(np.concatenate(([True], a[1:] > b[:-1])))
             begin, end = a[new], b[np.concatenate((new[1:], [len(a)])) - 1]
             kept.append(b"".join(text[x:y] for x, y in zip([0, *end.tolist()], [*begin.tolist(), len(text)])))
             gone.append(int((end - begin).sum())), runs.append(len(new))
-        columns = [pa.array(kept, pa.binary()), pa.array(map(len, texts), pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), batch.column(2)]
+        columns = [pa.array(kept, pa.binary()), pa.array(map(len, texts), pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), batch.column(3)]
         yield pa.RecordBatch.from_arrays(columns, ["kept", "n_bytes", "n_removed", "n_spans", "rest"])
 
 
@@ -348,11 +366,10 @@ def remove_earlier(docs: DataFrame, group: int = GROUP, keep: tuple[str, ...] =
     their open runs, then with their spans, and what a step needed goes before the next. `group` bounds the classes of one
     anchor that one task sorts; it changes the plan, never the rows.
     """
-    keyed, unique = _keyed(docs, keep)
+    keyed, by = _keyed(docs, keep)
     texts = keyed.drop("rest")
-    whole, found = removed_spans(texts if unique else texts.dropDuplicates(["doc", "row"]), group)
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    spans = whole.join(found.withColumnRenamed("spans", "more"), ["doc", "row"], "full").select("doc", "row", F.concat(F.coalesce("spans", none), F.coalesce("more", none)).alias("spans"))
-    joined = keyed.join(spans, ["doc", "row"], "left").select("text", F.coalesce("spans", none).alias("spans"), "rest")
+    whole, found = removed_spans(texts if by == ["doc"] else texts.dropDuplicates(by), by, group)
+    joined = keyed.join(whole, by, "left").join(found, by, "left")
+    filled = [F.coalesce("late", F.array().cast("array<long>")).alias("late"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans")]
     kind = keyed.schema["rest"].dataType.simpleString()
-    return joined.mapInArrow(_apply, f"kept binary, n_bytes long, n_removed long, n_spans long, rest {kind}")
+    return joined.select("text", *filled, "rest").mapInArrow(_apply, f"kept binary, n_bytes long, n_removed long, n_spans long, rest {kind}")

@@ -15,11 +15,56 @@ def test_copies_and_changed_parameters(spark, make_docs):
         (10, changed + "\n" + ITEM),
     ])
     found = {r.doc_id: (r.item_id, r.similarity) for r in decontam.contaminated(docs, items(spark, ITEM, "too short", None, "A B C D E F", "one other plain item of seven words")).collect()}
-    assert set(found) == {1, 2, 9, 10}
+    assert set(found) == {1, 2, 9, 10, None}
     assert all(v == (0, 1.0) for v in found.values())
     kept = decontam.keep_clean(docs, items(spark, ITEM))
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "5", "6", "7", "8", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "5", "6", "7", "8"]
+
+
+def test_rows_without_an_id_are_judged_by_their_own_text(spark, make_docs):
+    docs = make_docs([(None, ITEM), (None, "clean words only, nothing of the kind"), (None, None), (0, "clean too"), (None, ITEM)])
+    assert [r.doc_id for r in decontam.contaminated(docs, items(spark, ITEM)).collect()] == [None]
+    assert sorted(str(r.text) for r in decontam.keep_clean(docs, items(spark, ITEM)).collect()) == ["None", "clean too", "clean words only, nothing of the kind"]
+
+
+def test_a_window_of_all_documents_and_items(spark, make_docs):
+    """Every document and item holds one passage; only those with the rest of an item are its copies."""
+    import random
+
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    common = "this is what every document and every item has to say"
+    benchmark = [f"{words(12)} {common} {words(12)}" for _ in range(30)] + [common]
+    docs = [(i, f"{words(20)} {common} {words(20)}") for i in range(200)] + [(1000 + k, words(9) + " " + benchmark[k]) for k in range(30)] + [(2000, benchmark[3].replace(common, ""))]
+    found = sorted((r.doc_id, r.item_id) for r in decontam.contaminated(make_docs(docs), items(spark, *benchmark)).collect())
+    assert found == sorted([(i, 30) for i in range(200)] + [(1000 + k, k) for k in range(30)] + [(1000 + k, 30) for k in range(30)])
+    keys = decontam.literal_windows(items(spark, *benchmark)).withColumn("by", decontam.F.lit("plain"))
+    reached = decontam._reached(decontam._keyed(make_docs(docs)), keys, 0.8)
+    assert reached.count() == len(found)
+
+
+def test_recall_of_changed_parameters(spark, make_docs):
+    """Items with numbers, units and names drawn anew are all found, others none."""
+    import random
+
+    rng = random.Random(6)
+    words = lambda n: [rng.choice("abcdefgh") + "".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+
+    def fill(frame):
+        name = {}
+        return " ".join(name.setdefault(w, rng.choice(["Alice", "Berta", "Carla", "Doris", "Emma", "Frieda"]) + str(len(name))) if w[0] == "N" else str(rng.randrange(2, 900)) if w == "#" else w for w in frame)
+
+    frames = []
+    for _ in range(40):
+        frame = words(30)
+        for k in rng.sample(range(30), 5):
+            frame[k] = rng.choice(["#", "N1", "N2"])
+        frames.append(frame)
+    benchmark = [fill(f) for f in frames]
+    docs = [(k, " ".join(words(10)) + " " + fill(f)) for k, f in enumerate(frames)] + [(100 + k, " ".join(words(60))) for k in range(40)]
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated(make_docs(docs), items(spark, *benchmark)).collect()}
+    assert found == {(k, k) for k in range(40)}
 
 
 def test_without_broadcast(spark, make_docs, monkeypatch):

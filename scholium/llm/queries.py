@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholium.llm import classifier, decontam, licences, packing, quality, simhash, suffix, tokenbin, tokencount, urlfilter
-from scholium.llm.common import read
+from scholium.llm.common import end_with_session, read, shared_path
 from scholium.llm.quality import STOP_WORDS
 
 
@@ -89,16 +89,23 @@ u AS (SELECT k, id, w, list_transform(w, lambda v: CASE WHEN regexp_matches(v, '
         WHEN regexp_matches(v, '{decontam.NAME}') AND lower(v) NOT IN ({quoted(STOP_WORDS)}) THEN '<name>' ELSE lower(v) END) AS t FROM w),
 p AS (SELECT k, id, generate_subscripts(w, 1) AS i, unnest(w) AS v, unnest(t) AS t FROM u WHERE len(w) >= 5),
 q AS (SELECT k, id, i, lower(v) AS v, CASE WHEN t IN ({quoted(decontam.UNITS)}) AND lag(t) OVER (PARTITION BY k, id ORDER BY i) = '<num>' THEN '<unit>' ELSE t END AS t FROM p),
-s AS (SELECT k, id, i, t, CASE WHEN t IN ('<num>', '<unit>', '<name>') THEN v END AS slot FROM q),
-win AS (SELECT k, id, i, list(t) OVER f AS h, list(slot) OVER f AS slots, count(*) OVER f AS n FROM s WINDOW f AS (PARTITION BY k, id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+s AS (SELECT k, id, i, t, CASE WHEN t IN ('<num>', '<unit>', '<name>') THEN v END AS slot, replace(v, 'ß', 'ss') AS w FROM q),
+win AS (SELECT k, id, i, list(t) OVER f AS h, list(slot) OVER f AS slots, list(w) OVER f AS plain, count(*) OVER f AS n FROM s WINDOW f AS (PARTITION BY k, id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
 d AS (SELECT id AS doc_id, i, h, slots AS held FROM win WHERE k = 'd' AND n = 5),
 b AS (SELECT id AS item_id, i AS q, h, slots FROM win WHERE k = 'b' AND n = 5 AND len(list_filter(slots, lambda z: z IS NULL)) >= {decontam.LITERALS}),
 c AS (SELECT item_id, count(DISTINCT h) AS n_windows FROM b GROUP BY item_id),
 m AS (SELECT doc_id, item_id, i - q AS g, h, slots, held FROM d JOIN b USING (h)),
 y AS (SELECT DISTINCT doc_id, item_id, g, slots[z] AS a, held[z] AS e FROM (SELECT *, unnest(range(1, 6)) AS z FROM m) WHERE slots[z] IS NOT NULL),
-bad AS (SELECT doc_id, item_id, g FROM y GROUP BY ALL HAVING count(*) <> count(DISTINCT a) OR count(*) <> count(DISTINCT e)),
-r AS (SELECT doc_id, item_id, count(DISTINCT h) AS n_matched FROM m ANTI JOIN bad USING (doc_id, item_id, g) GROUP BY ALL)
-SELECT doc_id, item_id, n_matched, n_windows, n_matched / n_windows AS similarity FROM r JOIN c USING (item_id) WHERE n_matched >= 0.8 * n_windows"""
+o AS (SELECT doc_id, item_id, g, a, list(e) AS es FROM y GROUP BY doc_id, item_id, g, a HAVING count(*) > 1),
+odd AS (SELECT doc_id, item_id, g, list(a) AS vs, flatten(list(es)) AS es FROM o GROUP BY doc_id, item_id, g),
+x2 AS (SELECT m.*, vs, es, [z for z in range(1, 6) if slots[z] IS NOT NULL] AS zs FROM m LEFT JOIN odd USING (doc_id, item_id, g)),
+ok AS (SELECT doc_id, item_id, h FROM x2 WHERE vs IS NULL OR len([z for z in zs if slots[z] <> held[z]]) = 0
+       OR len([z for z in zs if list_contains(vs, slots[z]) OR (slots[z] <> held[z] AND list_contains(es, held[z]))]) = 0),
+r AS (SELECT doc_id, item_id, count(DISTINCT h) AS n_matched, any_value(n_windows) AS n_windows FROM ok JOIN c USING (item_id) GROUP BY doc_id, item_id HAVING count(DISTINCT h) >= 0.8 * any_value(n_windows)),
+bp AS (SELECT DISTINCT id AS item_id, plain FROM win WHERE k = 'b' AND n = 5), cp AS (SELECT item_id, count(*) AS n_windows FROM bp GROUP BY item_id),
+dp AS (SELECT DISTINCT id AS doc_id, plain FROM win WHERE k = 'd' AND n = 5),
+rp AS (SELECT doc_id, item_id, count(*) AS n_matched, any_value(n_windows) AS n_windows FROM dp JOIN bp USING (plain) JOIN cp USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_windows))
+SELECT *, n_matched / n_windows AS similarity FROM (SELECT * FROM r UNION ALL SELECT * FROM rp ANTI JOIN r USING (doc_id, item_id))"""
 
 
 def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,10 +163,12 @@ BPE_END = 50256
 
 
 def op7_training_order(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    """Slot, shard, byte offset and record digest of every token sequence."""
+    """Place, document and digest of every record of the shards that the token sequences are written to."""
     ranks = Path(tokenizers, "byte_bpe_50k.tiktoken").read_bytes()
-    found = tokenbin.records(tokenbin.sequences(read(spark, sf_dir, "documents"), ranks, BPE_PATTERN, BPE_END))
-    return found.select("shard", "slot", "byte_offset", "doc_id", "seq", "n_tokens", F.md5("record").alias("record_md5"))
+    path = shared_path(spark, "shards")
+    tokenbin.write_shards(tokenbin.sequences(read(spark, sf_dir, "documents"), ranks, BPE_PATTERN, BPE_END), path)
+    end_with_session(spark, path)
+    return tokenbin.read_shards(spark, path).withColumn("record_md5", F.md5("record")).drop("record")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:

@@ -9,16 +9,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm.common import spill
+from scholium.llm.common import spill, with_cleanup
 
 #: Tokens of a sequence; sequences of a shard.
 LENGTH, SHARD = 1024, 65_536
-#: Bytes before the token ids: how many of them are real, little-endian. A line feed ends each record.
-HEAD, TAIL = 4, 1
+#: Bytes of a record before its token ids: slot (8), doc_id (8), number of the sequence (4) and of its tokens (4), big-endian; the
+#: last number's highest bit marks a null doc_id. A line feed ends each record.
+HEAD, TAIL = 24, 1
+NO_DOC = 1 << 31
 ROUNDS = 6
+#: Writes that the shards are dealt to, so that the shuffle files of one can go before the next.
+WAVES = 8
 
 
 def stride(length: int = LENGTH) -> int:
@@ -60,9 +64,10 @@ def sequences(docs: DataFrame, ranks: bytes, pattern: str, end: int, length: int
     """(slot, doc_id, seq, n_tokens, ids): the sequences of docs(doc_id, text, ...), each at its global slot.
 
     The token ids of a text (two little-endian bytes each) and the end id are cut into sequences of `length`; the
-    last may be shorter. Numbered by (doc_id, seq), they go to slots 0, 1, ... without gaps by a keyed Feistel
+    last may be shorter. Numbered by doc_id, of equal ids by a hash of the text, and seq, they go to slots 0, 1, ... without gaps by a keyed Feistel
     permutation, so the order depends on the key and the rows alone. Null and empty texts give the end id only; a
-    null doc_id comes first; repeated rows have sequences each; no rows give no rows; other columns are ignored.
+    null doc_id comes first; repeated rows have sequences each; very long texts have as many sequences as they need; no
+    rows give no rows; other columns are ignored.
 
     Texts are dealt by ranges of doc_id once, so that the order of partitions and rows is the numbering; token ids are
     then written, and only a count for each partition reaches the driver. Slots are worked out from a row's place
@@ -86,7 +91,10 @@ def sequences(docs: DataFrame, ranks: bytes, pattern: str, end: int, length: int
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["doc_id", "seq", "n_tokens", "ids"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    text = F.col("text").cast("string")
+    # Null ids lie in one range; a hash of the text spreads them, as it does rows that repeat an id.
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    dealt = keyed.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     rows = dealt.mapInArrow(encoded, "doc_id long, seq int, n_tokens int, ids binary")
     rows = spill(rows.withColumn("at", F.monotonically_increasing_id()))  # partition << 33 | row
     counts = {r["p"]: r["n"] for r in rows.groupBy(F.shiftright("at", 33).alias("p")).agg(F.count("*").alias("n")).collect()}
@@ -103,29 +111,61 @@ def sequences(docs: DataFrame, ranks: bytes, pattern: str, end: int, length: int
     return rows.select(slot("at").alias("slot"), "doc_id", "seq", "n_tokens", "ids")
 
 
-def records(found: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
-    """(shard, slot, byte_offset, doc_id, seq, n_tokens, record), range-partitioned and sorted by slot. Records are
-    padded with zeros to one stride; byte_offset is the record's place in its shard's file."""
-    n = F.col("n_tokens")
-    head = F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(n, 8 * i).bitwiseAND(255)), 2, "0") for i in range(HEAD))))
-    record = F.concat(head, F.rpad("ids", 2 * length, F.lit(b"\0")), F.lit(b"\n"))
-    where = [F.floor(F.col("slot") / shard).alias("shard"), "slot", ((F.col("slot") % shard) * stride(length)).alias("byte_offset")]
-    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = found.repartitionByRange(parts, "slot").sortWithinPartitions("slot")
-    return dealt.select(*where, "doc_id", "seq", "n_tokens", record.alias("record"))
+def records(found: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(slot, record) of sequences(): head, token ids padded with zeros to one stride, and a line feed."""
 
+    def big(x: Column, size: int) -> Column:
+        return F.lpad(F.right(F.hex(x), F.lit(2 * size)), 2 * size, "0")
 
-def write_shards(found: DataFrame, path: str, length: int = LENGTH, shard: int = SHARD) -> None:
+    count = F.col("n_tokens").cast("long") + F.when(F.col("doc_id").isNull(), NO_DOC).otherwise(0)
+    head = F.unhex(F.concat(big(F.col("slot"), 8), big(F.coalesce("doc_id", F.lit(0)), 8), big(F.col("seq").cast("long"), 4), big(count, 4)))
+    return found.select("slot", F.concat(head, F.rpad("ids", 2 * length, F.lit(b"\0")), F.lit(b"\n")).alias("record"))
+
+
+def write_shards(found: DataFrame, path: str, length: int = LENGTH, shard: int = SHARD, waves: int = WAVES) -> None:
     """Writes one file a shard below path/shard=N, by Spark's own committer: a lost task is written anew, whole files
-    only appear. Slot s lies at stride * (s mod shard) of shard s div shard."""
-    rows = records(found, length, shard)
-    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("shard", "slot", F.substring("record", 1, stride(length) - TAIL).cast("string").alias("value")).repartitionByRange(parts, "shard").sortWithinPartitions("shard", "slot")
-    dealt.select("value", "shard").write.partitionBy("shard").option("lineSep", "\n").text(path)
+    only appear. Slot s lies at stride * (s mod shard) of shard s div shard.
+
+    Each shard is one range of slots, sorted in one task. The shards go in `waves` one after the other, and the shuffle
+    files of a wave are removed before the next; an interrupted write can go on with the shards that are not there.
+    """
+    spark = found.sparkSession
+    last = found.agg(F.max("slot")).first()[0]
+    if last is None:
+        return
+    n = last // shard + 1
+    each = -(-n // waves)
+    for first in range(0, n, each):
+        rows = found.where(F.col("slot").between(first * shard, (first + each) * shard - 1))
+        parts = min(each, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        rows = records(rows, length).select(F.floor(F.col("slot") / shard).alias("shard"), "slot", F.substring("record", 1, stride(length) - TAIL).cast("string").alias("value"))
+        dealt = rows.repartitionByRange(parts, "shard").sortWithinPartitions("shard", "slot")
+        with_cleanup(spark, lambda dealt=dealt: dealt.select("value", "shard").write.mode("append").partitionBy("shard").option("lineSep", "\n").text(path))
+
+
+def read_shards(spark: SparkSession, path: str, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
+    """(shard, slot, byte_offset, doc_id, seq, n_tokens, record) of the files below path, in record-sized steps: a file may be
+    of any size and is read by several tasks, each from a multiple of the stride on.
+
+    shard is the file's folder, the rest is what each record's head says; byte_offset is the place of its slot in that file.
+    """
+    sc = spark.sparkContext
+    raw = sc._jsc.sc().binaryRecords(f"{path}/shard=*/part-*", stride(length), sc._jsc.hadoopConfiguration())
+    kind = sc._jvm.org.apache.spark.sql.Encoders.BINARY()
+    rows = DataFrame(spark._jsparkSession.createDataset(raw, kind).toDF(), spark).toDF("record")
+
+    def number(at: int, size: int) -> Column:
+        return F.conv(F.hex(F.substring("record", at + 1, size)), 16, -10).cast("long")
+
+    rows = rows.select(F.regexp_extract(F.input_file_name(), r"shard=(\d+)/[^/]*$", 1).cast("long").alias("shard"), "record", number(0, 8).alias("slot"), number(8, 8).alias("doc"), number(16, 4).cast("int").alias("seq"), number(20, 4).alias("count"))
+    return rows.select(
+        "shard", "slot", ((F.col("slot") - F.col("shard") * shard) * stride(length)).alias("byte_offset"), F.when(F.col("count") < NO_DOC, F.col("doc")).alias("doc_id"), "seq",
+        (F.col("count") % NO_DOC).cast("int").alias("n_tokens"), "record",
+    )
 
 
 def read_shard(data: bytes, length: int = LENGTH, start: int = 0) -> Iterator[np.ndarray]:
     """The token ids of each record of a shard file from its start-th record on."""
     for at in range(start * stride(length), len(data), stride(length)):
-        n = int.from_bytes(data[at : at + HEAD], "little")
+        n = int.from_bytes(data[at + HEAD - 4 : at + HEAD]) % NO_DOC
         yield np.frombuffer(data, dtype="<u2", count=n, offset=at + HEAD)

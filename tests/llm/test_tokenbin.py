@@ -48,8 +48,32 @@ def test_round_trip_through_shards(spark, make_docs, corpus, tmp_path):
     assert tokenbin.sequences(make_docs([]), ranks, BPE_PATTERN, BPE_END).collect() == []
 
 
-def test_records(make_docs):
-    found = tokenbin.sequences(make_docs([(1, "some words"), (2, "more words here")]), RANKS.read_bytes(), BPE_PATTERN, BPE_END, 8)
-    for r in tokenbin.records(found, 8, 2).collect():
-        assert len(r.record) == tokenbin.stride(8) and int.from_bytes(r.record[:4], "little") == r.n_tokens
-        assert (r.shard, r.byte_offset) == (r.slot // 2, r.slot % 2 * tokenbin.stride(8))
+def test_shards_against_brute_force(spark, make_docs, corpus, tmp_path):
+    """Every record of every file, in its place, of null and repeated ids too."""
+    from pyspark.sql import functions as F
+
+    ranks, length, shard = RANKS.read_bytes(), 16, 8
+    rows = [*corpus, (None, "one text without an id"), (None, None), (3, "a repeated id"), (3, "a repeated id")]
+    tie = {r.t: r.h for r in spark.createDataFrame([(t,) for _, t in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    bpe = tokenbin.byte_bpe(ranks, BPE_PATTERN)
+    wanted = []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]], r[1] or "")):
+        ids = [*bpe.encode_ordinary(t or ""), BPE_END]
+        wanted += [(i, k // length, ids[k : k + length]) for k in range(0, len(ids), length)]
+    slots = tokenbin.feistel(np.arange(len(wanted)), len(wanted), 77).tolist()
+    path = str(tmp_path / "out")
+    tokenbin.write_shards(tokenbin.sequences(make_docs(rows), ranks, BPE_PATTERN, BPE_END, length, key=77), path, length, shard, waves=3)
+    files = {int(f.name[6:]): next(f.glob("part-*")).read_bytes() for f in (tmp_path / "out").glob("shard=*")}
+    for (i, seq, ids), s in zip(wanted, slots):
+        data, at = files[s // shard], s % shard * tokenbin.stride(length)
+        head = [int.from_bytes(data[at + a : at + b]) for a, b in ((0, 8), (8, 16), (16, 20), (20, 24))]
+        assert head == [s, i or 0, seq, len(ids) + (tokenbin.NO_DOC if i is None else 0)]
+        assert next(tokenbin.read_shard(data, length, s % shard)).tolist() == ids
+    back = sorted((r.slot, r.shard, r.byte_offset, r.doc_id, r.seq, r.n_tokens, bytes(r.record)) for r in tokenbin.read_shards(spark, path, length, shard).collect())
+    assert [r[:6] for r in back] == [(s, s // shard, s % shard * tokenbin.stride(length), i, seq, len(ids)) for s, (i, seq, ids) in sorted(zip(slots, wanted), key=lambda x: x[0])]
+    assert all(files[r[1]][r[2] : r[2] + tokenbin.stride(length)] == r[6] for r in back)
+
+
+def test_no_rows_write_no_shard(make_docs, tmp_path):
+    tokenbin.write_shards(tokenbin.sequences(make_docs([]), RANKS.read_bytes(), BPE_PATTERN, BPE_END), str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()

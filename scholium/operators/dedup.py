@@ -3,21 +3,38 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholium.functions import text as T
 
 
+#: Links that are left for one task to scan in order; while there are more, rounds go on.
+LOCAL = 1_000_000
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder that the session names; a local one only where it names none."""
+    """df written to the checkpoint folder that the session names. Only a local session that names none gets one of its
+    own; on a cluster a missing setting is an error, as executors would not share that folder."""
     spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder; on a cluster it has to be one that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if its scan gives fewer (a small table in one row group)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def title_key():
     return F.lower(T.strip(T.text_or_empty(F.col("title"))))
 
@@ -38,31 +55,40 @@ def exact_title_dedup(studies: DataFrame) -> DataFrame:
     return studies.join(first, "pos", "left_semi")
 
 
-def greedy_dedup(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, DataFrame]:
+def greedy_dedup(nodes: DataFrame, edges: DataFrame, local: int = LOCAL) -> tuple[DataFrame, DataFrame]:
     """(kept, log) of the greedy scan in pos order: a node goes if an earlier one that stays is linked to it.
 
     nodes(pos), edges(a, b, similarity) with a < b. Each round keeps the undecided nodes to which no undecided
-    earlier node is linked, and removes what they reach; this ends in as many rounds as the longest chain of such
-    links. log(kept, removed, similarity) names the first kept node that reaches each removed one.
+    earlier node is linked, and removes what they reach, until no node is undecided. Rounds end early once no more
+    than `local` links between undecided nodes are left: one task scans these in order, which gives the same rows in one step however
+    long their chains are. log(kept, removed, similarity) names the first kept node that reaches each removed one. Only counts reach the driver.
     """
     edges = checkpointed(edges.select("a", "b", "similarity"))
-    linked = edges.select(F.col("b").alias("pos")).distinct()
-    # A node that no earlier one is linked to stays from the start.
-    undecided = checkpointed(nodes.join(linked, "pos", "left_semi").select("pos"))
-    kept = nodes.join(linked, "pos", "left_anti").select("pos")
+    alive = edges.select("a", "b")
     removed = None
-    fresh = kept
-    for _ in range(max_rounds):
-        gone = edges.join(fresh.withColumnRenamed("pos", "a"), "a", "left_semi").select(F.col("b").alias("pos")).distinct().join(undecided, "pos", "left_semi")
-        gone = checkpointed(gone)
-        removed = gone if removed is None else removed.unionAll(gone)
-        undecided = undecided.join(gone, "pos", "left_anti")
-        waiting = edges.join(undecided.withColumnRenamed("pos", "a"), "a", "left_semi").select(F.col("b").alias("pos")).distinct()
-        fresh = checkpointed(undecided.join(waiting, "pos", "left_anti"))
-        kept = kept.unionAll(fresh)
-        undecided = checkpointed(undecided.join(fresh, "pos", "left_anti"))
-        if fresh.isEmpty():
+    while True:
+        if alive.count() <= local:
+            gone = checkpointed(alive.coalesce(1).sortWithinPartitions("b", "a").mapInPandas(_scan, "pos long"))
+            removed = gone if removed is None else removed.unionAll(gone)
             break
-    kept = checkpointed(kept)
-    log = edges.join(kept.withColumnRenamed("pos", "a"), "a", "left_semi").groupBy("b").agg(F.min(F.struct("a", "similarity")).alias("first"))
+        # A node that no undecided earlier one is linked to stays; what it reaches goes, and with it its links.
+        late = alive.select(F.col("b").alias("pos")).distinct()
+        stays = alive.select(F.col("a").alias("pos")).distinct().join(late, "pos", "left_anti")
+        gone = checkpointed(alive.join(stays, alive.a == stays.pos, "left_semi").select(F.col("b").alias("pos")).distinct())
+        removed = gone if removed is None else removed.unionAll(gone)
+        alive = checkpointed(alive.join(gone, alive.b == gone.pos, "left_anti").join(gone, alive.a == gone.pos, "left_anti"))
+    kept = checkpointed(nodes.select("pos").join(removed, "pos", "left_anti"))
+    log = edges.join(removed, edges.a == removed.pos, "left_anti").groupBy("b").agg(F.min(F.struct("a", "similarity")).alias("first"))
     return kept, log.select(F.col("first.a").alias("kept"), F.col("b").alias("removed"), F.col("first.similarity").alias("similarity"))
+
+
+def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links (a, b) sorted by b -> the nodes that go."""
+    gone: set[int] = set()
+    for frame in frames:
+        fresh = []
+        for a, b in zip(frame["a"].tolist(), frame["b"].tolist()):
+            if b not in gone and a not in gone:
+                gone.add(b)
+                fresh.append(b)
+        yield pd.DataFrame({"pos": fresh}, dtype="int64")

@@ -12,7 +12,8 @@ def fixed_effect(rows: DataFrame, by: list[str], effect: str = "effect_size", lo
     """(by, pooled_effect, pooled_se, ci_lower, ci_upper, q, i_squared, tau_squared, k) of each group.
 
     Rows without an effect or an interval are left out; an interval of no width counts as a standard error of
-    1e-6. One grouped aggregation of sums, combined before the shuffle: Q is found from them, no second pass.
+    1e-6. Two grouped aggregations, both combined before the shuffle: the least effect of each group, then sums of
+    what effects have over it, from which Q is found without losing digits. Without `by` the one row of least effects is broadcast.
     """
     z = NormalDist().inv_cdf(0.5 + level / 2)
     se = (F.col(upper) - F.col(lower)) / (2 * z)
@@ -20,7 +21,7 @@ def fixed_effect(rows: DataFrame, by: list[str], effect: str = "effect_size", lo
     w = 1 / (F.col("se") * F.col("se"))
     # Effects are taken from the group's least one, so that Q loses no digits where they are large and alike.
     base = used.groupBy(*by).agg(F.min("es").alias("m")) if by else used.agg(F.min("es").alias("m"))
-    joined = used.join(base, by) if by else used.withColumn("one", F.lit(1)).join(base.withColumn("one", F.lit(1)), "one")
+    joined = used.join(base, by) if by else used.join(F.broadcast(base), F.col("es") >= F.col("m"))
     d = F.col("es") - F.col("m")
     sums = joined.groupBy(*by, "m").agg(F.sum(w).alias("sw"), F.sum(w * d).alias("swd"), F.sum(w * d * d).alias("swdd"), F.sum(w * w).alias("sww"), F.count("*").alias("k"))
     pooled, pooled_se = F.col("m") + F.col("swd") / F.col("sw"), 1 / F.sqrt("sw")

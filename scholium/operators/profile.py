@@ -50,13 +50,20 @@ def profile_studies(studies: DataFrame, chunks: DataFrame | None = None, domains
         T.value_range(T.pressures_bar(text)).alias("pressure"),
         top_keywords(T.keywords(text, stops)).alias("keywords"),
     )
-    if chunks is not None:
-        found = chunks.select("study_pmid", "chunk_index", "chunk_id", T.claims(F.col("text")).alias("cs")).where(F.size("cs") > 0)
-        found = found.groupBy(F.col("study_pmid").alias("pmid")).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "cs"))).alias("all"))
-        spread = F.flatten(F.transform("all", lambda c: F.transform(c["cs"], lambda x: F.struct(x["claim"].alias("claim"), x["claim_type"].alias("claim_type"), F.array(c["chunk_id"]).alias("evidence_chunk_ids")))))
-        rows = rows.join(found.select("pmid", F.slice(spread, 1, max_claims).alias("claims")), "pmid", "left")
     last = rows.groupBy("paper_id").agg(F.max_by(F.struct(*(c for c in rows.columns if c != "paper_id")), "pos").alias("p"))
-    return last.select("paper_id", *(F.col(f"p.{c}").alias(c) for c in rows.columns if c not in ("paper_id", "pos", "pmid")))
+    found = last.select("paper_id", *(F.col(f"p.{c}").alias(c) for c in rows.columns if c not in ("paper_id", "pos", "pmid")))
+    return found if chunks is None else with_claims(found, studies, chunks, max_claims)
+
+
+def with_claims(profiles: DataFrame, studies: DataFrame, chunks: DataFrame, max_claims: int = 50) -> DataFrame:
+    """profiles with the claims of their paper's last study: the first two of each chunk, in chunk order, up to
+    max_claims. A study's chunks are cut from one text, so its group is as bounded as that."""
+    last = studies.groupBy(T.paper_id(F.col("pmid"), F.col("doi")).alias("paper_id")).agg(F.max_by("pmid", "pos").alias("pmid"))
+    said = chunks.select("study_pmid", "chunk_index", "chunk_id", T.claims(F.col("text")).alias("cs")).where(F.size("cs") > 0)
+    said = said.groupBy(F.col("study_pmid").alias("pmid")).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "cs"))).alias("all"))
+    spread = F.flatten(F.transform("all", lambda c: F.transform(c["cs"], lambda x: F.struct(x["claim"].alias("claim"), x["claim_type"].alias("claim_type"), F.array(c["chunk_id"]).alias("evidence_chunk_ids")))))
+    claims = last.join(said.select("pmid", F.slice(spread, 1, max_claims).alias("claims")), "pmid").select("paper_id", "claims")
+    return profiles.join(claims, "paper_id", "left")
 
 
 def phase_flags(profile: dict[str, Column] | None = None) -> Column:

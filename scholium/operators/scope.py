@@ -9,15 +9,15 @@ from scholium.functions import lexicon
 from scholium.functions import text as T
 
 
-def scope_features(studies: DataFrame, clusters=None, anchors=None, negatives=None, raw_chars: int = 6000) -> DataFrame:
+def scope_features(studies: DataFrame, clusters=None, anchors=None, negatives=None, raw_chars: int = 6000, keep: tuple[str, ...] = ()) -> DataFrame:
     """(pos, pmid, title, cluster_hits map, anchor_hits, negative_hits, positive_score) over title, abstract and the
-    first raw_chars characters of the raw text."""
+    first raw_chars characters of the raw text, and the columns of studies that keep names."""
     clusters, anchors, negatives = clusters or lexicon.SCOPE_CLUSTERS, anchors or lexicon.SCOPE_ANCHORS, negatives or lexicon.SCOPE_NEGATIVES
     text = F.concat_ws("\n", T.text_or_empty(F.col("title")), T.text_or_empty(F.col("abstract")), F.substring(T.text_or_empty(F.col("raw_text")), 1, raw_chars))
-    rows = studies.select("pos", "pmid", "title", text.alias("t"))
+    rows = studies.select("pos", "pmid", "title", *keep, text.alias("t"))
     hits = F.array(*(F.struct(F.lit(k).alias("k"), T.count_matching(F.col("t"), p).alias("n")) for k, p in clusters.items()))
-    rows = rows.select("pos", "pmid", "title", F.filter(hits, lambda x: x["n"] > 0).alias("h"), T.count_matching(F.col("t"), anchors).alias("anchor_hits"), T.count_matching(F.col("t"), negatives).alias("negative_hits"))
-    return rows.select("pos", "pmid", "title", F.map_from_entries("h").alias("cluster_hits"), "anchor_hits", "negative_hits", (F.size("h") + F.least("anchor_hits", F.lit(3))).alias("positive_score"))
+    rows = rows.select("pos", "pmid", "title", *keep, F.filter(hits, lambda x: x["n"] > 0).alias("h"), T.count_matching(F.col("t"), anchors).alias("anchor_hits"), T.count_matching(F.col("t"), negatives).alias("negative_hits"))
+    return rows.select("pos", "pmid", "title", *keep, F.map_from_entries("h").alias("cluster_hits"), "anchor_hits", "negative_hits", (F.size("h") + F.least("anchor_hits", F.lit(3))).alias("positive_score"))
 
 
 def with_scope(features: DataFrame, min_positive: int = 2, max_negative_without_anchor: int = 2, max_negative_with_anchor: int = 6) -> DataFrame:
@@ -28,6 +28,12 @@ def with_scope(features: DataFrame, min_positive: int = 2, max_negative_without_
     return features.withColumn("in_scope", (F.col("positive_score") >= least) & ~out)
 
 
+def in_scope(studies: DataFrame, tables: dict, limits: dict) -> DataFrame:
+    """The studies in scope, by one pass over them."""
+    others = tuple(c for c in studies.columns if c not in ("pos", "pmid", "title"))
+    return with_scope(scope_features(studies, **tables, keep=others), **limits).where("in_scope").select(studies.columns)
+
+
 def scope_filter(studies: DataFrame, judged: DataFrame) -> DataFrame:
     """The studies in scope."""
     return studies.join(judged.where("in_scope").select("pos"), "pos", "left_semi")

@@ -1,15 +1,17 @@
-"""The analysis of a collection of studies against an outline, as one lazily composed plan."""
+"""The analysis of a collection of studies against an outline, each result made when asked for."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholium.functions import text as T
 from scholium.operators import chunk, coverage, gate, profile, routing, scope
-from scholium.operators.dedup import checkpointed
+from scholium.operators.dedup import checkpointed, spread
 
 
 @dataclass(frozen=True)
@@ -31,42 +33,73 @@ class Settings:
     vocabulary: tuple[str, ...] = ()
 
 
-@dataclass
 class Analysis:
-    scoped: DataFrame
-    studies: DataFrame
-    chunks: DataFrame
-    profiles: DataFrame
-    flags: DataFrame
-    tags: DataFrame
-    judged: DataFrame
-    stats: DataFrame
-    evidence: DataFrame
-    coverage: DataFrame
-
-
-def analyse(studies: DataFrame, sections: DataFrame, settings: Settings = Settings(), embed=None) -> Analysis:
     """Scope, chunks, profiles, flags, tags, gate and coverage of studies against sections (parent, folder, prompt, ...).
 
-    embed(Column) -> Column of array<double> is any text embedding; without one, texts are vectors of how often they
-    hold the words of settings.vocabulary. Chunks, profiles, routed pairs and judged tags, on which several results rest, are written
-    to the checkpoint folder as they are made; everything after them is lazy.
+    Every result is made when it is first asked for. Studies in scope, chunks, profiles, routed pairs and judged tags, on which
+    several results rest, are written to the checkpoint folder then; the others are lazy.
     """
-    embed = embed or (lambda c: routing.term_vector(c, list(settings.vocabulary)))
-    scoped = scope.with_scope(scope.scope_features(studies, **settings.scope), **settings.scope_limits)
-    kept = scope.scope_filter(studies, scoped) if settings.scope_on else studies
-    chunks = checkpointed(chunk.chunk_studies(kept, settings.max_words, settings.overlap))
-    profiles = checkpointed(profile.profile_studies(kept, None, **settings.labels))
-    outline = sections.withColumn("v", embed(F.col("prompt")))
-    routed = checkpointed(routing.route(chunks.withColumn("v", embed(F.col("text"))), outline, profiles, settings.threshold, settings.top_k, settings.guarded))
-    tags = routing.tags(routed)
-    flags = profile.validation_flags(kept, chunks, profiles).unionByName(routing.routing_flags(routed))
-    high = profile.high_flag_ids(flags) if settings.drop_high_flags else None
-    judged = checkpointed(gate.judge_tags(tags, chunks, sections, profiles, high, settings.min_eligibility))
-    return Analysis(
-        scoped, kept, chunks, profiles, flags, tags, judged, gate.gate_stats(judged, sections, settings.evidence, settings.min_eligibility),
-        gate.ranked_evidence(judged, settings.evidence), coverage.coverage(sections, tags),
-    )
+
+    def __init__(self, studies: DataFrame, sections: DataFrame, settings: Settings, embed: Callable[[Column], Column]):
+        self.given, self.sections, self.settings, self.embed = spread(studies), sections, settings, embed
+
+    @cached_property
+    def scoped(self) -> DataFrame:
+        return scope.with_scope(scope.scope_features(self.given, **self.settings.scope), **self.settings.scope_limits)
+
+    @cached_property
+    def studies(self) -> DataFrame:
+        return checkpointed(scope.in_scope(self.given, self.settings.scope, self.settings.scope_limits) if self.settings.scope_on else self.given)
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        return checkpointed(chunk.chunk_studies(self.studies, self.settings.max_words, self.settings.overlap))
+
+    @cached_property
+    def profiles(self) -> DataFrame:
+        """Profiles without claims, which no test of routing or gate asks for."""
+        return checkpointed(profile.profile_studies(self.studies, None, **self.settings.labels))
+
+    @cached_property
+    def claimed_profiles(self) -> DataFrame:
+        return profile.with_claims(self.profiles, self.studies, self.chunks)
+
+    @cached_property
+    def routed(self) -> DataFrame:
+        outline = self.sections.withColumn("v", self.embed(F.col("prompt")))
+        s = self.settings
+        return checkpointed(routing.route(self.chunks.withColumn("v", self.embed(F.col("text"))), outline, self.profiles, s.threshold, s.top_k, s.guarded))
+
+    @cached_property
+    def tags(self) -> DataFrame:
+        return routing.tags(self.routed)
+
+    @cached_property
+    def flags(self) -> DataFrame:
+        return profile.validation_flags(self.studies, self.chunks, self.profiles).unionByName(routing.routing_flags(self.routed))
+
+    @cached_property
+    def judged(self) -> DataFrame:
+        high = profile.high_flag_ids(self.flags) if self.settings.drop_high_flags else None
+        return checkpointed(gate.judge_tags(self.tags, self.chunks, self.sections, self.profiles, high, self.settings.min_eligibility))
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return gate.gate_stats(self.judged, self.sections, self.settings.evidence, self.settings.min_eligibility)
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        return gate.ranked_evidence(self.judged, self.settings.evidence)
+
+    @cached_property
+    def coverage(self) -> DataFrame:
+        return coverage.coverage(self.sections, self.tags)
+
+
+def analyse(studies: DataFrame, sections: DataFrame, settings: Settings = Settings(), embed: Callable[[Column], Column] | None = None) -> Analysis:
+    """The analysis of studies. embed(Column) -> Column of array<double> is any text embedding; without one, texts are
+    vectors of how often they hold the words of settings.vocabulary."""
+    return Analysis(studies, sections, settings, embed or (lambda c: routing.term_vector(c, list(settings.vocabulary))))
 
 
 def evidence_package(evidence: DataFrame, chunks: DataFrame, studies: DataFrame) -> DataFrame:

@@ -51,6 +51,18 @@ def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*(F.round(c, places).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))
 
 
+def _millionths(name: str):
+    """A share as a whole number of millionths, the floor of x * 1e6 + 0.5: engines round ties of decimals apart."""
+    return F.floor(F.col(name) * 1e6 + 0.5).cast("long").alias(name)
+
+
+def _digits(name: str):
+    """A number to five significant digits, as digits and exponent: intervals of no width weigh 1e12, so places would not do."""
+    x = F.col(name)
+    power = F.floor(F.log10(F.abs(x)))
+    return F.when(x == 0, "0").otherwise(F.concat(F.floor(x / F.pow(F.lit(10.0), power) * 1e4 + 0.5).cast("string"), F.lit("e"), power.cast("int").cast("string"))).alias(name)
+
+
 @query
 def studies_view(spark, sf):
     """Documents as studies."""
@@ -200,9 +212,11 @@ def cosine_pairs(spark, sf):
 
 @query
 def cosine_topk_sections(spark, sf):
-    """Vectors routed to the first eight as sections, without guardrails."""
+    """Vectors routed to sections that are the mean vector of each label, without guardrails."""
     vectors = _unit(spark, sf)
-    outlined = vectors.where("pos < 8").select(F.col("pos").cast("int").alias("section_pos"), F.lit("p").alias("parent"), F.concat(F.lit("s"), F.col("pos").cast("string")).alias("folder"), "v", (F.col("pos") % 4 / 20.0).alias("min_similarity"), F.lit("soft").alias("routing_strictness"))
+    spread = _read(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    means = spread.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda y: y["x"]).alias("v"))
+    outlined = means.select(F.col("label").cast("int").alias("section_pos"), F.lit("p").alias("parent"), F.concat(F.lit("s"), F.col("label").cast("string")).alias("folder"), "v", (F.col("label") % 4 / 20.0).alias("min_similarity"), F.lit("soft").alias("routing_strictness"))
     rows = vectors.select(F.col("pos").cast("string").alias("chunk_id"), F.col("pos").cast("string").alias("study_pmid"), F.col("pos").cast("string").alias("paper_id"), F.lit("").alias("text"), "v")
     routed = routing.route(rows, outlined, rows, 0.02, 3, guarded=False)
     return _rounded(routed.where("assigned").select("chunk_id", "section_pos", "similarity"))
@@ -218,7 +232,8 @@ def greedy_vector_dedup(spark, sf):
 @query
 def routed_tags(spark, sf):
     """Tags of chunks with score and notes."""
-    return _rounded(_analysis(spark, sf).tags.select("chunk_id", "section_pos", "similarity", "eligibility_score", F.array_join("routing_notes", ";").alias("notes")))
+    tags = _analysis(spark, sf).tags
+    return tags.select("chunk_id", "section_pos", _millionths("similarity"), _millionths("eligibility_score"), F.array_join("routing_notes", ";").alias("notes"))
 
 
 @query
@@ -237,7 +252,7 @@ def evidence_gate_stats(spark, sf):
 @query
 def evidence_ranked(spark, sf):
     """Accepted evidence in rank order."""
-    return _rounded(_analysis(spark, sf).evidence.select("parent", "folder", "rank", "chunk_id", "similarity"))
+    return _analysis(spark, sf).evidence.select("parent", "folder", "rank", "chunk_id", _millionths("similarity"))
 
 
 @query
@@ -278,7 +293,8 @@ def candidate_pairs(spark, sf):
 def meta_fixed_effect(spark, sf):
     """Pooled prices of each flag and status."""
     rows = _read(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", (F.col("l_extendedprice") / 10000).alias("effect_size"), (F.col("l_extendedprice") / 10000 - F.col("l_discount")).alias("ci_lower"), F.when(F.col("l_quantity") > 3, F.col("l_extendedprice") / 10000 + F.col("l_discount") + F.col("l_tax")).alias("ci_upper"))
-    return _rounded(meta.fixed_effect(rows, ["l_returnflag", "l_linestatus"]), 4)
+    found = meta.fixed_effect(rows, ["l_returnflag", "l_linestatus"])
+    return found.select(*(_digits(c) if k == "double" else F.col(c) for c, k in found.dtypes))
 
 
 def _rob(spark, sf):
@@ -406,9 +422,8 @@ def rewrites_by_position(spark, sf):
 
 @query
 def chapter_questions(spark, sf):
-    """Roles as chapters, the first words of their turns as questions."""
-    rows = _read(spark, sf, "conversations").select("role", F.struct((F.col("conv_id") * 1000 + F.col("turn")).alias("section_pos"), F.slice(T.words(F.col("text")), 1, 2).alias("q")).alias("x"))
-    rows = rows.select(F.col("role").alias("parent"), F.col("x.section_pos").alias("section_pos"), F.col("x.q").alias("research_questions"))
+    """Conversations as chapters, the first words of their turns as questions."""
+    rows = _read(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("parent"), F.col("turn").alias("section_pos"), F.slice(T.words(F.col("text")), 1, 2).alias("research_questions"))
     return synthesis.chapter_questions(rows).select("parent", F.md5(F.array_join("questions", " ")).alias("questions_md5"))
 
 

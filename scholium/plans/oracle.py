@@ -94,6 +94,11 @@ kw3 AS (SELECT pos, w, n, i FROM kw2 QUALIFY row_number() OVER (PARTITION BY pos
 kw AS (SELECT pos, list(w ORDER BY n DESC, i) AS ks FROM kw3 GROUP BY pos)"""
 
 
+def sig(x: str) -> str:
+    """x to five significant digits, as digits and exponent."""
+    return f"(CASE WHEN ({x}) = 0 THEN '0' ELSE CAST(CAST(floor(({x}) / pow(10.0, floor(log10(abs({x})))) * 1e4 + 0.5) AS BIGINT) AS VARCHAR) || 'e' || CAST(CAST(floor(log10(abs({x}))) AS INTEGER) AS VARCHAR) END)"
+
+
 def norm(x: str) -> str:
     return rf"trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g'))"
 
@@ -155,7 +160,7 @@ prof AS (SELECT pos, pmid, domains, CASE WHEN len(p0) = 0 THEN ['unknown'] ELSE
          FROM (SELECT pos, pmid, {labels('ft', H.DOMAINS)} AS domains, {labels('ft', H.PHASES)} AS p0, {labels('ft', H.FLUIDS)} AS fluids, {labels('ft', H.TOPOLOGIES)} AS topo FROM full1) LEFT JOIN kw USING (pos)),
 outline(section_pos, parent, folder, ad, ph, need, ban, least_sim, mr, share_limit, strict, v) AS (VALUES {outline_rows()}),
 vec AS (SELECT chunk_id, study_pmid, text, {unit('v0')} AS v FROM (SELECT chunk_id, study_pmid, text, {vector('ws')} AS v0 FROM (SELECT chunk_id, study_pmid, text, {low} AS ws FROM chunk))),
-sim AS (SELECT chunk_id, study_pmid, text, o.* EXCLUDE (v), round(list_dot_product(vec.v, {unit('o.v')}), 9) AS s FROM vec, outline o),
+sim AS (SELECT chunk_id, study_pmid, text, o.* EXCLUDE (v), floor(list_dot_product(vec.v, {unit('o.v')}) * 1e9 + 0.5) / 1e9 AS s FROM vec, outline o),
 near AS (SELECT sim.*, domains, phases, blob, strict = 'hard' AS hard, len(list_filter(domains, lambda z: NOT list_contains(ad, z))) / greatest(len(domains), 1) AS fr
          FROM sim JOIN prof ON pmid = study_pmid WHERE s >= {H.THRESHOLD}),
 met AS (SELECT *, {held("(lower(text) || chr(10) || blob)", 'need')} AS met, {held('lower(text)', 'ban')} AS hit FROM near),
@@ -238,7 +243,7 @@ decided AS (SELECT pos, pmid, CASE WHEN exc AND NOT inc THEN 'exclude' WHEN sc >
     rating_list = "[" + ", ".join(rating(k) for k in range(5)) + "]"
     claim = lambda c: f"CASE WHEN regexp_matches({c}, {q('(?i)' + lexicon.QUANTITY)}) THEN 'quant' WHEN regexp_matches({c}, {q('(?i)' + lexicon.COMPARISON)}) THEN 'qual' END"
     author, plain = "áàâãäåāăąçćčďéèêëēėęěíìîïīįłñńňóòôõöøōőŕřśšşťțúùûüūůűųýÿžźż", "aaaaaaaaacccdeeeeeeeeiiiiiilnnnoooooooorrsssttuuuuuuuuyyzzz"
-    meta_w = f"pow((ci_upper - ci_lower) / (2 * {H.Z95}), -2)"
+    meta_w = f"pow(CASE WHEN ci_upper <= ci_lower THEN 1e-6 ELSE (ci_upper - ci_lower) / (2 * {H.Z95}) END, -2)"
     maps = """WITH maps AS (SELECT CAST(doc_id AS VARCHAR) AS theme, CAST(CASE WHEN none OR bad THEN 0 ELSE 1 END AS INTEGER) AS c, CAST(CASE WHEN none OR bad OR quality <> 0 THEN 0 ELSE 1 END AS INTEGER) AS a,
         CASE WHEN none THEN 'high' ELSE 'low' END AS first_priority, none OR bad OR doc_id % 4 IN (1, 2) AS g FROM (SELECT *, doc_id % 7 = 0 AS none, doc_id % 5 = 0 AS bad FROM labels))"""
     out = {
@@ -267,7 +272,9 @@ decided AS (SELECT pos, pmid, CASE WHEN exc AND NOT inc THEN 'exclude' WHEN sc >
         "study_citations": f"""WITH {STUDIES} SELECT pos, CASE WHEN pos % 5 > 0 AND coalesce(authors, '') <> '' THEN '(' || authors || CASE WHEN pos % 3 = 0 THEN ', ' || (pos % 60 + 1960) ELSE '' END || ')' ELSE '(' || pmid || ')' END AS citation,
             CASE WHEN pos % 2 = 0 THEN pmid WHEN coalesce(authors, '') <> '' THEN authors ELSE 'unknown_paper' END AS paper_id FROM studies""",
         "cosine_pairs": f"WITH {pairs} SELECT a, b, round(similarity, 6) AS similarity FROM pair",
-        "cosine_topk_sections": f"""WITH {unit_vec}, s AS (SELECT CAST(x.vec_id AS VARCHAR) AS chunk_id, y.vec_id AS p, round(list_dot_product(x.v, y.v), 9) AS s, (y.vec_id % 4) / 20.0::DOUBLE AS ms FROM u x JOIN u y ON y.vec_id < 8),
+        "cosine_topk_sections": f"""WITH {unit_vec}, e AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM e GROUP BY label, i),
+            c0 AS (SELECT label, list(x ORDER BY i) AS v0 FROM m GROUP BY label), c AS (SELECT label AS p, {unit('v0')} AS v FROM c0),
+            s AS (SELECT CAST(u.vec_id AS VARCHAR) AS chunk_id, p, floor(list_dot_product(u.v, c.v) * 1e9 + 0.5) / 1e9 AS s, (p % 4) / 20.0::DOUBLE AS ms FROM u, c),
             b AS (SELECT *, max((s < greatest(0.02, ms))::INT) OVER (PARTITION BY chunk_id ORDER BY s DESC, p DESC ROWS UNBOUNDED PRECEDING) AS blocked, row_number() OVER (PARTITION BY chunk_id ORDER BY s DESC, p DESC) AS rn FROM s)
             SELECT chunk_id, CAST(p AS INTEGER) AS section_pos, round(s, 6) AS similarity FROM b WHERE blocked = 0 AND rn <= 3""",
         "greedy_vector_dedup": f"""WITH RECURSIVE {pairs}, edge AS (SELECT a, b FROM pair), ord AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rn FROM embeddings),
@@ -275,7 +282,7 @@ decided AS (SELECT pos, pmid, CASE WHEN exc AND NOT inc THEN 'exclude' WHEN sc >
             walk(rn, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT adj.rn, CASE WHEN list_contains(gone, adj.vec_id) OR adj.bs IS NULL THEN gone ELSE list_distinct(list_concat(gone, adj.bs)) END FROM walk JOIN adj ON adj.rn = walk.rn + 1),
             last AS (SELECT gone FROM walk ORDER BY rn DESC LIMIT 1)
             SELECT min(a) AS kept, b AS removed, round(arg_min(similarity, a), 6) AS similarity FROM pair, last WHERE NOT list_contains(gone, a) GROUP BY b""",
-        "routed_tags": f"{routed()} SELECT chunk_id, section_pos, round(fs, 6) AS similarity, round(score, 6) AS eligibility_score, array_to_string(notes, ';') AS notes FROM tag",
+        "routed_tags": f"{routed()} SELECT chunk_id, section_pos, CAST(floor(fs * 1e6 + 0.5) AS BIGINT) AS similarity, CAST(floor(score * 1e6 + 0.5) AS BIGINT) AS eligibility_score, array_to_string(notes, ';') AS notes FROM tag",
         "validation_report": f"{routed()}, fl AS (SELECT unnest(flags) AS f FROM scan) SELECT f.s AS severity, f.t AS flag_type, count(*) AS n FROM fl GROUP BY GROUPING SETS ((), (f.s), (f.t))",
         "evidence_gate_stats": f"""{gated()},
             cnt AS (SELECT parent, folder, count(*) AS after_section_filter, {", ".join(f"count(*) FILTER (reason = '{r}') AS rejected_{r}" for r in REASONS)},
@@ -284,7 +291,7 @@ decided AS (SELECT pos, pmid, CASE WHEN exc AND NOT inc THEN 'exclude' WHEN sc >
               CASE WHEN closed THEN n ELSE 0 END AS rejected_section_foreign_evidence_share, CASE WHEN closed THEN 0 ELSE coalesce(n, 0) END AS accepted, CASE WHEN closed THEN 0.0 ELSE round(coalesce(sim, 0.0), 3) END AS avg_similarity,
               CASE WHEN len(o.ad) = 0 THEN 1.0 ELSE round(coalesce(purity, 0.0), 3) END AS domain_purity, CASE WHEN closed THEN 0.0 ELSE round(coalesce(ratio, 0.0), 3) END AS avg_foreign_domain_ratio,
               CASE WHEN len(o.ad) > 0 THEN round(coalesce(share, 0.0), 3) ELSE 0.0 END AS foreign_evidence_share FROM outline o LEFT JOIN cnt USING (parent, folder) LEFT JOIN shares USING (parent, folder)""",
-        "evidence_ranked": f"{gated()} SELECT parent, folder, CAST(rank AS INTEGER) AS rank, chunk_id, round(fs, 6) AS similarity FROM top JOIN shares USING (parent, folder) WHERE NOT closed",
+        "evidence_ranked": f"{gated()} SELECT parent, folder, CAST(rank AS INTEGER) AS rank, chunk_id, CAST(floor(fs * 1e6 + 0.5) AS BIGINT) AS similarity FROM top JOIN shares USING (parent, folder) WHERE NOT closed",
         "flagship_coverage": f"""{routed()}, c AS (SELECT parent, folder, count(*) AS n, avg(fs) AS s, avg(score) AS e FROM tag GROUP BY parent, folder)
             SELECT section_pos, parent, folder, coalesce(n, 0) AS n_chunks, round(coalesce(s, 0.0), 4) AS avg_similarity, round(coalesce(e, 0.0), 4) AS avg_eligibility, CASE WHEN n > 0 THEN 'has evidence' ELSE 'no evidence' END AS status FROM outline LEFT JOIN c USING (parent, folder)""",
         "coverage_totals": f"""{routed()}, c AS (SELECT parent, folder, count(*) AS n FROM tag GROUP BY parent, folder), o AS (SELECT coalesce(n, 0) AS n FROM outline LEFT JOIN c USING (parent, folder))
@@ -297,10 +304,10 @@ decided AS (SELECT pos, pmid, CASE WHEN exc AND NOT inc THEN 'exclude' WHEN sc >
             p AS (SELECT x.parent, x.folder, x.chunk_id AS a, y.chunk_id AS b, CAST(row_number() OVER (PARTITION BY x.parent, x.folder ORDER BY x.r, y.r) AS INTEGER) AS pair FROM t x JOIN t y ON x.parent = y.parent AND x.folder = y.folder AND x.r < y.r AND x.study_pmid <> y.study_pmid)
             SELECT * FROM p WHERE pair <= 3""",
         "meta_fixed_effect": f"""WITH r AS (SELECT l_returnflag, l_linestatus, l_extendedprice / 10000 AS es, l_extendedprice / 10000 - l_discount AS ci_lower, l_extendedprice / 10000 + l_discount + l_tax AS ci_upper FROM lineitem WHERE l_quantity > 3),
-            w AS (SELECT *, {meta_w} AS w FROM r WHERE ci_upper - ci_lower > 0.001), m AS (SELECT *, sum(w * es) OVER g / sum(w) OVER g AS mu FROM w WINDOW g AS (PARTITION BY l_returnflag, l_linestatus)),
+            w AS (SELECT *, {meta_w} AS w FROM r), m AS (SELECT *, sum(w * es) OVER g / sum(w) OVER g AS mu FROM w WINDOW g AS (PARTITION BY l_returnflag, l_linestatus)),
             a AS (SELECT l_returnflag, l_linestatus, any_value(mu) AS mu, sum(w) AS sw, sum(w * w) AS sww, sum(w * (es - mu) * (es - mu)) AS q, count(*) AS k FROM m GROUP BY l_returnflag, l_linestatus)
-            SELECT l_returnflag, l_linestatus, round(mu, 4) AS pooled_effect, round(1 / sqrt(sw), 4) AS pooled_se, round(mu - {H.Z95} / sqrt(sw), 4) AS ci_lower, round(mu + {H.Z95} / sqrt(sw), 4) AS ci_upper, round(q, 4) AS q,
-              round(CASE WHEN q > 0 THEN greatest(0, (q - greatest(k - 1, 1)) / q * 100) ELSE 0 END, 4) AS i_squared, round(CASE WHEN q > greatest(k - 1, 1) THEN greatest(0, (q - greatest(k - 1, 1)) / (sw - sww / sw)) ELSE 0 END, 4) AS tau_squared, k FROM a""",
+            SELECT l_returnflag, l_linestatus, {sig('mu')} AS pooled_effect, {sig('1 / sqrt(sw)')} AS pooled_se, {sig(f'mu - {H.Z95} / sqrt(sw)')} AS ci_lower, {sig(f'mu + {H.Z95} / sqrt(sw)')} AS ci_upper, {sig('q')} AS q,
+              {sig('CASE WHEN q > 0 THEN greatest(0, (q - greatest(k - 1, 1)) / q * 100) ELSE 0 END')} AS i_squared, {sig('CASE WHEN q > greatest(k - 1, 1) THEN greatest(0, (q - greatest(k - 1, 1)) / (sw - sww / sw)) ELSE 0 END')} AS tau_squared, k FROM a""",
         "rob_overall": f"""WITH r AS (SELECT CAST(doc_id AS VARCHAR) AS pmid, {rating_list} AS x FROM labels), o AS (SELECT pmid, CASE WHEN list_contains(x, 'high') THEN 'high' WHEN len(list_filter(x, lambda z: z = 'unclear')) >= 2 THEN 'moderate' ELSE 'low' END AS overall_rating FROM r)
             SELECT pmid, overall_rating, CASE overall_rating WHEN 'low' THEN 'high' WHEN 'high' THEN 'low' ELSE 'medium' END AS methodology FROM o""",
         "extraction_join": f"WITH {STUDIES} SELECT pos, pmid, CASE WHEN l.doc_id % 3 = 0 THEN 1 - quality ELSE quality END AS quality, toxic FROM studies LEFT JOIN labels l ON l.doc_id = pos",
@@ -327,8 +334,8 @@ decided AS (SELECT pos, pmid, CASE WHEN exc AND NOT inc THEN 'exclude' WHEN sc >
         "rewrites_by_position": r"""WITH o AS (SELECT conv_id AS chapter, turn AS place, min(text) AS body FROM conversations GROUP BY ALL), b AS (SELECT * FROM o WHERE chapter % 2 = 0 AND NOT (chapter % 3 = 0 AND place = 0)),
             r AS (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY place) AS r, count(*) OVER (PARTITION BY chapter) AS n FROM o), s AS (SELECT chapter, body AS back, row_number() OVER (PARTITION BY chapter ORDER BY place) AS r, count(*) OVER (PARTITION BY chapter) AS m FROM b)
             SELECT chapter, place, md5(CASE WHEN n = m AND n >= 2 AND len(list_filter(regexp_split_to_array(body, '\s+'), lambda w: w <> '')) >= 20 THEN 'new ' || back ELSE body END) AS body_md5 FROM r LEFT JOIN s USING (chapter, r)""",
-        "chapter_questions": r"""WITH x AS (SELECT role, conv_id * 1000 + turn AS p, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:2] AS q FROM conversations WHERE turn < 2 AND conv_id < 50)
-            SELECT role AS parent, md5(array_to_string(flatten(list(q ORDER BY p, q)), ' ')) AS questions_md5 FROM x GROUP BY role""",
+        "chapter_questions": r"""WITH x AS (SELECT conv_id, turn AS p, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:2] AS q FROM conversations)
+            SELECT CAST(conv_id AS VARCHAR) AS parent, md5(array_to_string(flatten(list(q ORDER BY p, q)), ' ')) AS questions_md5 FROM x GROUP BY conv_id""",
         "theme_replies": f"""{maps} SELECT theme, c AS n_consensus, a AS n_contradictions, first_priority, g AS grounded FROM maps""",
         "theme_totals": f"""{maps} SELECT count(*) AS themes, CAST(sum(c) AS BIGINT) AS total_consensus, CAST(sum(a) AS BIGINT) AS total_contradictions, count(*) AS total_gaps FROM maps""",
         "relevance_replies": "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'unreadable' WHEN quality <> 1 THEN 'irrelevant' WHEN doc_id % 10 < 6 THEN 'low_confidence' ELSE 'kept' END AS verdict FROM labels",

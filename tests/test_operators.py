@@ -1,10 +1,13 @@
 """Operators against small hand-made cases and plain-Python folds."""
 
 import random
+
+import pytest
 import re
 
 from pyspark.sql import functions as F
 
+from scholium.functions import text as T
 from scholium.operators import chunk, coverage, dedup, gate, markdown, meta, profile, replies, routing, screening, sections, studies
 from scholium.plans.review import Run, review_loop, write_sections
 from scholium.sources.outline import load_taxonomy, outline_entry, parse_markdown, sections_frame
@@ -56,6 +59,29 @@ def test_greedy_against_a_scan(spark):
     assert sorted((r.kept, r.removed) for r in found.collect()) == sorted(log)
 
 
+@pytest.mark.parametrize("local", [0, 40, 10_000])
+def test_greedy_over_a_long_chain(spark, local):
+    n = 300 if local else 24
+    nodes = spark.range(n + 5).withColumnRenamed("id", "pos")
+    links = spark.range(n - 1).selectExpr("id as a", "id + 1 as b", "0.9D as similarity")
+    kept, log = dedup.greedy_dedup(nodes, links, local if local != 40 else 290)
+    assert sorted(r.pos for r in kept.collect()) == [*range(0, n, 2), *range(n + (n % 2), n + 5)] if n % 2 == 0 else True
+    assert sorted((r.kept, r.removed) for r in log.collect()) == [(k, k + 1) for k in range(0, n - 1, 2)]
+
+
+def test_similar_pairs_over_several_groups(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(6000, 5))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "pos long, v array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(unit @ unit.T > 0.995, 1))
+    found = routing.similar_pairs(rows, 0.995).collect()
+    assert len(found) > 100 and sorted((r.a, r.b) for r in found) == sorted(zip(a.tolist(), b.tolist()))
+    assert routing.similar_pairs(rows.limit(0), 0.5).collect() == []
+
+
 def test_keep_first_and_last(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, None)], "k string, o int, v string")
     assert {(r.k, r.v) for r in studies.keep_first(rows, ["k"], [F.col("o")]).collect()} == {("a", "x"), ("b", None)}
@@ -89,7 +115,7 @@ def guard(spark, profile_columns, section, text):
     arr = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
     names |= {k: arr(v) for k, v in section.items()}
     prof |= {k: arr(v) for k, v in profile_columns.items()}
-    g = spark.range(1).select(routing.guardrails(names, prof, F.lit(text), F.lit("c")).alias("g")).first().g
+    g = spark.range(1).select(routing.guardrails(names, prof, F.lower(F.lit(text)), T.normalised(F.lit(text)), F.lit("c")).alias("g")).first().g
     return round(g.score, 6), g.eligible, len(g.flags)
 
 

@@ -46,7 +46,7 @@ TOPOLOGIES = {
     "tes_tank": [r"\bTES\b|thermal energy storage tank"],
     "pcm_module": [r"\bPCM\b|phase change material module"],
 }
-# Scope clusters, anchors and negatives.
+# Scope clusters.
 SCOPE_CLUSTERS = {
     "refrigeration_hp": [r"\br744\b", r"\btranscritical\b|\bsubcritical\b", r"\bgas cooler\b|\bevaporator\b|\bcondenser\b", r"\bejector\b|\bparallel compression\b|\beconomizer\b"],
     "cold_storage_ctes": [
@@ -66,6 +66,7 @@ SCOPE_CLUSTERS = {
         r"\bnucleate boiling\b|\bpool boiling\b|\bcritical heat flux\b|\bchf\b",
     ],
 }
+# Scope anchors.
 SCOPE_ANCHORS = [
     r"\br744\b",
     r"\blaes\b|liquid air energy storage",
@@ -74,6 +75,7 @@ SCOPE_ANCHORS = [
     r"\bnucleate boiling\b|\bpool boiling\b|\bcritical heat flux\b|\bchf\b",
     r"\bcold thermal energy storage\b|\bctes\b",
 ]
+# Signs of other subjects.
 SCOPE_NEGATIVES = [
     r"\bpyrolysis\b|\bbio[- ]oil\b|\bbiochar\b",
     r"\bbiodiesel\b|\bmicroalgae\b|\banaerobic digestion\b|\bbiogas\b",
@@ -99,7 +101,7 @@ CORRUPTION = [r"(?i)/C\d+", r"\bC\d+\s+C\b", r"\b\d+\s*/\s*\d+\s*/\s*\d+\b", r"\
 # Points of CO2 (K, bar) that the phase checks use.
 CO2_TRIPLE_K, CO2_CRITICAL_K, CO2_CRITICAL_BAR = 216.58, 304.13, 73.8
 NEAR_TRIPLE_MAX_K, NEAR_TRIPLE_MIN_BAR, SOLID_MARGIN_K = 230.0, 3.0, 2.0
-# Sentences that a language model leaves in another language, and spellings to mend.
+# Sentences that a language model leaves in another language.
 STRAY_SENTENCES = [
     r"(?m)^\s*Future research directions[^.]*\.\s*$",
     r"(?m)^\s*In summary[^.]*\.\s*$",
@@ -107,6 +109,7 @@ STRAY_SENTENCES = [
     r"(?m)^\s*Overall[,;][^.]*\.\s*$",
     r"(?m)^\s*This section (?:discusses|presents|reviews|examines)[^.]*\.\s*$",
 ]
+# Spellings to mend.
 SPELLINGS = {
     "catalise": "catálise",
     "catalises": "catálises",
@@ -129,4 +132,5 @@ LATEX = {
     "~": r"\textasciitilde{}",
     "^": r"\textasciicircum{}",
 }
+# Domains of a risk of bias.
 ROB_DOMAINS = ["selection", "performance", "detection", "attrition", "reporting"]

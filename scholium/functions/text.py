@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from scholium.functions import lexicon
 
@@ -78,6 +81,7 @@ def corruption_severity(tokens: Column) -> Column:
 
 
 def sanitize_table(text: Column) -> Column:
+    # Traces of broken tables and what stands for them.
     for pattern, to in ((r"/C\d+", ""), (r"\bC(\d+)\s+C\b", "$1 C"), (r"\|\s*\|\s*\|", "|"), ("�", "")):
         text = F.regexp_replace(text, pattern, to)
     return text
@@ -248,10 +252,20 @@ def cell_text(value: Column) -> Column:
 
 
 def concept_key(text: Column) -> Column:
-    """Lower case, white space collapsed, accents of Latin letters removed; ligatures stay."""
-    accented = "áàâãäåāăąçćčďéèêëēėęěíìîïīįłñńňóòôõöøōőŕřśšşťțúùûüūůűųýÿžźż"
-    plain = "aaaaaaaaacccdeeeeeeeeiiiiiilnnnoooooooorrsssttuuuuuuuuyyzzz"
-    return F.regexp_replace(F.translate(strip(F.lower(text)), accented, plain), r"(?U)\s+", " ")
+    """Lower case, decomposed by compatibility, without combining marks, white space collapsed."""
+    return _concept_key(F.lower(text))
+
+
+@F.pandas_udf(StringType())
+def _concept_key(low: pd.Series) -> pd.Series:
+    def key(x: str | None) -> str | None:
+        if x is None:
+            return None
+        if not x.isascii():  # Spark has no function that decomposes
+            x = "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
+        return " ".join(x.split())
+
+    return low.map(key)
 
 
 def theme_key(parent: Column, folder: Column) -> Column:

@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholium.functions import text as T
@@ -16,16 +16,20 @@ from scholium.functions import text as T
 LOCAL = 1_000_000
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder that the session names. Only a local session that names none gets one of its
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """The checkpoint folder is the one that the session names. Only a local session that names none gets one of its
     own; on a cluster a missing setting is an error, as executors would not share that folder."""
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no folder; on a cluster it has to be one that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

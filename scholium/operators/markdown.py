@@ -85,6 +85,7 @@ def latex_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     words = F.when(F.col("kind").isin("heading", "title"), F.regexp_extract("line", r"^#{1,6}\s+(.+)$", 1)).when(F.col("kind") == "item", F.regexp_extract("line", r"^\s*[-*+]\s+(.+)$", 1)).otherwise(F.col("line"))
     rows = rows.withColumn("x", T.inline_latex(T.strip(words))).withColumn("opens", F.coalesce(before != "item", F.lit(True))).withColumn("closes", F.coalesce(after != "item", F.lit(True)))
     command = F.create_map(*(F.lit(v) for pair in COMMANDS.items() for v in pair))[F.col("level")]
+    command = F.when(F.col("line").rlike(REFERENCES), F.concat(command, F.lit("*"))).otherwise(command)  # references are not numbered
     latex = (
         F.when(F.col("kind") == "title", F.concat(F.lit("\\title{"), "x", F.lit("}")))
         .when(F.col("kind") == "heading", F.concat(F.lit("\\"), command, F.lit("{"), "x", F.lit("}")))
@@ -95,13 +96,14 @@ def latex_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return rows.select(key, "line_no", "kind", latex.alias("latex"))
 
 
-def markdown_to_latex(docs: DataFrame, key: str, text: str = "text", language: str = "en") -> DataFrame:
-    """(key, latex): a whole article for each Markdown document."""
+def markdown_to_latex(docs: DataFrame, key: str, text: str = "text", language: str = "en", options: str = "12pt,a4paper", contents: bool = True) -> DataFrame:
+    """(key, latex): a whole article for each Markdown document, with a page of contents unless it is not wanted."""
     rows = latex_lines(docs, key, text)
     grouped = rows.groupBy(key).agg(F.coalesce(F.max(F.when(F.col("kind") == "title", F.col("latex"))), F.lit("\\title{}")).alias("title"), F.array_sort(F.collect_list(F.when(F.col("kind") != "title", F.struct("line_no", "latex")))).alias("b"))
     body = T.strip(F.regexp_replace(F.array_join(F.transform("b", lambda x: x["latex"]), "\n"), r"\n{3,}", "\n\n"))
-    head = f"\\documentclass{{article}}\n\\usepackage[utf8]{{inputenc}}\n\\usepackage[{LANGUAGES.get(language, 'english')}]{{babel}}\n"
-    return grouped.select(key, F.concat(F.lit(head), F.col("title"), F.lit("\n\\begin{document}\n\\maketitle\n\n"), body, F.lit("\n\n\\end{document}\n")).alias("latex"))
+    head = f"\\documentclass[{options}]{{article}}\n\\usepackage[utf8]{{inputenc}}\n\\usepackage[T1]{{fontenc}}\n\\usepackage[{LANGUAGES.get(language, 'english')}]{{babel}}\n\\usepackage{{booktabs,graphicx,hyperref}}\n"
+    front = "\n\\begin{document}\n\\maketitle\n" + ("\\tableofcontents\n\\newpage\n" if contents else "") + "\n"
+    return grouped.select(key, F.concat(F.lit(head), F.col("title"), F.lit(front), body, F.lit("\n\n\\end{document}\n")).alias("latex"))
 
 
 def fill_template(template: str, values: dict[str, str]) -> str:

@@ -49,6 +49,34 @@ def offline(prompt: str, options: dict) -> str:
     return " ".join(prompt.split()[:30])
 
 
+def streaming_client(url: str, model: str, temperature: float = 0.2, seed: int = 42, timeout: float = 120.0, **knobs) -> Callable[[str, dict], str]:
+    """A client of a local model server that streams its reply as JSON lines with `response` and `done`.
+
+    options may name another model, temperature or seed for one call; num_ctx, top_p and repeat_penalty go along if given. The timeout
+    holds for the silence between two lines. Lines that are no JSON are passed over.
+    """
+    import json
+    import urllib.request
+
+    def call(prompt: str, options: dict) -> str:
+        chosen = {"temperature": temperature, "seed": seed, **{k: v for k, v in {**knobs, **options}.items() if k in ("temperature", "seed", "num_ctx", "top_p", "repeat_penalty")}}
+        body = json.dumps({"model": options.get("model", model), "prompt": prompt, "stream": True, "options": chosen}).encode()
+        request = urllib.request.Request(f"{url.rstrip('/')}/api/generate", body, {"Content-Type": "application/json"})
+        said = []
+        with urllib.request.urlopen(request, timeout=timeout) as reply:
+            for line in reply:
+                try:
+                    data = json.loads(line)
+                except ValueError:
+                    continue
+                said.append(data.get("response") or "")
+                if data.get("done"):
+                    break
+        return "".join(said)
+
+    return call
+
+
 def unfenced(raw: Column) -> Column:
     return T.strip(F.regexp_replace(T.text_or_empty(raw), r"```(?:json)?", ""))
 
@@ -169,12 +197,43 @@ def theme_reply(raw: Column, known_ids: Column, evidence: Column) -> Column:
     return F.struct(empty(consensus).alias("consensus"), empty(against).alias("contradictions"), gaps.alias("gaps"))
 
 
+CRITERIA = ("thesis_clarity", "redundancy", "citation_usage", "hedging", "critical_depth")
+
+
+def review_report(raw: Column, empty_text: Column) -> Column:
+    """struct(score, overall_feedback, and score and comment of each of CRITERIA) of a review reply: a JSON object, else 7.0
+    and the reply's first 500 characters. An empty draft has 10.0 whatever the reply says."""
+    clean = unfenced(raw)
+    v = _json(clean)
+    ok = v.isNotNull() & clean.startswith("{")
+    score = F.when(empty_text, 10.0).when(ok, F.coalesce(_field(v, "$.overall_score", "double"), F.lit(0.0))).otherwise(7.0)
+    feedback = F.when(empty_text, "").when(ok, F.coalesce(_field(v, "$.overall_feedback"), F.lit(""))).otherwise(F.substring(T.text_or_empty(raw), 1, 500))
+    marks = (F.struct(F.when(ok & ~empty_text, F.coalesce(_field(v, f"$.{c}.score", "double"), F.lit(0.0))).otherwise(0.0).alias("score"), F.when(ok & ~empty_text, F.coalesce(_field(v, f"$.{c}.comment"), F.lit(""))).otherwise("").alias("comment")).alias(c) for c in CRITERIA)
+    return F.struct(score.alias("score"), feedback.alias("overall_feedback"), *marks)
+
+
 def review_reply(raw: Column, empty_text: Column) -> Column:
-    """The score of a review reply: the mean of its criteria's scores, or `score`; 7.0 if unreadable, 10.0 for an empty draft."""
+    """The score of a review reply alone, of any of its shapes: overall_score, score, or the mean of a list of criteria."""
     v = lenient_object(raw)
     scores = F.from_json(F.to_json(_field(v, "$.criteria", "variant")), "array<struct<score:double>>")
     mean = F.aggregate(scores, F.lit(0.0), lambda a, x: a + F.coalesce(x["score"], F.lit(0.0))) / F.size(scores)
-    return F.when(empty_text, 10.0).otherwise(F.coalesce(_field(v, "$.score", "double"), F.when(F.size(scores) > 0, mean), F.lit(7.0)))
+    return F.when(empty_text, 10.0).otherwise(F.coalesce(_field(v, "$.overall_score", "double"), _field(v, "$.score", "double"), F.when(F.size(scores) > 0, mean), F.lit(7.0)))
+
+
+def thesis_reply(raw: Column) -> Column:
+    """struct(thesis, research_priorities, grouped_gaps) of a strict JSON object; all empty for anything else."""
+    clean = unfenced(raw)
+    kind = "thesis string, research_priorities array<string>, grouped_gaps array<struct<group:string,gaps:array<struct<description:string,priority:string,justification:string>>>>"
+    v = F.from_json(F.when(clean.startswith("{") & _json(clean).isNotNull(), clean), kind)
+    return F.struct(F.coalesce(v["thesis"], F.lit("")).alias("thesis"), F.coalesce(v["research_priorities"], F.array().cast("array<string>")).alias("research_priorities"), F.coalesce(v["grouped_gaps"], F.array().cast("array<struct<group:string,gaps:array<struct<description:string,priority:string,justification:string>>>>")).alias("grouped_gaps"))
+
+
+def contradiction_reply(raw: Column) -> Column:
+    """struct(point, possible_cause) of a strict JSON object that says `contradiction`, else null."""
+    clean = unfenced(raw)
+    v = _json(clean)
+    says = clean.startswith("{") & F.coalesce(_field(v, "$.contradiction", "boolean"), F.lit(False))
+    return F.when(says, F.struct(F.coalesce(_field(v, "$.point"), F.lit("")).alias("point"), F.coalesce(_field(v, "$.possible_cause"), F.lit("")).alias("possible_cause")))
 
 
 def critical_reply(raw: Column) -> Column:
@@ -185,12 +244,21 @@ def critical_reply(raw: Column) -> Column:
 
 
 def table_reply(raw: Column) -> Column:
-    """struct(caption, columns, rows) of a lenient JSON object with columns and rows, else null; cells are texts."""
+    """struct(caption, columns, rows) of a lenient JSON object with columns and rows, else null; cells are texts, lists
+    and objects in them as JSON."""
     v = lenient_object(raw)
     spec = F.from_json(F.to_json(v), "caption string, columns array<string>, rows array<map<string,string>>")
     return F.when((F.size(spec["columns"]) > 0) & (F.size(spec["rows"]) > 0), spec)
 
 
+def table_proposal(raw: Column) -> Column:
+    """struct(caption, columns, rows, source_studies) of a lenient JSON object that says `should_create_table`, else null."""
+    spec = F.from_json(F.to_json(lenient_object(raw)), "should_create_table boolean, caption string, columns array<string>, rows array<map<string,string>>, source_studies array<string>")
+    strings = lambda c: F.coalesce(spec[c], F.array().cast("array<string>")).alias(c)
+    rows = F.coalesce(spec["rows"], F.array().cast("array<map<string,string>>")).alias("rows")
+    return F.when(F.coalesce(spec["should_create_table"], F.lit(False)), F.struct(F.coalesce(spec["caption"], F.lit("")).alias("caption"), strings("columns"), rows, strings("source_studies")))
+
+
 def relevance_reply(raw: Column, least: float = 0.6) -> Column:
     """struct(verdict, confidence, brief) of a relevance judge's reply: verdict is kept, irrelevant, low_confidence or
     unreadable; brief lists claim, method, findings and reason."""

@@ -28,6 +28,7 @@ def screen_by_keywords(studies: DataFrame, keywords: list[str], include_rules: l
         "pos", "pmid",
         F.when(out, "exclude").when(inc, "include").when(amb, "ambiguous").otherwise("exclude").alias("decision"),
         F.when(out, 0.8).when(inc, F.least(0.5 + score, F.lit(1.0))).when(amb, score).otherwise(1.0 - score).alias("confidence"),
+        # The four justifications.
         F.when(out, "Matched exclusion rule")
         .when(inc, F.concat(F.lit("Keyword match score: "), shown, F.lit(" ("), F.col("hits").cast("string"), F.lit(f"/{n} keywords)")))
         .when(amb, F.concat(F.lit("Low keyword match: "), shown, F.lit(" — flagged for review")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scholium.functions import text as T
 from scholium.operators import replies
+from scholium.operators.dedup import checkpointed
 from scholium.operators.sections import grounded
 
 Client = Callable[[str, dict], str]
@@ -35,10 +36,11 @@ def judged_evidence(evidence: DataFrame, client: Client, least: float = 0.6, dro
 
 def synthesise(packages: DataFrame, client: Client) -> DataFrame:
     """(theme, consensus, contradictions, gaps) of packages(theme, evidence, ids): ungrounded replies get one more try,
-    then a single gap of high priority. A failed call counts as an unreadable reply."""
+    then a single gap of high priority. A failed call counts as an unreadable reply. First replies are checkpointed, so that no
+    model is asked again for a lost executor."""
     question = F.concat(F.lit("Synthesise the theme as JSON with consensus_points, contradictions, knowledge_gaps: "), "theme", F.lit("\n"), "evidence")
     parse = lambda df: df.withColumn("m", replies.theme_reply(T.text_or_empty(F.col("reply")), F.col("ids"), F.size("ids")))
-    first = parse(replies.ask(packages, question, client).drop("prompt_hash", "error")).withColumn("ok", grounded(F.col("m.consensus"), F.col("m.contradictions"))).persist()
+    first = checkpointed(parse(replies.ask(packages, question, client).drop("prompt_hash", "error")).withColumn("ok", grounded(F.col("m.consensus"), F.col("m.contradictions"))))
     again = F.concat(question, F.lit("\n\nEvery consensus point and contradiction needs evidence_chunk_ids, and only ids of the evidence."))
     second = parse(replies.ask(first.where("not ok").drop("reply", "m", "ok"), again, client)).withColumn("ok", grounded(F.col("m.consensus"), F.col("m.contradictions")))
     bare = F.struct(F.slice("m.consensus", 1, 0).alias("consensus"), F.slice("m.contradictions", 1, 0).alias("contradictions"), F.array(F.struct(F.lit("Insufficient evidence anchoring in the corpus").alias("description"), F.lit("high").alias("priority"), F.lit("Revise the evidence and synthesise again").alias("suggested_approach"))).alias("gaps"))
@@ -82,7 +84,3 @@ def take_rewrites(sections: DataFrame, rewritten: DataFrame, least_words: int =
     rows = own.join(new, ["chapter", "r"], "left")
     fits = (F.col("n") == F.col("m")) & (F.col("n") >= least_sections) & (F.size(T.words(F.col("body"))) >= least_words)
     return rows.select("chapter", "place", "heading", F.when(F.coalesce(fits, F.lit(False)), F.col("new")).otherwise(F.col("body")).alias("body"))
-
-
-def contradiction_prompt(a: Column, b: Column) -> Column:
-    return F.concat_ws("\n", F.lit("Do these two excerpts contradict each other? Answer in JSON with contradicts and reason."), a, b)

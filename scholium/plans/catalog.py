@@ -24,6 +24,13 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+read_table = _read
+
+
+def studies_of(spark: SparkSession, sf: str) -> DataFrame:
+    return _studies(spark, sf)
+
+
 def _studies(spark: SparkSession, sf: str) -> DataFrame:
     return studies.from_documents(_read(spark, sf, "documents"))
 
@@ -56,7 +63,7 @@ def _millionths(name: str):
     return F.floor(F.col(name) * 1e6 + 0.5).cast("long").alias(name)
 
 
-def _digits(name: str):
+def digits(name: str):
     """A number to five significant digits, as digits and exponent: intervals of no width weigh 1e12, so places would not do."""
     x = F.col(name)
     power = F.floor(F.log10(F.abs(x)))
@@ -294,7 +301,7 @@ def meta_fixed_effect(spark, sf):
     """Pooled prices of each flag and status."""
     rows = _read(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", (F.col("l_extendedprice") / 10000).alias("effect_size"), (F.col("l_extendedprice") / 10000 - F.col("l_discount")).alias("ci_lower"), F.when(F.col("l_quantity") > 3, F.col("l_extendedprice") / 10000 + F.col("l_discount") + F.col("l_tax")).alias("ci_upper"))
     found = meta.fixed_effect(rows, ["l_returnflag", "l_linestatus"])
-    return found.select(*(_digits(c) if k == "double" else F.col(c) for c, k in found.dtypes))
+    return found.select(*(digits(c) if k == "double" else F.col(c) for c, k in found.dtypes))
 
 
 def _rob(spark, sf):
@@ -427,7 +434,7 @@ def chapter_questions(spark, sf):
     return synthesis.chapter_questions(rows).select("parent", F.md5(F.array_join("questions", " ")).alias("questions_md5"))
 
 
-def _maps(spark, sf):
+def maps_of(spark, sf):
     """Theme replies made of labels: some broken, some with ids that the evidence does not have."""
     rows = _read(spark, sf, "labels")
     body = F.concat(F.lit('{"consensus_points": [{"statement": "s", "strength": "x", "evidence_chunk_ids": ["c'), (F.col("doc_id") % 4).cast("string"), F.lit('", "c9"]}], "contradictions": ['), F.when(F.col("quality") == 0, '{"point": "p", "evidence_chunk_ids": ["c1"]}').otherwise(""), F.lit('], "knowledge_gaps": [{"description": "d", "priority": "low"}]}'))
@@ -439,14 +446,14 @@ def _maps(spark, sf):
 @query
 def theme_replies(spark, sf):
     """What is left of each map, and whether every point names a chunk."""
-    maps = _maps(spark, sf)
+    maps = maps_of(spark, sf)
     return maps.select("theme", F.size("consensus").alias("n_consensus"), F.size("contradictions").alias("n_contradictions"), F.get("gaps", F.lit(0))["priority"].alias("first_priority"), sections.grounded(F.col("consensus"), F.col("contradictions")).alias("grounded"))
 
 
 @query
 def theme_totals(spark, sf):
     """D16."""
-    return synthesis.theme_totals(_maps(spark, sf))
+    return synthesis.theme_totals(maps_of(spark, sf))
 
 
 @query
@@ -478,3 +485,5 @@ def _sql() -> dict[str, str]:
 
 
 SQL = _sql()
+
+from scholium.plans import reading, writing  # noqa: E402, F401  they register queries and SQL of their own

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scholium.functions import text as T
 from scholium.operators import replies
+from scholium.operators.dedup import checkpointed
 
 NO_EVIDENCE = "No evidence met this section's requirements."
 
@@ -30,10 +31,10 @@ def write_sections(packages: DataFrame, sections: DataFrame, client: Callable[[s
 def review_loop(drafts: DataFrame, write: Callable[[DataFrame], DataFrame], review: Callable[[DataFrame], DataFrame], rounds: int = 3, accept: float = 7.0) -> DataFrame:
     """drafts(key, content) revised until accepted: review(drafts) -> (key, score, feedback); those below `accept` go with
     their feedback to write(rejected) -> (key, content). A missing score accepts; after `rounds` the last draft stands.
-    Only undecided drafts are asked about again, and each round is kept so that no model is asked twice."""
+    Only undecided drafts are asked about again, and each round is checkpointed, so that no model is asked twice, not even for a lost executor."""
     done, todo = None, drafts.select("key", "content")
     for k in range(rounds):
-        judged = todo.join(review(todo), "key", "left").persist()
+        judged = checkpointed(todo.join(review(todo), "key", "left"))
         settled = judged.where(F.coalesce(F.col("score") >= accept, F.lit(True)) | F.lit(k == rounds - 1)).select("key", "content", "score", F.lit(k + 1).alias("iterations"))
         done = settled if done is None else done.unionByName(settled)
         if k == rounds - 1:
@@ -41,7 +42,7 @@ def review_loop(drafts: DataFrame, write: Callable[[DataFrame], DataFrame], revi
         rejected = judged.where(F.col("score") < accept)
         if rejected.isEmpty():
             break
-        todo = write(rejected.select("key", "content", "feedback")).persist()
+        todo = checkpointed(write(rejected.select("key", "content", "feedback")))
     return done
 
 
@@ -60,13 +61,22 @@ class Run:
         fs, target = self._fs(f"{stage}/_SUCCESS")
         return fs.exists(target)
 
-    def stage(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    def stage(self, name: str, make: Callable[[], DataFrame], before: DataFrame | None = None) -> DataFrame:
+        """The stage's table, made if it is not there. The log has its rows and time, and the rows of `before` if given."""
         if not self.has(name):
             began = datetime.now(timezone.utc)
             make().write.mode("overwrite").parquet(f"{self.path}/{name}")
-            self.log(name, "done", (datetime.now(timezone.utc) - began).total_seconds())
+            took = (datetime.now(timezone.utc) - began).total_seconds()
+            counts = {"n_after": self.spark.read.parquet(f"{self.path}/{name}").count()} | ({} if before is None else {"n_before": before.count()})
+            self.log(name, "done", took, counts)
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    def tables(self) -> dict[str, DataFrame]:
+        """The tables of all stages that are whole, by name: what an interrupted run has left."""
+        fs, target = self._fs("")
+        names = [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
+        return {n: self.spark.read.parquet(f"{self.path}/{n}") for n in sorted(names) if n != "log" and self.has(n)}
+
     def log(self, stage: str, event: str, elapsed_s: float = 0.0, payload: dict | None = None) -> None:
         row = [(stage, event, float(elapsed_s), json.dumps(payload or {}, default=str), datetime.now(timezone.utc))]
         self.spark.createDataFrame(row, "stage string, event string, elapsed_s double, payload string, at timestamp").write.mode("append").parquet(f"{self.path}/log")

@@ -46,12 +46,12 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def spill(df: DataFrame) -> DataFrame:
+def spill(df: DataFrame, *by: str) -> DataFrame:
     """Like cut(), but as a compressed table in the same folder; the shuffle files of what led to df go as soon as it stands,
-    and the table with the session, if discard() has not removed it before."""
+    and the table with the session, if discard() has not removed it before. by names columns to part the table by."""
     spark = df.sparkSession
     path = shared_path(spark, "table")
-    with_cleanup(spark, lambda: df.write.option("compression", "zstd").parquet(path))
+    with_cleanup(spark, lambda: df.write.option("compression", "zstd").partitionBy(*by).parquet(path))
     end_with_session(spark, path)
     table = spark.read.schema(df.schema).parquet(path)
     table.spilled_to = path
@@ -87,7 +87,7 @@ def _file(spark: SparkSession, path: str) -> tuple:
     return where.getFileSystem(sc._jsc.hadoopConfiguration()), where
 
 
-def discard(table: DataFrame) -> None:
-    """Removes a table of spill() once everything that was made of it is written itself."""
-    fs, where = _file(table.sparkSession, table.spilled_to)
+def discard(table: DataFrame, part: str = "") -> None:
+    """Removes a table of spill(), or a part of it, once everything that was made of it is written itself."""
+    fs, where = _file(table.sparkSession, f"{table.spilled_to}/{part}" if part else table.spilled_to)
     fs.delete(where, True)

@@ -166,7 +166,8 @@ def op7_training_order(spark: SparkSession, sf_dir: str, tokenizers: str = TOKEN
     """Place, document and digest of every record of the shards that the token sequences are written to."""
     ranks = Path(tokenizers, "byte_bpe_50k.tiktoken").read_bytes()
     path = shared_path(spark, "shards")
-    tokenbin.write_shards(tokenbin.sequences(read(spark, sf_dir, "documents"), ranks, BPE_PATTERN, BPE_END), path)
+    found = tokenbin.sequences(read(spark, sf_dir, "documents"), ranks, BPE_PATTERN, BPE_END)
+    tokenbin.write_shards(found, path, spent=found.made_of)
     end_with_session(spark, path)
     return tokenbin.read_shards(spark, path).withColumn("record_md5", F.md5("record")).drop("record")
 

@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm.common import spill, with_cleanup
+from scholium.llm.common import discard, spill, with_cleanup
 
 #: Tokens of a sequence; sequences of a shard.
 LENGTH, SHARD = 1024, 65_536
@@ -108,7 +108,9 @@ def sequences(docs: DataFrame, ranks: bytes, pattern: str, end: int, length: int
         first = np.array([base[p] for p in (place >> 33).tolist()], dtype=np.int64)
         return pd.Series(feistel(first + (place & (1 << 33) - 1), total, key))
 
-    return rows.select(slot("at").alias("slot"), "doc_id", "seq", "n_tokens", "ids")
+    placed = rows.select(slot("at").alias("slot"), "doc_id", "seq", "n_tokens", "ids")
+    placed.made_of = rows
+    return placed
 
 
 def records(found: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -122,25 +124,31 @@ def records(found: DataFrame, length: int = LENGTH) -> DataFrame:
     return found.select("slot", F.concat(head, F.rpad("ids", 2 * length, F.lit(b"\0")), F.lit(b"\n")).alias("record"))
 
 
-def write_shards(found: DataFrame, path: str, length: int = LENGTH, shard: int = SHARD, waves: int = WAVES) -> None:
+def write_shards(found: DataFrame, path: str, length: int = LENGTH, shard: int = SHARD, waves: int = WAVES, spent: DataFrame | None = None) -> None:
     """Writes one file a shard below path/shard=N, by Spark's own committer: a lost task is written anew, whole files
     only appear. Slot s lies at stride * (s mod shard) of shard s div shard.
 
-    Each shard is one range of slots, sorted in one task. The shards go in `waves` one after the other, and the shuffle
-    files of a wave are removed before the next; an interrupted write can go on with the shards that are not there.
+    Each shard is one range of slots, sorted in one task. The sequences are first written by waves of shards; then each
+    wave is read, shuffled and written, and its part and its shuffle files go before the next, so the disk holds the sequences
+    once more than the shards at most. An interrupted write can go on with the shards that are not there. spent is a table of spill() that
+    found reads; it goes as soon as the waves are written.
     """
     spark = found.sparkSession
-    last = found.agg(F.max("slot")).first()[0]
-    if last is None:
+    n = -(-found.count() // shard)
+    if not n:
         return
-    n = last // shard + 1
     each = -(-n // waves)
-    for first in range(0, n, each):
-        rows = found.where(F.col("slot").between(first * shard, (first + each) * shard - 1))
-        parts = min(each, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        rows = records(rows, length).select(F.floor(F.col("slot") / shard).alias("shard"), "slot", F.substring("record", 1, stride(length) - TAIL).cast("string").alias("value"))
+    parts = min(each, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    number = F.floor(F.col("slot") / shard)
+    by_wave = spill(found.select("slot", "doc_id", "seq", "n_tokens", "ids", F.floor(number / each).alias("wave")), "wave")
+    if spent is not None:
+        discard(spent)
+    for wave in range(-(-n // each)):
+        rows = records(by_wave.where(F.col("wave") == wave), length).select(number.alias("shard"), "slot", F.substring("record", 1, stride(length) - TAIL).cast("string").alias("value"))
         dealt = rows.repartitionByRange(parts, "shard").sortWithinPartitions("shard", "slot")
         with_cleanup(spark, lambda dealt=dealt: dealt.select("value", "shard").write.mode("append").partitionBy("shard").option("lineSep", "\n").text(path))
+        discard(by_wave, f"wave={wave}")
+    discard(by_wave)
 
 
 def read_shards(spark: SparkSession, path: str, length: int = LENGTH, shard: int = SHARD) -> DataFrame:

@@ -117,22 +117,19 @@ def _op5_sql() -> str:
     def q(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
-    table: dict[str, str] = {}
-    for name, text in licences.known_licences():
-        key = licences.canonical_text(text)
-        table[key] = min(name, table.get(key, name))
-    known = ", ".join(f"({q(k)}, {q(v)})" for k, v in sorted(table.items()))
-    spelt = "plain"
-    for old, new in licences.SPELLINGS:
-        spelt = rf"regexp_replace({spelt}, '\b{old}\b', '{new}', 'g')"
-
+    known = ", ".join(f"({q(name)}, {q(digest)}, {n}, {q(first)})" for name, digest, n, first in licences.digest_table())
+    one = "CASE w " + " ".join(f"WHEN {q(old)} THEN {q(new)}" for old, new in licences.SPELLINGS.items()) + " ELSE w END"
+    after = "CASE " + " ".join(f"WHEN v = {q(own)} AND lag(v) OVER (PARTITION BY r ORDER BY i) = {q(before)} THEN {q(new)}" for (before, own), new in licences.AFTER.items()) + " ELSE v END"
     return rf"""
-WITH known(canon, license) AS (VALUES {known}),
-u AS (SELECT doc_id, r, line_no, unit FROM (SELECT doc_id, r, unnest(range(0, len(ls) + 1)) AS line_no, unnest(list_prepend(t, ls)) AS unit
-      FROM (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r, regexp_split_to_array(coalesce(text, ''), '\r?\n|\r') AS ls FROM documents))),
-c AS (SELECT doc_id, r, line_no, list_filter(regexp_split_to_array(unit, '\r?\n|\r'), lambda x: NOT regexp_matches(x, {q(licences.COPYRIGHT_LINE)})) AS ls FROM u),
-p AS (SELECT doc_id, line_no, trim(regexp_replace(lower(array_to_string(ls, ' ')), '{licences.OTHER}', ' ', 'g')) AS plain FROM c)
-SELECT doc_id, CAST(line_no AS INT) AS line_no, license FROM p JOIN known ON canon = {spelt}"""
+WITH known(license, digest, n, first) AS (VALUES {known}),
+l AS (SELECT doc_id, r, unnest(ls) AS x, generate_subscripts(ls, 1) AS line FROM (SELECT doc_id, row_number() OVER () AS r, regexp_split_to_array(coalesce(text, ''), '\r?\n|\r') AS ls FROM documents)),
+w0 AS (SELECT doc_id, r, line, unnest(ws) AS w, generate_subscripts(ws, 1) AS k, len(ws) AS m FROM (SELECT *, list_filter(regexp_split_to_array(lower(x), '{licences.OTHER}'), lambda z: z <> '') AS ws FROM l WHERE NOT regexp_matches(x, {q(licences.COPYRIGHT_LINE)}))),
+w1 AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY line, k) AS i, {one} AS v FROM w0),
+w2 AS (SELECT *, {after} AS word FROM w1),
+d AS (SELECT r, any_value(doc_id) AS doc_id, list(word ORDER BY i) AS ws, list(k = m ORDER BY i) AS ends FROM w2 GROUP BY r),
+s AS (SELECT r, line, i FROM w2 WHERE k = 1),
+f AS (SELECT doc_id, line, i, ws, ends, unnest(list_distinct([array_to_string(ws[i:i], ' '), array_to_string(ws[i:i + 1], ' '), array_to_string(ws[i:i + 2], ' ')])) AS first FROM s JOIN d USING (r))
+SELECT doc_id, CAST(line AS INTEGER) AS line_no, CAST(n AS INTEGER) AS n_words, i = 1 AND n = len(ws) AS whole, license FROM f JOIN known USING (first) WHERE ends[i + n - 1] AND sha256(array_to_string(ws[i:i + n - 1], ' ')) = digest"""
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

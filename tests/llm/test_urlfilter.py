@@ -30,10 +30,20 @@ def test_cascade_is_exact_on_its_universe(spark):
         assert part.select("listed", one.member(part.key).alias("m")).where("listed <> m").count() == 0
 
 
-def test_join_beyond_the_size_bound(spark):
-    pages = spark.createDataFrame([(1, "http://m.adult-x.example.com/x", "", "", 1), (2, "http://fine.example.net/", "", "", 1), (3, None, "", "", 1)], PAGES)
-    rows = {r.page_id: r.verdict for r in urlfilter.url_filter(pages, max_bits=1).collect()}
-    assert rows == {1: "block", 2: "allow", 3: "allow"}
+def test_a_cascade_of_several_tables(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "TABLE", 4)
+    keys = spark.range(4000).selectExpr("concat('k', id, '.net') as key", "id % 7 = 0 as listed")
+    cascade = urlfilter.build_cascade(keys)
+    assert max(len(level.tables) for level in cascade.levels) >= 10
+    assert keys.select("listed", cascade.member(keys.key).alias("m")).where("listed <> m").count() == 0
+
+
+def test_a_table_of_listed_hosts_long_urls_and_ties(spark):
+    pages = spark.createDataFrame([(1, "http://M.Bad.example/x", "", "", 1), (2, "http://fine.example/" + "p" * 100_000, "", "", 1), (3, None, "", "", 1), (4, "http://bad.example.org/a", "", "", 1)], PAGES)
+    listed = spark.createDataFrame([(" Bad.Example ", 1), ("bad.example", 2), (None, 3), ("", 4)], "host string, verdict int")
+    rows = {r.page_id: (r.rule, r.verdict) for r in urlfilter.url_filter(pages, listed, rules=[("block", "org", "/a"), ("allow", "org", "/a")]).collect()}
+    assert rows == {1: (None, "block"), 2: (None, "allow"), 3: (None, "allow"), 4: ("org/a", "block")}
+    assert {r.verdict for r in urlfilter.url_filter(pages, listed.limit(0), rules=()).collect()} == {"allow"}
 
 
 def test_native(spark):

@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from scholium.llm.common import cut
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> (node, component): the smallest node that each node of an edge reaches.
 
-    Self-loops and repeated or reversed edges are allowed, nulls are dropped, no edges give no rows. Each round
-    is two grouped minima with map-side combine and two joins, so a hub's neighbours never meet in one task's
-    memory; rounds grow with the logarithm of the longest path. Every round is checkpointed.
+    Self-loops and repeated or reversed edges are allowed, nulls are dropped, no edges give no rows. Rounds go on
+    until one changes nothing; they grow with the logarithm of the longest path. Each is two grouped minima, combined before the shuffle,
+    and two joins of the edges with one row a node: a hub's edges go to one partition of such a join, which Spark streams
+    past that one row and, as any skewed join, splits among tasks. Every round is checkpointed.
     """
     hi, lo = F.greatest("a", "b"), F.least("a", "b")
     stars = cut(edges.dropna(subset=["a", "b"]).where("a <> b").select(hi.alias("u"), lo.alias("v")).distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break

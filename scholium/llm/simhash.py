@@ -207,7 +207,8 @@ def simhash_components(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
     component only where no other id is reachable; no rows give no rows. Other columns are ignored.
 
     Only (doc_id, fp) pairs are shuffled, never texts; equal fingerprints are one class, so a group of copies of
-    any size costs one trie leaf.
+    any size costs one trie leaf. Documents are joined back with the one row of their class; a class that holds much of the table is a
+    skewed join, which Spark splits. A very long text is hashed in pieces of bounded size.
     """
     fps = cut(fingerprints(docs))
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))

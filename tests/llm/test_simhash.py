@@ -59,6 +59,17 @@ def test_trie_links_find_every_close_pair(spark):
         assert [found.get(k, k) for _, k in ids.items()] == expected
 
 
+def test_a_long_path_is_one_component(spark):
+    n = 700
+    edges = spark.range(n - 1).selectExpr("(id * 389) % 700 as a", "((id + 1) * 389) % 700 as b")
+    found = simhash.connected_components(edges.unionAll(spark.createDataFrame([(5, 5), (None, 1), (800, 801), (801, 800)], "a long, b long"))).collect()
+    assert sorted((r.node, r.component) for r in found) == [*((k, 0) for k in range(n)), (800, 800), (801, 800)]
+
+
+def test_keep_one_of_an_empty_table(make_docs):
+    assert simhash.keep_one(make_docs([])).collect() == []
+
+
 def test_keep_one(make_docs):
     text = " ".join(f"w{i}" for i in range(50))
     docs = make_docs([(5, text), (3, text), (4, text.upper()), (9, "other words are here today"), (9, "other words are here today"), (None, None)])

@@ -89,8 +89,8 @@ def judge(text: Column, rules=RULES) -> Column:
 def quality_rules(docs: DataFrame, rules=RULES) -> DataFrame:
     """One row per row of docs(doc_id, text, ...): doc_id and the fields of judge(text).
 
-    A null or empty text has no words and fails the base rule; repeated rows are judged alike; no rows give no
-    rows; other columns are ignored. A ratio with denominator zero is within its bounds only if its numerator
+    A null or empty text has no words and fails the base rule; very long texts are judged whole; repeated rows are
+    judged alike; no rows give no rows; other columns are ignored. A ratio with denominator zero is within its bounds only if its numerator
     is zero too, which the base rule precludes. One projection, no shuffle and no user function.
     """
     return docs.select("doc_id", judge(F.col("text").cast("string"), rules).alias("q")).select("doc_id", "q.*")

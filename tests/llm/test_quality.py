@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 from scholium.llm import quality
 
@@ -10,7 +11,8 @@ def brute(text):
     words = WORD.findall(text)
     lines = [x for x in text.split("\n") if WORD.search(x)]
     windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
-    covered = {k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(i, i + 8)}
+    seen = Counter(windows)
+    covered = {k for i, w in enumerate(windows) if seen[w] > 1 for k in range(i, i + 8)}
     m = {
         "n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": sum(c in "#*$%&|<>" for c in text), "n_dup_lines": len(lines) - len(set(lines)),
         "n_repeat_words": len(covered), "n_lines": len(lines), "n_stop_words": sum(w.lower() in quality.STOP_WORDS for w in words),
@@ -21,7 +23,7 @@ def brute(text):
 
 
 def test_against_brute_force(make_docs, corpus):
-    rows = [(i, t) for i, t in corpus if i is not None and i != 136]
+    rows = [(i, t) for i, t in corpus if i is not None]
     rows += [(200, "a b c d e f g h " * 3), (201, "the of and to " * 30), (202, "one\ntwo\none\n\n \none"), (203, "x " * 12), (204, "the cat of a man is in the house and it was to be that for on with"), (205, "# * the " * 40)]
     found = {(r.doc_id, r.n_words): r.asDict() for r in quality.quality_rules(make_docs(rows)).collect()}
     for i, t in rows:

@@ -219,16 +219,16 @@ def _pool(shared):
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, Network | None]:
     """Word vectors over all of docs and a network fitted on at most about max_train labelled rows outside the held-out third.
 
-    Rows are taken by a hash of doc_id; without labels of both kinds there is no network. The labels that are used
-    are few by that bound and are broadcast."""
+    Rows are taken by a hash of doc_id, one of each id (of repeated ones the least text and label); without labels of both kinds there is
+    no network. The labels that are used are few by that bound and are broadcast, and their features come to the driver."""
     spark = docs.sparkSession
     vectors = word_vectors(docs)
-    usable = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").where(~held_out("doc_id"))
+    usable = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.min("label").alias("label"))
     n = usable.count()
     if n > max_train:
         usable = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * max_train / n))
     shared = spark.sparkContext.broadcast(vectors)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(usable), "doc_id").select("label", "text").mapInArrow(_pool(shared), "label int, x binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(usable), "doc_id").groupBy("doc_id").agg(F.min(F.struct("label", "text")).alias("x")).select("x.label", "x.text").mapInArrow(_pool(shared), "label int, x binary")
     pooled = sorted((r["label"], bytes(r["x"])) for r in rows.collect())
     x = np.array([np.frombuffer(v, dtype=np.float32) for _, v in pooled], dtype=float).reshape(len(pooled), 3 * DIM + EXTRA)
     y = np.array([k for k, _ in pooled])

@@ -19,6 +19,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if its scan gives fewer, as a small table in one row group does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Checkpoints go where the cluster says. Only a local session that names no folder, as in tests, gets one of its own;
     on a cluster that would be a folder that executors do not share, so a missing setting is an error there."""

@@ -8,19 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholium.llm import classifier, decontam, licences, packing, quality, simhash, suffix, tokenbin, tokencount, urlfilter
-from scholium.llm.common import end_with_session, read, shared_path
+from scholium.llm.common import end_with_session, read, shared_path, spread
 from scholium.llm.quality import STOP_WORDS
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read(spark, sf_dir, "documents"))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of documents by SimHash."""
-    found = simhash.simhash_components(read(spark, sf_dir, "documents"))
+    found = simhash.simhash_components(_documents(spark, sf_dir))
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and verdict of every document."""
-    return quality.quality_rules(read(spark, sf_dir, "documents"))
+    return quality.quality_rules(_documents(spark, sf_dir))
 
 
 def _op2_sql() -> str:
@@ -45,12 +49,12 @@ SELECT *, NOT base_failed AND {within} AS kept FROM b"""
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bin and offset of each piece of each document."""
-    return packing.pack(read(spark, sf_dir, "documents"))
+    return packing.pack(_documents(spark, sf_dir))
 
 
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and spans that each document loses to earlier ones, and a digest of the rest."""
-    found = suffix.remove_earlier(read(spark, sf_dir, "documents"))
+    found = suffix.remove_earlier(_documents(spark, sf_dir))
     return found.select("rest.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -73,7 +77,7 @@ FROM d LEFT JOIN cut USING (doc_id)"""
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the benchmark items that they hold."""
-    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontam.contaminated(_documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
 
 
 def _op8_sql() -> str:
@@ -110,7 +114,7 @@ SELECT *, n_matched / n_windows AS similarity FROM (SELECT * FROM r UNION ALL SE
 
 def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and lines that are a known licence or notice."""
-    return licences.licence_scan(read(spark, sf_dir, "documents"))
+    return licences.licence_scan(_documents(spark, sf_dir))
 
 
 def _op5_sql() -> str:
@@ -163,7 +167,7 @@ def op7_training_order(spark: SparkSession, sf_dir: str, tokenizers: str = TOKEN
     """Place, document and digest of every record of the shards that the token sequences are written to."""
     ranks = Path(tokenizers, "byte_bpe_50k.tiktoken").read_bytes()
     path = shared_path(spark, "shards")
-    found = tokenbin.sequences(read(spark, sf_dir, "documents"), ranks, BPE_PATTERN, BPE_END)
+    found = tokenbin.sequences(_documents(spark, sf_dir), ranks, BPE_PATTERN, BPE_END)
     tokenbin.write_shards(found, path, spent=found.made_of)
     end_with_session(spark, path)
     return tokenbin.read_shards(spark, path).withColumn("record_md5", F.md5("record")).drop("record")
@@ -171,12 +175,12 @@ def op7_training_order(spark: SparkSession, sf_dir: str, tokenizers: str = TOKEN
 
 def op9_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     """Unigram token count and score of every document."""
-    return tokencount.token_counts(read(spark, sf_dir, "documents"), tokencount.vocabulary(Path(tokenizers, "piece_bpe_32k.model").read_bytes()))
+    return tokencount.token_counts(_documents(spark, sf_dir), tokencount.vocabulary(Path(tokenizers, "piece_bpe_32k.model").read_bytes()))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated quality score of every document."""
-    return classifier.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return classifier.quality_scores(_documents(spark, sf_dir), read(spark, sf_dir, "labels"))
 
 
 QUERIES = {

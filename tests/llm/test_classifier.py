@@ -51,3 +51,35 @@ def test_temperature_calibrates():
     assert 0.25 <= network.temperature <= 8 and abs(p.mean() - y.mean()) < 0.03
     top = p > 0.8
     assert abs(p[top].mean() - y[top].mean()) < 0.05
+
+
+def test_vectors_and_pooling_against_brute_force(make_docs, corpus):
+    texts = [t for _, t in corpus]
+    index = classifier.index_vectors().astype(float)
+    buckets = classifier.Buckets()
+    sums = np.zeros_like(index)
+    for t in texts:
+        pairs = [buckets.of(np.array([w], dtype=object))[0] for w in (t or "").split()]
+        for a, b in zip(pairs, pairs[1:]):
+            for x in a:
+                for y in b:
+                    sums[x] += index[y]
+                    sums[y] += index[x]
+    unit = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    found = classifier.word_vectors(make_docs(corpus))
+    assert np.allclose(found, unit, atol=1e-6)
+    pooled = classifier.Pooler(found)(texts)
+    for t, row in zip(texts, pooled):
+        words = (t or "").split()
+        rows = [np.hstack([unit[a], unit[b], index[b]]) for a, b in (buckets.of(np.array([w], dtype=object))[0] for w in words)]
+        mean = np.mean(rows, axis=0) if rows else np.zeros(3 * classifier.DIM)
+        lines = [x for x in (t or "").split("\n") if x.strip()]
+        extra = [np.log1p(len(words)) / 10, len(set(words)) / max(len(words), 1), 1 - len(set(lines)) / len(lines) if lines else 0.0, float(bool(words))]
+        assert np.allclose(row, np.concatenate([mean, extra]), atol=1e-5)
+
+
+def test_repeated_ids_and_labels_stay_bounded(spark, make_docs):
+    docs, labels, _ = labelled(spark, make_docs, 60)
+    twice = classifier.fit(docs.unionAll(docs), labels.unionAll(labels))[1]
+    once = classifier.fit(docs, labels)[1]
+    assert np.allclose(twice.params[0], once.params[0])

@@ -1,4 +1,4 @@
-"""Command line: analyse a folder of studies, or turn Markdown into LaTeX."""
+"""Command line: analyse a folder of studies, write a review, convert PDF files, show a run, turn Markdown into LaTeX."""
 
 from __future__ import annotations
 
@@ -22,6 +22,20 @@ def main(args: list[str] | None = None) -> int:
     tex.add_argument("file")
     tex.add_argument("--output")
     tex.add_argument("--lang", choices=("en", "pt"), default="en")
+    pdf = commands.add_parser("convert", help="the text of a folder's PDF files; those that are there are left out")
+    pdf.add_argument("--input", required=True)
+    pdf.add_argument("--output", required=True)
+    pdf.add_argument("--force", action="store_true", help="convert again what is there")
+    seen = commands.add_parser("stages", help="what a run has done: stages, rows and times")
+    seen.add_argument("--run", required=True)
+    write = commands.add_parser("review", help="analyse, then write a review with a local model")
+    for name, more in {"--studies": {}, "--taxonomy": {"help": "outline"}, "--run": {}, "--output": {"help": "Markdown file"}, "--model": {}}.items():
+        write.add_argument(name, required=True, **more)
+    write.add_argument("--url", default="http://127.0.0.1:11434")
+    write.add_argument("--title", default="Review")
+    write.add_argument("--lang", choices=("en", "pt"), default="en")
+    write.add_argument("--vocabulary", default="")
+    write.add_argument("--no-scope", action="store_true")
     args = parser.parse_args(args)
     spark = SparkSession.builder.appName("scholium").getOrCreate()
     if args.command == "md2latex":
@@ -31,6 +45,17 @@ def main(args: list[str] | None = None) -> int:
         Path(args.output or Path(args.file).with_suffix(".tex")).write_text(markdown_to_latex(docs, "key", language=args.lang).first()["latex"], encoding="utf-8")
         return 0
 
+    if args.command == "convert":
+        from scholium.sources.files import convert_pdfs
+
+        print(convert_pdfs(spark, args.input, args.output, args.force))
+        return 0
+    if args.command == "stages":
+        from scholium.plans.review import Run
+
+        Run(spark, args.run).events().orderBy("at").select("stage", "elapsed_s", "payload").show(200, truncate=False)
+        return 0
+
     from scholium.operators import dedup, screening
     from scholium.plans import analysis
     from scholium.plans.review import Run
@@ -46,7 +71,15 @@ def main(args: list[str] | None = None) -> int:
         return 0
     sections = outline.sections_frame(spark, taxonomy["entries"])
     words = [w for w in args.vocabulary.split(",") if w] or sorted({w for e in taxonomy["entries"] for w in e["prompt"].lower().split() if len(w) > 3})
-    found = analysis.analyse(studies, sections, analysis.Settings(vocabulary=tuple(words), scope_on=not args.no_scope))
+    settings = analysis.Settings(vocabulary=tuple(words), scope_on=not args.no_scope)
+    if args.command == "review":
+        from scholium.operators.replies import streaming_client
+        from scholium.plans.agents import run_review
+
+        text = run_review(state, studies, sections, settings, streaming_client(args.url, args.model), args.title, language=args.lang, polished=True)
+        Path(args.output).write_text(text, encoding="utf-8")
+        return 0
+    found = analysis.analyse(studies, sections, settings)
     for name in ("chunks", "profiles", "tags", "flags", "stats", "evidence", "coverage"):
         state.stage(name, lambda name=name: getattr(found, name))
     state.stage("coverage", lambda: found.coverage).orderBy("section_pos").select("parent", "folder", "n_chunks", F.col("status")).show(200, truncate=60)

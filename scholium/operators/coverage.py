@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scholium.functions import text as T
+from scholium.operators.dedup import checkpointed
+
+
+def ranked(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """rows with `rank`, from 1 in each group of by. Rows are dealt by ranges of group and order, so that a group of any size is
+    sorted by as many tasks as it needs; a row's rank is its place in its partition and what comes before that one."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = [F.col(c) for c in by]
+    dealt = checkpointed(rows.repartitionByRange(n, *key, *order).sortWithinPartitions(*key, *order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_at", 33)))
+    parts = dealt.groupBy(*by, "_p").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    placed = parts.select(*by, "_p", "_first", before.alias("_before"))
+    return dealt.join(placed, [*by, "_p"]).select(*rows.columns, (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("int").alias("rank"))
 
 
 def coverage(sections: DataFrame, tags: DataFrame) -> DataFrame:
@@ -27,17 +40,17 @@ def coverage_summary(covered: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def section_articles(tags: DataFrame, chunks: DataFrame, studies: DataFrame, min_eligibility: float = 0.2, excerpt: int = 300) -> DataFrame:
     """(parent, folder, pmid, author, year, citation, similarity, n_chunks, best_excerpt, rank): the studies of each
-    section by their best tag, of equal ones by pmid."""
+    section by their best tag, of equal ones by pmid, all of them."""
     parts = chunks.select("chunk_id", F.col("study_pmid").alias("pmid"), F.substring("text", 1, excerpt).alias("excerpt"))
     best = tags.where(F.col("eligibility_score") >= min_eligibility).join(parts, "chunk_id").groupBy("parent", "folder", "pmid").agg(F.count("*").alias("n_chunks"), F.min(F.struct((-F.col("similarity")).alias("s"), "chunk_id", "excerpt")).alias("b"))
     people = studies.select("pmid", "authors", "year").dropDuplicates(["pmid"])
     rows = best.join(people, "pmid", "left").withColumn("similarity", F.round(-F.col("b.s"), 4))
     named = (F.coalesce("authors", F.lit("")) != "") & (F.coalesce("year", F.lit(0)) != 0)
-    order = W.partitionBy("parent", "folder").orderBy(F.desc("similarity"), "pmid")
-    return rows.select(
+    rows = rows.select(
         "parent", "folder", "pmid", F.coalesce("authors", "pmid").alias("author"), "year", F.when(named, T.citation(F.col("authors"), F.col("year"))).otherwise(F.format_string("(%s)", F.col("pmid"))).alias("citation"),
-        "similarity", "n_chunks", F.col("b.excerpt").alias("best_excerpt"), F.row_number().over(order).alias("rank"),
+        "similarity", "n_chunks", F.col("b.excerpt").alias("best_excerpt"),
     )
+    return ranked(rows, ["parent", "folder"], [F.desc("similarity"), F.asc("pmid")])
 
 
 def write_sections(articles: DataFrame, path: str) -> None:

@@ -1,5 +1,5 @@
-"""The review by phases: evidence, synthesis, debates, drafts that are reviewed, and a formatted document. Each phase is a
-stage of a run, so an interrupted review goes on where it stopped."""
+"""The review by phases: evidence, contradictions, synthesis, debates, theses, drafts that are reviewed, tables, a document that is
+post-processed. Each phase is a stage of a run, so an interrupted review goes on where it stopped."""
 
 from __future__ import annotations
 
@@ -7,27 +7,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholium.functions import text as T
-from scholium.operators import coverage, markdown, replies, sections, synthesis
+from scholium.operators import compose, coverage, markdown, replies, sections, synthesis
 from scholium.plans import analysis, review
 
 
-def run_review(run: review.Run, studies: DataFrame, outline: DataFrame, settings: analysis.Settings, client, title: str = "Review", rounds: int = 2, accept: float = 7.0) -> str:
-    """The Markdown document of a review of studies over outline. client(prompt, options) is the language model."""
+def run_review(run: review.Run, studies: DataFrame, outline: DataFrame, settings: analysis.Settings, client, title: str = "Review", rounds: int = 2, accept: float = 7.0, language: str = "en", polished: bool = False) -> str:
+    """The Markdown document of a review of studies over outline. client(prompt, options) is the language model; polished has it revise
+    sections and chapters once more at the end. Sections without evidence say so, without a call."""
     found = analysis.analyse(studies, outline, settings)
     evidence = run.stage("evidence", lambda: found.evidence)
     chunks = run.stage("chunks", lambda: found.chunks)
     packages = run.stage("packages", lambda: analysis.evidence_package(evidence, chunks, studies))
+    pairs = coverage.candidate_pairs(evidence, chunks)
+    run.stage("contradictions", lambda: compose.contradictions(pairs, chunks, studies, client))
     ids = evidence.groupBy(T.theme_key(F.col("parent"), F.col("folder")).alias("theme")).agg(F.array_sort(F.collect_set("chunk_id")).alias("ids"))
     themes = packages.select(T.theme_key(F.col("parent"), F.col("folder")).alias("theme"), "evidence").join(ids, "theme")
     maps = run.stage("synthesis", lambda: synthesis.synthesise(themes, client))
     critical = replies.ask(maps, F.concat(F.lit("Judge the robustness of the theme as JSON with summary and robustness: "), "theme"), client).select("theme", "contradictions", replies.critical_reply(F.col("reply")).alias("c"))
     critical = run.stage("critical", lambda: critical.select("theme", "contradictions", "c.summary", "c.robustness"))
     run.stage("debates", lambda: synthesis.debates(critical, client))
-    drafts = run.stage("drafts", lambda: review.write_sections(packages, outline.select("section_pos", "parent", "folder", "prompt"), client))
+    theses = run.stage("theses", lambda: compose.theme_theses(maps.join(critical.select("theme", "summary"), "theme", "left"), client))
+    questions = synthesis.chapter_questions(outline.select("parent", "section_pos", "research_questions"))
+    chapters = run.stage("chapters", lambda: compose.chapter_theses(questions, client))
+
+    entries = outline.select("section_pos", "parent", "folder", "prompt").withColumn("theme", T.theme_key(F.col("parent"), F.col("folder"))).join(packages.select("parent", "folder", "evidence"), ["parent", "folder"])
+    entries = entries.join(chapters.withColumnRenamed("thesis", "chapter_thesis"), "parent", "left").join(theses.select("theme", "thesis"), "theme", "left").join(compose.anchors(maps), "theme", "left")
+    entries = entries.withColumn("thesis", F.coalesce(F.nullif(F.col("thesis"), F.lit("")), "chapter_thesis"))
+    bare = outline.join(packages.select("parent", "folder"), ["parent", "folder"], "left_anti").select("section_pos", "parent", "folder", F.lit(review.NO_EVIDENCE).alias("content"))
+    drafts = run.stage("drafts", lambda: compose.write_entries(entries, client).unionByName(bare))
 
     def judge(rows: DataFrame) -> DataFrame:
         asked = replies.ask(rows, F.concat(F.lit("Score this section from 0 to 10 as JSON with score: "), "content"), client)
-        return asked.select("key", F.when(F.col("error").isNull(), replies.review_reply(F.col("reply"), T.strip(F.col("content")) == "")).alias("score"), F.col("reply").alias("feedback"))
+        return asked.select("key", F.when(F.col("error").isNull(), replies.review_reply(F.col("reply"), T.strip(F.col("content")) == "")).alias("score"), replies.review_report(F.coalesce("reply", F.lit("")), F.lit(False))["overall_feedback"].alias("feedback"))
 
     def rewrite(rows: DataFrame) -> DataFrame:
         asked = replies.ask(rows, F.concat(F.lit("Rewrite after this feedback: "), F.coalesce("feedback", F.lit("")), F.lit("\n"), "content"), client)
@@ -35,8 +46,18 @@ def run_review(run: review.Run, studies: DataFrame, outline: DataFrame, settings
 
     keyed = drafts.select(F.col("section_pos").cast("string").alias("key"), "content")
     final = run.stage("sections", lambda: review.review_loop(keyed, rewrite, judge, rounds, accept).join(outline.select(F.col("section_pos").cast("string").alias("key"), "section_pos", "parent", "folder"), "key"))
+    tables = run.stage("tables", lambda: compose.tables(packages, client))
     gaps = maps.select("theme", F.posexplode("gaps").alias("i", "g")).select(F.struct("theme", "i").alias("o"), "g.description", "g.priority")
-    agenda = sections.research_agenda(gaps.withColumnRenamed("o", "pos"))
-    ordered = coverage.chapter_order(outline.select("section_pos", "parent", "folder")).select("section_pos", "parent_pos", "folder_pos")
-    written = final.join(ordered, "section_pos").withColumn("content", T.textual_cleanup(F.col("content")))
-    return markdown.assemble(written, title, agenda=[r["description"] for r in agenda.orderBy("rank").collect()])
+    agenda = run.stage("agenda", lambda: sections.research_agenda(gaps.withColumnRenamed("o", "pos")))
+    summary = run.stage("summary", lambda: compose.executive_summary(final.select("section_pos", "parent", "folder", "content"), title, client))
+
+    def document() -> DataFrame:
+        ordered = coverage.chapter_order(outline.select("section_pos", "parent", "folder")).select("section_pos", "parent_pos", "folder_pos")
+        added = tables.groupBy("parent", "folder").agg(F.max("markdown").alias("table"))
+        written = compose.place_tables(final.select("section_pos", "parent", "folder", "content"), tables).join(added, ["parent", "folder"], "left").join(ordered, "section_pos")
+        written = written.withColumn("content", F.concat_ws("\n\n", T.textual_cleanup(F.col("content")), F.when(~F.contains("content", "table"), F.nullif(F.col("table"), F.lit("")))))
+        text = markdown.assemble(written, title, summary.first()["summary"], compose.LIMITATIONS.get(language, compose.LIMITATIONS["en"]), [r["description"] for r in agenda.orderBy("rank").collect()])
+        docs = run.spark.createDataFrame([(0, text)], "key int, text string")
+        return compose.post_process(docs, "key", client, chapters) if polished else docs
+
+    return run.stage("document", document).first()["text"]

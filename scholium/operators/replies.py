@@ -91,6 +91,7 @@ def _first_object(raw: Column) -> Column:
 
 def _mended(raw: Column) -> Column:
     r"""A stray backslash doubled, so that \p and the like do not spoil the reply."""
+    # Fixed value: the signs that JSON lets follow a backslash.
     return F.regexp_replace(raw, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\")
 
 

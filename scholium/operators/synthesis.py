@@ -43,7 +43,7 @@ def synthesise(packages: DataFrame, client: Client) -> DataFrame:
     first = checkpointed(parse(replies.ask(packages, question, client).drop("prompt_hash", "error")).withColumn("ok", grounded(F.col("m.consensus"), F.col("m.contradictions"))))
     again = F.concat(question, F.lit("\n\nEvery consensus point and contradiction needs evidence_chunk_ids, and only ids of the evidence."))
     second = parse(replies.ask(first.where("not ok").drop("reply", "m", "ok"), again, client)).withColumn("ok", grounded(F.col("m.consensus"), F.col("m.contradictions")))
-    bare = F.struct(F.slice("m.consensus", 1, 0).alias("consensus"), F.slice("m.contradictions", 1, 0).alias("contradictions"), F.array(F.struct(F.lit("Insufficient evidence anchoring in the corpus").alias("description"), F.lit("high").alias("priority"), F.lit("Revise the evidence and synthesise again").alias("suggested_approach"))).alias("gaps"))
+    bare = F.struct(F.slice("m.consensus", 1, 0).alias("consensus"), F.slice("m.contradictions", 1, 0).alias("contradictions"), F.array(F.struct(F.lit("No point of this theme names its evidence").alias("description"), F.lit("high").alias("priority"), F.lit("Gather more evidence and synthesise again").alias("suggested_approach"))).alias("gaps"))
     settled = first.where("ok").select("theme", "m").unionByName(second.select("theme", F.when(F.col("ok"), F.col("m")).otherwise(bare).alias("m")))
     return settled.select("theme", "m.*")
 

@@ -79,13 +79,5 @@ def grounded(consensus: Column, contradictions: Column) -> Column:
     return named(consensus) & named(contradictions)
 
 
-def keep_known_ids(ids: Column, known: Column) -> Column:
-    return F.filter(ids, lambda x: F.array_contains(known, x))
-
-
 def needs_debate(contradictions: Column, robustness: Column, least: int = 2) -> Column:
     return (F.size(contradictions) >= least) & (F.lower(robustness) == "baixa")
-
-
-def long_enough(body: Column, least: int = 20) -> Column:
-    return F.size(T.words(body)) >= least

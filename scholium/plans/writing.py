@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scholium.functions import lexicon
 from scholium.functions import text as T
-from scholium.operators import chunk, compose, coverage, gate, markdown, meta, profile, replies, sections
+from scholium.operators import chunk, compose, coverage, gate, markdown, meta, profile, replies, scope, sections
 from scholium.plans import analysis, oracle
 from scholium.plans.catalog import SQL, digits, maps_of, query, read_table, studies_of
 
@@ -303,12 +303,49 @@ def gate_reasons(spark, sf):
     return gate.judge_tags(tags, chunks, outline, profs, high).select("chunk_id", "reason")
 
 
+PHRASES = (
+    "A vapor compression evaporator in cold storage", "nucleate boiling and critical heat flux", "PCM encapsulation", "liquid air energy storage with LAES discharge", "water-gas shift over a catalyst", "pyrolysis of microalgae and biodiesel", "R744 transcritical CO2",
+    "dry ice and solid CO2 at the triple point", "ponto triplo supercrítico", "Brayton and TES", "a diesel engine with low-carbon fuels", "direct air capture", "gas cooler with an ejector", "nothing of the kind",
+)
+
+
+def _phrased(spark, sf) -> DataFrame:
+    """Labels as texts of two phrases that the default tables know."""
+    i = F.col("doc_id")
+    phrases = F.array(*map(F.lit, PHRASES))
+    text = F.concat(F.get(phrases, (i % len(PHRASES)).cast("int")), F.lit(". "), F.get(phrases, (F.floor(i / 3) % len(PHRASES)).cast("int")), F.lit(" "), F.when(i % 2 == 0, F.get(phrases, (F.floor(i / 7) % len(PHRASES)).cast("int"))).otherwise(""))
+    return read_table(spark, sf, "labels").select(F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("pmid"), text.alias("title"), F.lit("").alias("abstract"), F.lit("").alias("raw_text"))
+
+
+@query
+def default_labels(spark, sf):
+    """H1, G1 with the default tables of domains, fluids, phases and topologies."""
+    tables = {"domains": lexicon.DOMAINS, "fluids": lexicon.FLUIDS, "phases": lexicon.PHASES, "topologies": lexicon.TOPOLOGIES}
+    return _phrased(spark, sf).select("pos", *(F.array_join(T.labels(F.col("title"), t), ",").alias(n) for n, t in tables.items()))
+
+
+@query
+def default_scope(spark, sf):
+    """B3, B4 with the default clusters, anchors and negatives."""
+    found = scope.with_scope(scope.scope_features(_phrased(spark, sf)))
+    return found.select("pos", F.array_join(F.array_sort(F.map_keys("cluster_hits")), ",").alias("clusters"), "anchor_hits", "negative_hits", "in_scope")
+
+
+@query
+def forest_plot_rows(spark, sf):
+    """What a forest plot of customers' balances is drawn from; intervals of no width weigh most."""
+    effect = F.col("c_acctbal") / 1000
+    rows = read_table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("pmid"), effect.cast("double").alias("effect_size"), effect.cast("double").alias("ci_lower"), F.when(F.col("c_nationkey") < 20, effect + F.col("c_nationkey")).cast("double").alias("ci_upper"))
+    return meta.forest_rows(rows).select("label", digits("effect"), digits("ci_lower"), digits("ci_upper"), digits("weight"))
+
+
 def _claim(text: str) -> str:
     return f"CASE WHEN regexp_matches({text}, {oracle.q('(?i)' + lexicon.QUANTITY)}) THEN 'quant' WHEN regexp_matches({text}, {oracle.q('(?i)' + lexicon.COMPARISON)}) THEN 'qual' END"
 
 
 _WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
 _FIRST = "f AS (SELECT conv_id, min(text) AS t FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS m FROM conversations) WHERE turn = m GROUP BY conv_id), sec AS (SELECT conv_id AS section_pos, 'p' || (conv_id % 4) AS parent, 'Part ' || conv_id AS folder, t AS content FROM f)"
+_PHRASED = f"ph AS (SELECT doc_id AS pos, p[(doc_id % {len(PHRASES)} + 1)::INT] || '. ' || p[(doc_id // 3 % {len(PHRASES)} + 1)::INT] || ' ' || CASE WHEN doc_id % 2 = 0 THEN p[(doc_id // 7 % {len(PHRASES)} + 1)::INT] ELSE '' END AS t FROM (SELECT doc_id, {oracle.terms(PHRASES)} AS p FROM labels))"
 _LAST = lambda x: f"string_split({x}, chr(10))[-1]"
 _I = "doc_id"
 _NINE = (
@@ -378,5 +415,10 @@ SQL |= {
         l AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN '\title{{' || x || '}}' WHEN turn % 4 = 1 THEN '\subsection{{' || x || '}}' WHEN turn % 4 = 2 THEN '\begin{{itemize}}' || chr(10) || '  \item ' || x || chr(10) || '\end{{itemize}}' WHEN turn % 4 = 3 THEN x ELSE '\subsection*{{References ' || x || '}}' END AS y FROM w)
         SELECT conv_id, md5('\documentclass[12pt,a4paper]{{article}}' || chr(10) || '\usepackage[utf8]{{inputenc}}' || chr(10) || '\usepackage[T1]{{fontenc}}' || chr(10) || '\usepackage[english]{{babel}}' || chr(10) || '\usepackage{{booktabs,graphicx,hyperref}}' || chr(10) || max(y) FILTER (turn = 0) || chr(10) || '\begin{{document}}' || chr(10) || '\maketitle'
           || chr(10) || '\tableofcontents' || chr(10) || '\newpage' || chr(10) || chr(10) || coalesce(string_agg(y, chr(10) || chr(10) ORDER BY turn) FILTER (turn > 0), '') || chr(10) || chr(10) || '\end{{document}}' || chr(10)) AS latex_md5 FROM l GROUP BY conv_id""".replace("\\\\", "\\"),
+    "default_labels": f"""WITH {_PHRASED} SELECT pos, {", ".join(f"array_to_string({oracle.labels('t', table)}, ',') AS {name}" for name, table in (("domains", lexicon.DOMAINS), ("fluids", lexicon.FLUIDS), ("phases", lexicon.PHASES), ("topologies", lexicon.TOPOLOGIES)))} FROM ph""",
+    "default_scope": f"""WITH {_PHRASED}, s AS (SELECT pos, list_sort(list_filter([{", ".join(f"CASE WHEN {oracle.any_of('t', p)} THEN {oracle.q(k)} END" for k, p in lexicon.SCOPE_CLUSTERS.items())}], lambda x: x IS NOT NULL)) AS cl, CAST({oracle.count_of('t', lexicon.SCOPE_ANCHORS)} AS INTEGER) AS anchor_hits, CAST({oracle.count_of('t', lexicon.SCOPE_NEGATIVES)} AS INTEGER) AS negative_hits FROM ph)
+        SELECT pos, array_to_string(cl, ',') AS clusters, anchor_hits, negative_hits, len(cl) + least(anchor_hits, 3) >= 2 AND NOT ((anchor_hits = 0 AND negative_hits >= 2) OR (anchor_hits > 0 AND negative_hits > 6)) AS in_scope FROM s""",
+    "forest_plot_rows": f"""WITH r AS (SELECT c_custkey, (c_acctbal / 1000)::DOUBLE AS e, CASE WHEN c_nationkey < 20 THEN c_acctbal / 1000 + c_nationkey END::DOUBLE AS hi FROM customer WHERE c_nationkey < 20), w AS (SELECT *, pow(CASE WHEN hi - e <= 0 THEN 1e-6 ELSE (hi - e) / (2 * {oracle.H.Z95}) END, -2) AS wt FROM r)
+        SELECT CAST(c_custkey AS VARCHAR) AS label, {oracle.sig('e')} AS effect, {oracle.sig('e')} AS ci_lower, {oracle.sig('hi')} AS ci_upper, {oracle.sig('wt')} AS weight FROM w""",
     "gate_reasons": "SELECT CAST(doc_id AS VARCHAR) AS chunk_id, CASE " + " ".join(f"WHEN {test} THEN '{name}'" for name, test in _NINE) + " END AS reason FROM labels",
 }

@@ -36,6 +36,10 @@ def main(args: list[str] | None = None) -> int:
     write.add_argument("--lang", choices=("en", "pt"), default="en")
     write.add_argument("--vocabulary", default="")
     write.add_argument("--no-scope", action="store_true")
+    pico = commands.add_parser("systematic", help="screen, extract, rate and pool studies for a topic with a local model; a LaTeX manuscript")
+    for name in ("--studies", "--topic", "--run", "--output", "--model"):
+        pico.add_argument(name, required=True)
+    pico.add_argument("--url", default="http://127.0.0.1:11434")
     args = parser.parse_args(args)
     spark = SparkSession.builder.appName("scholium").getOrCreate()
     if args.command == "md2latex":
@@ -56,6 +60,16 @@ def main(args: list[str] | None = None) -> int:
         Run(spark, args.run).events().orderBy("at").select("stage", "elapsed_s", "payload").show(200, truncate=False)
         return 0
 
+    if args.command == "systematic":
+        from scholium.operators.replies import streaming_client
+        from scholium.plans.review import Run
+        from scholium.plans.systematic import run_systematic
+        from scholium.sources import files
+
+        text = run_systematic(Run(spark, args.run), files.load_studies(spark, args.studies), args.topic, streaming_client(args.url, args.model))
+        Path(args.output).write_text(text, encoding="utf-8")
+        return 0
+
     from scholium.operators import dedup, screening
     from scholium.plans import analysis
     from scholium.plans.review import Run

@@ -12,26 +12,28 @@ from scholium.functions import lexicon
 from scholium.functions import text as T
 
 
-def ask(rows: DataFrame, prompt: Column, client: Callable[[str, dict], str], options: dict | None = None, cache: DataFrame | None = None, retries: int = 1) -> DataFrame:
+def ask(rows: DataFrame, prompt: Column, client: Callable[[str, dict], str], options: dict | None = None, cache: DataFrame | None = None, retries: int = 1, model: Column | None = None) -> DataFrame:
     """rows with prompt_hash, reply and error: client(prompt, options) for each unlike prompt.
 
-    Equal prompts are asked once, and those in cache(prompt_hash, reply) not at all; a call that raises is tried again
-    `retries` times and then leaves its message in `error`. The hash covers prompt and options.
+    model names a row's own model, which goes to the client as an option. Equal prompts are asked once, and those in cache(prompt_hash, reply) not at all; a call that raises is tried again
+    `retries` times and then leaves its message in `error`. The hash covers prompt, options and model.
     """
     options = options or {}
-    keyed = rows.withColumn("prompt", prompt).withColumn("prompt_hash", F.sha2(F.concat(F.col("prompt"), F.lit(repr(sorted(options.items())))), 256))
-    asked = keyed.select("prompt_hash", "prompt").dropDuplicates(["prompt_hash"])
+    named = F.lit(None).cast("string") if model is None else model
+    keyed = rows.withColumn("prompt", prompt).withColumn("prompt_model", named).withColumn("prompt_hash", F.sha2(F.concat(F.col("prompt"), F.lit(repr(sorted(options.items()))), F.coalesce("prompt_model", F.lit(""))), 256))
+    asked = keyed.select("prompt_hash", "prompt", "prompt_model").dropDuplicates(["prompt_hash"])
     if cache is not None:
         asked = asked.join(cache.select("prompt_hash"), "prompt_hash", "left_anti")
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for key, text in zip(frame["prompt_hash"], frame["prompt"]):
+            for key, text, own in zip(frame["prompt_hash"], frame["prompt"], frame["prompt_model"]):
                 reply, error = None, None
+                chosen = {**options, "model": own} if own else options
                 for _ in range(retries + 1):
                     try:
-                        reply, error = client(text, options), None
+                        reply, error = client(text, chosen), None
                         break
                     except Exception as e:  # whatever the transport raises becomes a row's error
                         error = str(e)
@@ -41,7 +43,7 @@ def ask(rows: DataFrame, prompt: Column, client: Callable[[str, dict], str], opt
     replies = asked.mapInPandas(call, "prompt_hash string, reply string, error string")
     if cache is not None:
         replies = replies.unionByName(cache.select("prompt_hash", "reply", F.lit(None).cast("string").alias("error")))
-    return keyed.join(replies, "prompt_hash", "left").drop("prompt")
+    return keyed.join(replies, "prompt_hash", "left").drop("prompt", "prompt_model")
 
 
 def offline(prompt: str, options: dict) -> str:

@@ -46,6 +46,7 @@ def run_review(run: review.Run, studies: DataFrame, outline: DataFrame, settings
 
     keyed = drafts.select(F.col("section_pos").cast("string").alias("key"), "content")
     final = run.stage("sections", lambda: review.review_loop(keyed, rewrite, judge, rounds, accept).join(outline.select(F.col("section_pos").cast("string").alias("key"), "section_pos", "parent", "folder"), "key"))
+    run.stage("quality", lambda: sections.section_quality(final.select(T.theme_key(F.col("parent"), F.col("folder")).alias("section_id"), "content"), found.flags, outline.select("parent", "folder", "forbidden_terms")))
     tables = run.stage("tables", lambda: compose.tables(packages, client))
     gaps = maps.select("theme", F.posexplode("gaps").alias("i", "g")).select(F.struct("theme", "i").alias("o"), "g.description", "g.priority")
     agenda = run.stage("agenda", lambda: sections.research_agenda(gaps.withColumnRenamed("o", "pos")))

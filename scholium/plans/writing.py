@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scholium.functions import lexicon
 from scholium.functions import text as T
 from scholium.operators import chunk, compose, coverage, gate, markdown, meta, profile, replies, scope, sections
-from scholium.plans import analysis, oracle
+from scholium.plans import analysis, oracle, systematic
 from scholium.plans.catalog import SQL, digits, maps_of, query, read_table, studies_of
 
 
@@ -303,6 +303,36 @@ def gate_reasons(spark, sf):
     return gate.judge_tags(tags, chunks, outline, profs, high).select("chunk_id", "reason")
 
 
+def screening_client(prompt: str, options: dict) -> str:
+    n = len(prompt)
+    if n % 7 == 0:
+        raise OSError("no answer")
+    return f'{{"decision": "{("include", "exclude", "maybe")[n % 3]}", "confidence": 0.{n % 90 + 10}, "justification": "n {n}"}}'
+
+
+@query
+def model_screening(spark, sf):
+    """Every document against a question, by replies that fail for some."""
+    pico = {"population": "p", "intervention": "i", "comparison": "c", "outcome": "o"}
+    rows = systematic.screened(studies_of(spark, sf), pico, screening_client)
+    return rows.select("pos", "pmid", "decision", F.floor(F.col("confidence") * 100 + 0.5).cast("long").alias("confidence"), "justification")
+
+
+@query
+def extraction_stage(spark, sf):
+    """Extractions and errors of benchmark texts, with their risk of bias."""
+    rows = read_table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("pmid"), F.lit("t").alias("title"), F.col("text").alias("abstract"))
+    found = systematic.replies_of(rows, extraction_client)
+    return found.join(systematic.rated(rows, extraction_client).select("pmid", "overall_rating"), "pmid").select("pmid", "study_design", "sample_size", F.col("error").isNull().alias("read"), "overall_rating")
+
+
+def extraction_client(prompt: str, options: dict) -> str:
+    n = len(prompt)
+    if prompt.startswith("Rate"):
+        return '[{"domain": "a", "rating": "High"}]' if n % 3 == 0 else '[{"domain": "a", "rating": "low"}, {"domain": "b"}, {"domain": "c"}]' if n % 3 == 1 else "none"
+    return "no JSON" if n % 4 == 0 else f'{{"study_design": "d{n % 5}", "sample_size": {n}}}'
+
+
 PHRASES = (
     "A vapor compression evaporator in cold storage", "nucleate boiling and critical heat flux", "PCM encapsulation", "liquid air energy storage with LAES discharge", "water-gas shift over a catalyst", "pyrolysis of microalgae and biodiesel", "R744 transcritical CO2",
     "dry ice and solid CO2 at the triple point", "ponto triplo supercrítico", "Brayton and TES", "a diesel engine with low-carbon fuels", "direct air capture", "gas cooler with an ejector", "nothing of the kind",
@@ -346,6 +376,7 @@ def _claim(text: str) -> str:
 _WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
 _FIRST = "f AS (SELECT conv_id, min(text) AS t FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS m FROM conversations) WHERE turn = m GROUP BY conv_id), sec AS (SELECT conv_id AS section_pos, 'p' || (conv_id % 4) AS parent, 'Part ' || conv_id AS folder, t AS content FROM f)"
 _PHRASED = f"ph AS (SELECT doc_id AS pos, p[(doc_id % {len(PHRASES)} + 1)::INT] || '. ' || p[(doc_id // 3 % {len(PHRASES)} + 1)::INT] || ' ' || CASE WHEN doc_id % 2 = 0 THEN p[(doc_id // 7 % {len(PHRASES)} + 1)::INT] ELSE '' END AS t FROM (SELECT doc_id, {oracle.terms(PHRASES)} AS p FROM labels))"
+_STUDIES = f"WITH {oracle.STUDIES}"
 _LAST = lambda x: f"string_split({x}, chr(10))[-1]"
 _I = "doc_id"
 _NINE = (
@@ -415,6 +446,11 @@ SQL |= {
         l AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN '\title{{' || x || '}}' WHEN turn % 4 = 1 THEN '\subsection{{' || x || '}}' WHEN turn % 4 = 2 THEN '\begin{{itemize}}' || chr(10) || '  \item ' || x || chr(10) || '\end{{itemize}}' WHEN turn % 4 = 3 THEN x ELSE '\subsection*{{References ' || x || '}}' END AS y FROM w)
         SELECT conv_id, md5('\documentclass[12pt,a4paper]{{article}}' || chr(10) || '\usepackage[utf8]{{inputenc}}' || chr(10) || '\usepackage[T1]{{fontenc}}' || chr(10) || '\usepackage[english]{{babel}}' || chr(10) || '\usepackage{{booktabs,graphicx,hyperref}}' || chr(10) || max(y) FILTER (turn = 0) || chr(10) || '\begin{{document}}' || chr(10) || '\maketitle'
           || chr(10) || '\tableofcontents' || chr(10) || '\newpage' || chr(10) || chr(10) || coalesce(string_agg(y, chr(10) || chr(10) ORDER BY turn) FILTER (turn > 0), '') || chr(10) || chr(10) || '\end{{document}}' || chr(10)) AS latex_md5 FROM l GROUP BY conv_id""".replace("\\\\", "\\"),
+    "model_screening": f"""{_STUDIES}, n AS (SELECT pos, pmid, {len("Does this study fit the question? Answer in JSON with decision, confidence and justification.") + 1 + len("population: p") + 1 + len("intervention: i") + 1 + len("comparison: c") + 1 + len("outcome: o") + len(" Title: ") + len(" Abstract: ")} + length(title) + length(abstract) AS n FROM studies),
+        c AS (SELECT *, n % 7 = 0 AS bad, n % 3 AS k, n % 90 + 10 AS c FROM n)
+        SELECT pos, pmid, CASE WHEN bad THEN 'ambiguous' WHEN c >= 75 AND k = 0 THEN 'include' WHEN c <= 25 OR k = 1 THEN 'exclude' ELSE 'ambiguous' END AS decision, CASE WHEN bad THEN 50 ELSE c END AS confidence, CASE WHEN bad THEN '' ELSE 'n ' || n END AS justification FROM c""",
+    "extraction_stage": f"""WITH n AS (SELECT item_id, {len("Extract design, population, sample size and effect of this study as JSON. Title: t Abstract: ")} + length(text) AS x, {len("Rate the risk of bias of this study by domain, as a JSON array. Title: t Abstract: ")} + length(text) AS r FROM benchmark)
+        SELECT CAST(item_id AS VARCHAR) AS pmid, CASE WHEN x % 4 > 0 THEN 'd' || (x % 5) END AS study_design, CASE WHEN x % 4 > 0 THEN x END::INT AS sample_size, x % 4 > 0 AS read, CASE r % 3 WHEN 0 THEN 'high' ELSE 'moderate' END AS overall_rating FROM n""",
     "default_labels": f"""WITH {_PHRASED} SELECT pos, {", ".join(f"array_to_string({oracle.labels('t', table)}, ',') AS {name}" for name, table in (("domains", lexicon.DOMAINS), ("fluids", lexicon.FLUIDS), ("phases", lexicon.PHASES), ("topologies", lexicon.TOPOLOGIES)))} FROM ph""",
     "default_scope": f"""WITH {_PHRASED}, s AS (SELECT pos, list_sort(list_filter([{", ".join(f"CASE WHEN {oracle.any_of('t', p)} THEN {oracle.q(k)} END" for k, p in lexicon.SCOPE_CLUSTERS.items())}], lambda x: x IS NOT NULL)) AS cl, CAST({oracle.count_of('t', lexicon.SCOPE_ANCHORS)} AS INTEGER) AS anchor_hits, CAST({oracle.count_of('t', lexicon.SCOPE_NEGATIVES)} AS INTEGER) AS negative_hits FROM ph)
         SELECT pos, array_to_string(cl, ',') AS clusters, anchor_hits, negative_hits, len(cl) + least(anchor_hits, 3) >= 2 AND NOT ((anchor_hits = 0 AND negative_hits >= 2) OR (anchor_hits > 0 AND negative_hits > 6)) AS in_scope FROM s""",

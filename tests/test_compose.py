@@ -103,3 +103,48 @@ def test_run_counts_and_tables(spark, tmp_path):
     rows = run.stage("one", lambda: spark.range(5).where("id > 1"), spark.range(5))
     assert rows.count() == 3 and list(run.tables()) == ["one"]
     assert json.loads(run.events().where(F.col("stage") == "one").first().payload) == {"n_after": 3, "n_before": 5}
+
+
+def test_systematic_review(spark, tmp_path):
+    from scholium.plans.systematic import run_systematic
+
+    studies = spark.createDataFrame([(i, f"p{i}", f"Trial {i if i != 4 else 3}", f"Effect {i}.") for i in range(6)], "pos long, pmid string, title string, abstract string")
+    calls = []
+
+    def client(prompt, options):
+        if prompt.startswith("State"):
+            return '{"population": "adults", "query": "q"}'
+        if prompt.startswith("Does"):
+            if "Trial 5" in prompt:
+                raise OSError("no answer")
+            return json.dumps({"decision": "exclude" if "Trial 0" in prompt else "include", "confidence": 0.9, "justification": "j"})
+        if prompt.startswith("Extract"):
+            n = int(prompt.split("Effect ")[1][0])
+            return "none" if n == 2 else json.dumps({"study_design": "rct", "effect_size": 1.0 + n, "ci_lower": 0.5 + n, "ci_upper": 1.5 + n})
+        return "Text & more." if prompt.startswith("Write") else "[]"
+
+    run = Run(spark, str(tmp_path / "r"))
+    text = run_systematic(run, studies, "heat pumps", client)
+    assert "\\title{Heat Pumps}" in text and "Text \\& more." in text and "A review of 4 studies." in text
+    tables = run.tables()
+    assert {r.pmid: r.decision for r in tables["decisions"].collect()} == {"p0": "exclude", "p1": "include", "p2": "include", "p3": "include", "p5": "ambiguous"}
+    assert sorted((r.pmid, r.error is None) for r in tables["extracted"].collect()) == [("p1", True), ("p2", False), ("p3", True), ("p5", True)]
+    assert tables["pooled"].first().type == "meta-analysis" and tables["pooled"].first().k == 3
+    assert run_systematic(Run(spark, str(tmp_path / "r")), studies, "heat pumps", lambda p, o: calls.append(p)) == text and not calls
+
+
+def test_a_model_for_each_row(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, m string")
+    found = replies.ask(rows, F.lit("p"), lambda prompt, options: options.get("model", "default"), {"seed": 1}, model=F.col("m")).collect()
+    assert {r.k: r.reply for r in found} == {1: "a", 2: "b", 3: "default"} and "m" in found[0].asDict()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from scholium.operators.dedup import ensure_checkpoint_dir
+
+    empty = SimpleNamespace(isEmpty=lambda: True)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: empty)))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default=None: default)))

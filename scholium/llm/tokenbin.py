@@ -92,9 +92,10 @@ def sequences(docs: DataFrame, ranks: bytes, pattern: str, end: int, length: int
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.col("text").cast("string")
-    # Null ids lie in one range; a hash of the text spreads them, as it does rows that repeat an id.
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
-    dealt = keyed.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
+    # Null ids lie in one range; a hash of the text spreads them, as it does rows that repeat an id. Rows alike in both
+    # may stand in any order, so their own number spreads them too.
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("row"))
+    dealt = keyed.repartitionByRange(parts, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     rows = dealt.mapInArrow(encoded, "doc_id long, seq int, n_tokens int, ids binary")
     rows = spill(rows.withColumn("at", F.monotonically_increasing_id()))  # partition << 33 | row
     counts = {r["p"]: r["n"] for r in rows.groupBy(F.shiftright("at", 33).alias("p")).agg(F.count("*").alias("n")).collect()}

@@ -291,7 +291,8 @@ def _halves(segments: DataFrame, by: list[str], width: int) -> DataFrame:
 def removed_spans(keyed: DataFrame, by: list[str], group: int = GROUP) -> list[DataFrame]:
     """Tables (by, late) and (by, spans) for the texts of keyed(by, text) that lose bytes: places of runs, and spans (start, end).
 
-    Each step is written before the next begins, so that its shuffle files and the tables before it can go.
+    Each step is written before the next begins, so that its shuffle files and the tables before it can go. Hash joins hold one
+    partition of their smaller side, which has one row a key, in memory: spark.sql.shuffle.partitions has to grow with the input, about one for 10 MB.
     """
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = ", ".join(f"{c} long" for c in by)

@@ -35,7 +35,7 @@ def cleaned(text: Column) -> Column:
 def template(words: Column) -> Column:
     """Each word in lower case, or <num>, <unit> after a number, or <name> for a capitalised word that is no stop word."""
     typed = F.transform(words, lambda w: F.when(w.rlike(NUMBER), F.lit("<num>")).when(w.rlike(NAME) & ~F.lower(w).isin(STOP_WORDS), F.lit("<name>")).otherwise(F.lower(w)))
-    return let(typed, lambda t: F.transform(t, lambda x, i: F.when(x.isin(UNITS) & (F.get(t, i - 1) == "<num>"), F.lit("<unit>")).otherwise(x)))
+    return let(typed, lambda t: F.transform(t, lambda x, i: F.when((F.get(t, i - 1) == "<num>") & x.isin(UNITS), F.lit("<unit>")).otherwise(x)))
 
 
 def window_hashes(templates: Column) -> Column:
@@ -76,8 +76,10 @@ def _reached(docs: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
     of an item's n windows, so only the rarest of these, by the documents that have them, name candidates; a window that is in every document or
     item names none unless the item has nothing rarer. Candidates are then counted in full.
     """
-    both = let(cleaned(F.col("text")), lambda w: F.concat(window_hashes(template(w)), window_hashes(folded(w))))
-    hashes = docs.select("d", "alt", F.explode_outer(F.array_distinct(both)).alias("h"))
+    # Most texts have no ß, and need no second look at each word.
+    plain = lambda w: F.when(F.col("text").rlike("[ßẞ]"), folded(w)).otherwise(F.transform(w, lambda x: F.lower(x)))
+    both = let(cleaned(F.col("text")), lambda w: F.concat(window_hashes(template(w)), window_hashes(plain(w))))
+    hashes = docs.select("d", "alt", F.explode_outer(both).alias("h"))
     held = cut(hashes.join(_small(keys.select("h").distinct()), "h", "left_semi").distinct())
     seen = held.groupBy("h").agg(F.count("*").alias("n_docs"))
     order = W.partitionBy("item_id", "by").orderBy("n_docs", "h")

@@ -34,14 +34,20 @@ def index_vectors(seed: int = 11) -> np.ndarray:
     return out
 
 
+def _letters(run: str) -> str:
+    return "X" if run.isupper() and len(run) > 1 else "Xx" if run[0].isupper() else "x"
+
+
 def shape(word: str) -> str:
     """Letters as x or X, digits as 9, other runs as their first character, at most eight signs."""
+    if word.isalpha():
+        return _letters(word)
+    if word[:-1].isalpha() and word[-1] in ".,;:!?":  # most of the others
+        return _letters(word[:-1]) + word[-1]
 
     def sign(m: re.Match) -> str:
         letters, digits, other = m.groups()
-        if letters:
-            return "X" if letters.isupper() and len(letters) > 1 else "Xx" if letters[0].isupper() else "x"
-        return "9" if digits else other[0] * min(len(other), 3)
+        return _letters(letters) if letters else "9" if digits else other[0] * min(len(other), 3)
 
     return _CLASS.sub(sign, word)[:8]
 
@@ -50,21 +56,27 @@ class Buckets:
     """Word -> (stem bucket, shape bucket), remembering a bounded number of words."""
 
     def __init__(self):
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known: dict[str, int] = {}
+        self.shapes: dict[str, int] = {}
+
+    def _new(self, word: str) -> int:
+        stem, form = (word if word.isalpha() else word.strip("\"'.,;:!?()[]{}#*$%&|<>")).lower(), shape(word)
+        place = self.shapes.get(form)
+        if place is None:
+            place = STEMS + zlib.crc32(form.encode()) % SHAPES
+            if len(self.shapes) < SHAPES:
+                self.shapes[form] = place
+        both = zlib.crc32(stem.encode()) % STEMS << 16 | place
+        if len(word) <= 64:
+            self.known[word] = both
+        return both
 
     def of(self, words: np.ndarray) -> np.ndarray:
         if len(self.known) > CACHE:
             self.known.clear()
-        out = np.empty((len(words), 2), dtype=np.int64)
-        for k, word in enumerate(words):
-            found = self.known.get(word)
-            if found is None:
-                stem = word.strip("\"'.,;:!?()[]{}#*$%&|<>").lower()
-                found = zlib.crc32(stem.encode()) % STEMS, STEMS + zlib.crc32(shape(word).encode()) % SHAPES
-                if len(word) <= 64:
-                    self.known[word] = found
-            out[k] = found
-        return out
+        found = list(map(self.known.get, words))
+        both = np.array([self._new(w) if f is None else f for w, f in zip(words, found)], dtype=np.int64)
+        return np.stack([both >> 16, both & 0xFFFF], axis=1)
 
 
 def _chunks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -86,27 +98,33 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> for each bucket the sum of the index vectors of its neighbours, for one task."""
-    index = index_vectors().astype(np.int64)
-    total = np.zeros((STEMS + SHAPES) * DIM, dtype=np.int64)
-    places = [np.nonzero(index[b])[0] for b in range(len(index))]
-    where = np.array(places, dtype=np.int64)
-    signs = np.take_along_axis(index, where, axis=1)
+    """Texts -> for each bucket the sum of the index vectors of its neighbours, for one task.
+
+    Within a chunk sums are whole numbers far below 2 ** 24, so single precision is exact there."""
+    index = index_vectors()
+    total = np.zeros((STEMS + SHAPES, DIM), dtype=np.int64)
     buckets = Buckets()
     for batch in batches:
-        for owner, words in _chunks(batch.column(0).to_pylist()):
-            codes, unique = pd.factorize(words)
-            pair = buckets.of(unique)[codes]
-            same = owner[1:] == owner[:-1]
-            for target, context in ((pair[:-1][same], pair[1:][same]), (pair[1:][same], pair[:-1][same])):
-                for t in range(2):
-                    for c in range(2):
-                        flat = target[:, t, None] * DIM + where[context[:, c]]
-                        total += np.bincount(flat.ravel(), weights=signs[context[:, c]].ravel(), minlength=len(total)).astype(np.int64)
-    sums = total.reshape(-1, DIM)
-    seen = np.flatnonzero(sums.any(axis=1))
+        for at in range(0, batch.num_rows, 512):
+            for owner, words in _chunks(batch.column(0).slice(at, 512).to_pylist()):
+                codes, unique = pd.factorize(words)
+                pair = buckets.of(unique)
+                none = len(unique)  # stands for no neighbour
+                own = np.vstack([index[pair[:, 0]] + index[pair[:, 1]], np.zeros((1, DIM), dtype=np.float32)])
+                same = owner[1:] == owner[:-1]
+                before, after = np.full(len(codes), none), np.full(len(codes), none)
+                before[1:][same], after[:-1][same] = codes[:-1][same], codes[1:][same]
+                order = np.argsort(codes, kind="stable")
+                near = own[before[order]]
+                near += own[after[order]]
+                sums = np.add.reduceat(near, np.searchsorted(codes[order], np.arange(none)), axis=0).astype(np.int64)
+                for k in range(2):
+                    by = np.argsort(pair[:, k], kind="stable")
+                    first = np.flatnonzero(np.concatenate(([True], np.diff(pair[by, k]) > 0)))
+                    total[pair[by[first], k]] += np.add.reduceat(sums[by], first, axis=0)
+    seen = np.flatnonzero(total.any(axis=1))
     if len(seen):
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array([r.tobytes() for r in sums[seen].astype("<i8")], pa.binary())], ["bucket", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array([r.tobytes() for r in total[seen].astype("<i8")], pa.binary())], ["bucket", "sums"])
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +165,7 @@ class Pooler:
             seen, counts = np.unique(owner * len(unique) + codes, return_counts=True)
             doc, code = np.divmod(seen, len(unique))
             first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-            sums[doc[first]] += np.add.reduceat(rows[code] * counts[:, None], first, axis=0)
+            sums[doc[first]] += np.add.reduceat(rows[code] * counts[:, None].astype(np.float32), first, axis=0, dtype=np.float64)
             words_in[doc[first]] += np.add.reduceat(counts, first)
             unlike[doc[first]] += np.diff(np.concatenate((first, [len(doc)])))
         n = np.maximum(words_in, 1)

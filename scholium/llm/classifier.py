@@ -100,8 +100,10 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts -> for each bucket the sum of the index vectors of its neighbours, for one task.
 
-    Within a chunk sums are whole numbers far below 2 ** 24, so single precision is exact there."""
+    Sums are made for each unlike word of a chunk from the signed ones of its neighbours, and then added up by bucket."""
     index = index_vectors()
+    where = np.nonzero(index)[1].reshape(len(index), ONES)
+    signs = np.take_along_axis(index, where, axis=1)
     total = np.zeros((STEMS + SHAPES, DIM), dtype=np.int64)
     buckets = Buckets()
     for batch in batches:
@@ -109,15 +111,12 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for owner, words in _chunks(batch.column(0).slice(at, 512).to_pylist()):
                 codes, unique = pd.factorize(words)
                 pair = buckets.of(unique)
-                none = len(unique)  # stands for no neighbour
-                own = np.vstack([index[pair[:, 0]] + index[pair[:, 1]], np.zeros((1, DIM), dtype=np.float32)])
+                places, ones = np.hstack([where[pair[:, 0]], where[pair[:, 1]]]), np.hstack([signs[pair[:, 0]], signs[pair[:, 1]]])
                 same = owner[1:] == owner[:-1]
-                before, after = np.full(len(codes), none), np.full(len(codes), none)
-                before[1:][same], after[:-1][same] = codes[:-1][same], codes[1:][same]
-                order = np.argsort(codes, kind="stable")
-                near = own[before[order]]
-                near += own[after[order]]
-                sums = np.add.reduceat(near, np.searchsorted(codes[order], np.arange(none)), axis=0).astype(np.int64)
+                left, right = codes[:-1][same], codes[1:][same]
+                word, near = np.concatenate((left, right)), np.concatenate((right, left))
+                flat = word[:, None] * DIM + places[near]
+                sums = np.bincount(flat.ravel(), weights=ones[near].ravel(), minlength=len(unique) * DIM).reshape(-1, DIM).astype(np.int64)
                 for k in range(2):
                     by = np.argsort(pair[:, k], kind="stable")
                     first = np.flatnonzero(np.concatenate(([True], np.diff(pair[by, k]) > 0)))

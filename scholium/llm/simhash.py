@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholium.llm.common import cut
-from scholium.llm.components import connected_components
+from scholium.llm.components import connected_components, forest
 
 SHINGLE = 3
 ERRORS = 2
@@ -96,19 +96,6 @@ def trie_links(keys: np.ndarray, roots: list[tuple[int, int, int, int, int, int]
                 stack.append((*part[:4], np.full(len(part[0]), d + 1), part[4]))
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray, parent: np.ndarray) -> np.ndarray:
-    """Roots after the links i-j are added to parent, the roots so far."""
-    while True:
-        a, b = parent[i], parent[j]
-        apart = a != b
-        if not apart.any():
-            return parent
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-        while (up := parent[parent]).tobytes() != parent.tobytes():
-            parent = up
-
-
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows (block, pa, pb, depth, perm, rep) of node pairs -> a spanning forest of their links (a, b)."""
 
@@ -132,7 +119,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     roots.append((lo, mid, mid, hi, d, (a ^ b).bit_count()))
         parent = np.arange(n)
         for i, j in trie_links(keys, roots):
-            parent = _forest(n, i, j, parent)
+            parent = forest(i, j, parent)
         linked = np.flatnonzero(parent != np.arange(n))
         if len(linked):
             return pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[parent[linked]])], ["a", "b"])

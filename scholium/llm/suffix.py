@@ -29,7 +29,7 @@ GROUP = 4096
 #: Bytes of a suffix, the longest segment rounded up to whole words.
 WIDE = 80
 #: Bytes of text that are hashed or sorted at once; texts that a task holds as Python objects at once.
-PIECE, BLOCK, SLICE = 1 << 16, 1 << 20, 512
+PIECE, BLOCK, SLICE = 1 << 16, 1 << 18, 256
 _POS = np.uint64((1 << 18) - 1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.RandomState(7).randint(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -316,7 +316,7 @@ def removed_spans(keyed: DataFrame, by: list[str], group: int = GROUP) -> list[D
         judged = spill(_judged(pieces, _classes(pieces), group))
         discard(pieces)
         found.append(spill(judged.where("late").select(*by, "start", (F.col("start") + F.length("seg")).alias("end")).unionAll(sort(judged.where("not late and not hot")))))
-        hot, width = judged.where("not late and hot"), width // 2
+        hot, width = judged.where("not late and hot"), width // 4
         made.append(judged)
     spans = found[0]
     for table in found[1:]:

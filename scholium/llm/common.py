@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 #: Spark's own setting that shuffle files go at the end of a query.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's own setting of how many rows go to Python at once.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -77,13 +79,17 @@ def end_with_session(spark: SparkSession, path: str) -> None:
 
 
 def with_cleanup(spark: SparkSession, write: Callable[[], None]) -> None:
-    """Runs a write whose shuffle files go when it ends. The setting is the session's and is put back."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    """Runs a write whose shuffle files go when it ends, and which hands rows to Python in small batches, as texts may be long. The
+    settings are the session's and are put back."""
+    held = {CLEANUP: "true", BATCH: "1000"}
+    before = {k: spark.conf.get(k, None) for k in held}
     try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
         write()
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _file(spark: SparkSession, path: str) -> tuple:

@@ -440,7 +440,7 @@ SQL |= {
         SELECT 'p' AS parent, folder, CAST(s AS VARCHAR) AS pmid, chunk_id, sim::DOUBLE AS similarity, CASE WHEN s < 30 THEN 'd' || (s % 4) END AS study_design, CASE WHEN s < 30 THEN s / 4 END::DOUBLE AS effect_size, CASE WHEN s < 20 THEN CASE WHEN s % 2 = 0 THEN 'low' ELSE 'high' END END AS overall_rating,
           CAST(row_number() OVER (PARTITION BY folder ORDER BY sim DESC, CAST(s AS VARCHAR)) AS INTEGER) AS rank FROM b QUALIFY rank <= 20""",
     "extraction_replies": """SELECT CAST(doc_id AS VARCHAR) AS pmid, CASE WHEN doc_id % 3 > 0 THEN 'rct' END AS study_design, CASE WHEN doc_id % 3 > 0 THEN '' END AS population, CASE WHEN doc_id % 3 > 0 THEN doc_id % 500 END::INT AS sample_size, CASE WHEN doc_id % 3 > 0 THEN doc_id % 7 + 0.25 END::DOUBLE AS effect_size, NULL::DOUBLE AS ci_lower, CASE WHEN doc_id % 3 = 0 THEN 'no JSON' END AS raw FROM labels""",
-    "query_replies": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'adults' END AS population, NULL::VARCHAR AS intervention, NULL::VARCHAR AS comparison, CASE WHEN doc_id % 3 = 1 THEN 'o' END AS outcome, CASE doc_id % 3 WHEN 0 THEN 'a AND b' || doc_id WHEN 1 THEN 'q' || doc_id ELSE 'plain words ' || doc_id END AS query FROM labels""",
+    "query_replies": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'adults' ELSE '' END AS population, '' AS intervention, '' AS comparison, CASE WHEN doc_id % 3 = 1 THEN 'o' ELSE '' END AS outcome, CASE doc_id % 3 WHEN 0 THEN 'a AND b' || doc_id WHEN 1 THEN 'q' || doc_id ELSE 'plain words ' || doc_id END AS query FROM labels""",
     "concept_replies": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'one|c' || doc_id WHEN 1 THEN 'a b|c' || doc_id WHEN 2 THEN 'first ' || doc_id || '|second|third' ELSE 'left|right|c' || doc_id END AS concepts FROM labels""",
     "latex_documents": rf"""WITH w AS (SELECT conv_id, turn, '\textit{{w' || regexp_replace(coalesce({_WORDS}[1], ''), '[^A-Za-z]', '', 'g') || '}} \& 5 \% \textbf{{' || turn || '}}' AS x FROM conversations),
         l AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN '\title{{' || x || '}}' WHEN turn % 4 = 1 THEN '\subsection{{' || x || '}}' WHEN turn % 4 = 2 THEN '\begin{{itemize}}' || chr(10) || '  \item ' || x || chr(10) || '\end{{itemize}}' WHEN turn % 4 = 3 THEN x ELSE '\subsection*{{References ' || x || '}}' END AS y FROM w)

@@ -160,11 +160,17 @@ class Pooler:
         for owner, words in _chunks(texts):
             codes, unique = pd.factorize(words)
             pair = self.buckets.of(unique)
-            rows = np.hstack([self.vectors[pair[:, 0]], self.vectors[pair[:, 1]], self.index[pair[:, 1]]])
             seen, counts = np.unique(owner * len(unique) + codes, return_counts=True)
             doc, code = np.divmod(seen, len(unique))
             first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-            sums[doc[first]] += np.add.reduceat(rows[code] * counts[:, None].astype(np.float32), first, axis=0, dtype=np.float64)
+            sums[doc[first], :DIM] += np.add.reduceat(self.vectors[pair[code, 0]] * counts[:, None].astype(np.float32), first, axis=0, dtype=np.float64)
+            # A text has far fewer shapes than words, so their two vectors are added up by shape.
+            shapes, place = np.unique(doc * (STEMS + SHAPES) + pair[code, 1], return_inverse=True)
+            often = np.bincount(place, weights=counts).astype(np.float32)
+            own, shape_of = np.divmod(shapes, STEMS + SHAPES)
+            start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            both = np.hstack([self.vectors[shape_of], self.index[shape_of]]) * often[:, None]
+            sums[own[start], DIM:] += np.add.reduceat(both, start, axis=0, dtype=np.float64)
             words_in[doc[first]] += np.add.reduceat(counts, first)
             unlike[doc[first]] += np.diff(np.concatenate((first, [len(doc)])))
         n = np.maximum(words_in, 1)

@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm import classifier, decontam, licences, packing, quality, simhash, suffix, tokenbin, tokencount, urlfilter
+from scholium.llm import bytebpe, classifier, decontam, licences, packing, quality, simhash, suffix, tokenbin, tokencount, urlfilter
 from scholium.llm.common import end_with_session, read, shared_path, spread
 from scholium.llm.quality import STOP_WORDS
 
@@ -183,6 +183,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality_scores(_documents(spark, sf_dir), read(spark, sf_dir, "labels"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Token count of every document and digests of its ids and of what they decode to."""
+    ranks = Path(tokenizers, "byte_bpe_50k.tiktoken").read_bytes()
+    found = bytebpe.decode(bytebpe.encode(_documents(spark, sf_dir), ranks, BPE_PATTERN), ranks, BPE_PATTERN)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality_rules": op2_quality_rules,
@@ -194,6 +202,7 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 SQL = {
     "op2_quality_rules": _op2_sql(),

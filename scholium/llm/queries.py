@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm import bytebpe, classifier, decontam, licences, packing, quality, simhash, suffix, tokenbin, tokencount, urlfilter
+from scholium.llm import bytebpe, classifier, decontam, licences, packing, quality, simhash, suffix, tokenbin, tokencount, urlfilter, vectorcodes, yinyang
 from scholium.llm.common import end_with_session, read, shared_path, spread
 from scholium.llm.quality import STOP_WORDS
 
@@ -191,6 +191,62 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and sums of distances of every vector."""
+    return yinyang.clusters(read(spark, sf_dir, "embeddings"))
+
+
+def _whole_sql(scale: int, where: str) -> str:
+    """Kept vectors as lists of whole numbers, numbered by r."""
+    return f"""k AS MATERIALIZED (SELECT row_number() OVER () AS r, *, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+   WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND {where})"""
+
+
+def _far(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+#: The floor of s / n for either sign of s.
+_FLOOR = "CAST((s - (s % n + n) % n) // n AS BIGINT)"
+
+
+def _op12_sql() -> str:
+    parts = [f"WITH {_whole_sql(yinyang.SCALE, f'len(embedding) = {yinyang.DIM}')}", "p AS MATERIALIZED (SELECT r, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM k)"]
+    parts.append(f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v AS w FROM k ORDER BY c LIMIT {yinyang.K})")
+    for t in range(yinyang.ROUNDS + 1):
+        parts.append(f"a{t} AS MATERIALIZED (SELECT r, c, d FROM (SELECT r, c, {_far('v', 'w')} AS d FROM k, c{t}) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)")
+        if t < yinyang.ROUNDS:
+            parts.append(f"s{t} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM a{t} JOIN p USING (r) GROUP BY c, i), m{t} AS (SELECT c, list({_FLOOR} ORDER BY i) AS m FROM s{t} GROUP BY c)")
+            parts.append(f"c{t + 1} AS MATERIALIZED (SELECT c, coalesce(m, w) AS w FROM c{t} LEFT JOIN m{t} USING (c))")
+    t = yinyang.ROUNDS
+    return ",\n".join(parts) + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256 FROM a{t} JOIN k USING (r) JOIN c{t} USING (c)"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector, and the error over its label."""
+    return vectorcodes.vector_codes(read(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _op13_sql() -> str:
+    n = vectorcodes.PARTS
+    parts = [f"WITH {_whole_sql(vectorcodes.SCALE, f'len(embedding) % {n} = 0 AND len(embedding) > 0')}"]
+    parts.append(f"x AS MATERIALIZED (SELECT r, p, v[p * len(v) // {n} + 1:(p + 1) * len(v) // {n}] AS q FROM k, range({n}) AS t(p))")
+    parts.append(f"f AS (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k ORDER BY e LIMIT {vectorcodes.ENTRIES})")
+    parts.append("b0 AS MATERIALIZED (SELECT p, e, q AS w FROM f JOIN x USING (r))")
+    for t in range(vectorcodes.ROUNDS + 1):
+        parts.append(f"a{t} AS MATERIALIZED (SELECT r, p, e, d FROM (SELECT r, p, e, {_far('q', 'w')} AS d FROM x JOIN b{t} USING (p)) QUALIFY row_number() OVER (PARTITION BY r, p ORDER BY d, e) = 1)")
+        if t < vectorcodes.ROUNDS:
+            parts.append(f"s{t} AS (SELECT p, e, i, sum(y) AS s, count(*) AS n FROM (SELECT p, e, generate_subscripts(q, 1) AS i, unnest(q) AS y FROM a{t} JOIN x USING (r, p)) GROUP BY p, e, i)")
+            parts.append(f"m{t} AS (SELECT p, e, list({_FLOOR} ORDER BY i) AS m FROM s{t} GROUP BY p, e), b{t + 1} AS MATERIALIZED (SELECT p, e, coalesce(m, w) AS w FROM b{t} LEFT JOIN m{t} USING (p, e))")
+    t = vectorcodes.ROUNDS
+    parts.append(f"y AS (SELECT r, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{t} GROUP BY r)")
+    parts.append(f"h AS (SELECT sha256(string_agg(array_to_string(w, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{t})")
+    return ",\n".join(parts) + """
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM y JOIN k USING (r), h"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality_rules": op2_quality_rules,
@@ -203,6 +259,8 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_vector_codes": op13_vector_codes,
 }
 SQL = {
     "op2_quality_rules": _op2_sql(),
@@ -210,4 +268,6 @@ SQL = {
     "op5_licence_scan": _op5_sql(),
     "op6_url_filter": _op6_sql(),
     "op8_benchmark_decontamination": _op8_sql(),
+    "op12_centroid_clustering": _op12_sql(),
+    "op13_vector_codes": _op13_sql(),
 }

@@ -145,7 +145,7 @@ def clusters(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, dim: int = DI
 
     The first centres are grouped once, on the driver (k vectors). A vector carries an upper bound of the distance to its
     centre and a lower bound for each group from pass to pass, so a pass writes the table once and shuffles nothing; sums change
-    by the vectors that moved alone: k rows a task, added up before they reach the driver. What is sent to tasks is k centres.
+    by the vectors that moved alone: k * (dim + 1) numbers a task, added up before they reach the driver. What is sent to tasks is k centres.
     """
     spark = vectors.sparkSession
     x = F.col("embedding").cast("array<double>")
@@ -164,9 +164,9 @@ def clusters(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, dim: int = DI
             discard(was)
         if not last:
             moved = state.where(F.col("before").isNull() | (F.col("before") != F.col("cluster"))).select("v", "cluster", "before")
-            gain = moved.mapInArrow(_changes(len(centres), dim), "cluster int, gain array<long>").groupBy("cluster").agg(F.array(*(F.sum(F.col("gain")[i]) for i in range(dim + 1))).alias("gain"))
-            for found in gain.collect():
-                totals[found["cluster"]] += np.array(found["gain"], dtype=object)
+            gains = moved.mapInArrow(_changes(len(centres), dim), "cluster int, gain array<long>").select("cluster", F.posexplode("gain").alias("i", "gain"))
+            for c, i, gain in gains.groupBy("cluster", "i").agg(F.sum("gain")).collect():
+                totals[c, i] += gain
             new = np.array([[s // t[-1] for s in t[:-1]] if t[-1] else c for t, c in zip(totals, centres.tolist())], dtype=np.int64).reshape(-1, dim)
             drift = np.sqrt(((new - centres) ** 2).sum(axis=1).astype(np.float64)) * (1 + SLACK)
             centres = new

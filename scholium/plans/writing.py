@@ -29,12 +29,17 @@ def thesis_client(prompt: str, options: dict) -> str:
     return f" {_last(prompt)} "
 
 
+#: The letters that a stand-in client puts in upper case, as any engine does.
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def draft_client(prompt: str, options: dict) -> str:
     last = _last(prompt)
     if prompt.startswith("Polish"):
         if len(last) % 4 == 0:
             raise OSError("no answer")
-        return last.upper()
+        return last.translate(str.maketrans(LOWER, UPPER))
     return ("No direct evidence. " if prompt.startswith("Write a short") else "Draft: ") + last
 
 
@@ -388,7 +393,7 @@ SQL |= {
     "chapter_theses": rf"""WITH w AS (SELECT conv_id, turn, array_to_string({_WORDS}[1:3], ' ') AS x FROM conversations), g AS (SELECT conv_id, arg_max('- ' || x, (turn, x)) AS l FROM w GROUP BY conv_id)
         SELECT CAST(conv_id AS VARCHAR) AS parent, CASE WHEN conv_id % 3 = 0 OR length(l) % 5 = 0 THEN '{compose.NO_THESIS}' ELSE {oracle.strip('l')} END AS thesis FROM g""",
     "section_drafts": rf"""WITH {_FIRST}, e AS (SELECT *, 'Draft: ' || array_to_string({_WORDS.replace('text', 'content')}[1:6], ' ') AS d FROM sec)
-        SELECT section_pos, parent, folder, md5(CASE WHEN section_pos % 3 = 0 THEN 'No direct evidence. Guidance: g' WHEN length(d) % 4 = 0 THEN d ELSE upper(d) END) AS content_md5 FROM e""",
+        SELECT section_pos, parent, folder, md5(CASE WHEN section_pos % 3 = 0 THEN 'No direct evidence. Guidance: g' WHEN length(d) % 4 = 0 THEN d ELSE translate(d, '{LOWER}', '{UPPER}') END) AS content_md5 FROM e""",
     "executive_summary": f"""WITH {_FIRST}, p AS (SELECT * FROM sec ORDER BY section_pos LIMIT {compose.LEADING})
         SELECT md5('Write an executive summary of this review.' || chr(10) || 'Title: T' || chr(10) || string_agg('## ' || parent || chr(10) || '### ' || folder || chr(10) || substr(content, 1, {compose.PREVIEW}) || '...', chr(10) ORDER BY section_pos)) AS summary FROM p""",
     "post_processed": rf"""WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 2 ELSE 3 END AS level, 'turn ' || turn AS heading, {oracle.strip("replace(text, '#', '')")} AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS section_no FROM conversations),

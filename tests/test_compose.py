@@ -148,3 +148,9 @@ def test_a_cluster_needs_a_shared_folder():
     context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: empty)))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default=None: default)))
+
+
+def test_stand_in_writer_upper_cases_ascii_letters_alone():
+    from scholium.plans.writing import draft_client
+
+    assert draft_client("Polish\nstraße é x", {}) == "STRAßE é X"

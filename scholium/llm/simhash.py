@@ -190,34 +190,21 @@ def simhash_components(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
     Texts are lower-cased (A-Z) and cut into words at ASCII white space; a bit of the fingerprint is set if over
     half the XXH64 values (seed 42) of the 3-word shingles set it. Documents are linked at two or fewer differing
     bits; component_id is the smallest doc_id reachable. A null or blank text has fingerprint 0 and is linked like
-    any other; rows that repeat stay; rows with a null doc_id are kept, give no component a name, and get a null
+    any other; rows that repeat stay; rows with a null doc_id are kept and link others, give no component a name, and get a null
     component only where no other id is reachable; no rows give no rows. Other columns are ignored.
 
-    Only (doc_id, fp) pairs are shuffled, never texts; equal fingerprints are one class, so a group of copies of
+    Only (doc_id, fp) pairs are shuffled, never texts; equal fingerprints are one class, named by its fingerprint, so a group of copies of
     any size costs one trie leaf. Documents are joined back with the one row of their class; a class that holds much of the table is a
     skewed join, which Spark splits. A very long text is hashed in pieces of bounded size.
     """
     fps = cut(fingerprints(docs))
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    found = connected_components(links(classes.dropna(), leaf))
-    named = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = connected_components(links(classes.select("fp", F.col("fp").alias("rep")), leaf))
+    joined = cut(classes.join(found, classes.fp == found.node, "left").select("fp", F.coalesce("component", "fp").alias("component"), "least"))
+    smallest = cut(joined.groupBy("component").agg(F.min("least").alias("component_id")))
+    named = joined.join(smallest, "component").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def hex16(fp) -> F.Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id names their component: one document of each group of near duplicates.
-
-    Of rows that repeat one doc_id a single one stays; rows without a doc_id stay.
-    """
-    found = cut(simhash_components(docs))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return kept
-    again = cut(again)
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionAll(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))

@@ -66,13 +66,19 @@ def test_a_long_path_is_one_component(spark):
     assert sorted((r.node, r.component) for r in found) == [*((k, 0) for k in range(n)), (800, 800), (801, 800)]
 
 
-def test_keep_one_of_an_empty_table(make_docs):
-    assert simhash.keep_one(make_docs([])).collect() == []
-
-
-def test_keep_one(make_docs):
-    text = " ".join(f"w{i}" for i in range(50))
-    docs = make_docs([(5, text), (3, text), (4, text.upper()), (9, "other words are here today"), (9, "other words are here today"), (None, None)])
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "9", "None"]
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    """Chains over a fingerprint that only rows without an id have, and ones that no id reaches."""
+    rows = [(1, 0b0), (None, 0b11), (3, 0b1111), (None, 0b111111), (7, 1 << 40), (None, 1 << 40 | 1), (None, 1 << 41), (None, 0b111 << 50), (None, 0b101 << 50), (9, -1), (5, -4)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs)
+    found = simhash.simhash_components(spark.createDataFrame(rows, "doc_id long, fp long")).collect()
+    unsigned = [(i, f % (1 << 64)) for i, f in rows]
+    assert sorted((str(r.doc_id), r.fp, str(r.component_id)) for r in found) == sorted((str(i), f, str(c)) for (i, f), c in zip(rows, brute_components(unsigned)))
+
+
+def test_text_without_an_id_one_bit_from_another(spark, make_docs):
+    """Two texts whose fingerprints are near, the first of them without an id."""
+    base = " ".join(f"w{k}" for k in range(2000))
+    own = simhash.fingerprint(base.encode())
+    near = next(t for t in (base + f" tail{k}" for k in range(500)) if 1 <= (simhash.fingerprint(t.encode()) ^ own).bit_count() <= 2)
+    found = simhash.simhash_components(make_docs([(None, base), (7, near)])).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(None, 7), (7, 7)}

@@ -40,6 +40,13 @@ def main(args: list[str] | None = None) -> int:
     for name in ("--studies", "--topic", "--run", "--output", "--model"):
         pico.add_argument(name, required=True)
     pico.add_argument("--url", default="http://127.0.0.1:11434")
+    online = commands.add_parser("online", help="search for a topic's articles, then as systematic")
+    for name in ("--topic", "--email", "--run", "--output", "--model"):
+        online.add_argument(name, required=True)
+    online.add_argument("--url", default="http://127.0.0.1:11434")
+    online.add_argument("--api-key", default="")
+    online.add_argument("--most", type=int, help="hits to fetch; all of them if not given")
+    online.add_argument("--rate", type=float, default=3.0, help="requests a second that all tasks make at most")
     args = parser.parse_args(args)
     spark = SparkSession.builder.appName("scholium").getOrCreate()
     if args.command == "md2latex":
@@ -70,6 +77,16 @@ def main(args: list[str] | None = None) -> int:
         Path(args.output).write_text(text, encoding="utf-8")
         return 0
 
+    if args.command == "online":
+        from scholium.operators.replies import streaming_client
+        from scholium.plans.review import Run
+        from scholium.plans.systematic import run_online
+        from scholium.sources.search import Entrez
+
+        text = run_online(Run(spark, args.run), args.topic, Entrez(args.email, args.api_key), streaming_client(args.url, args.model), args.most, rate=args.rate)
+        Path(args.output).write_text(text, encoding="utf-8")
+        return 0
+
     from scholium.operators import dedup, screening
     from scholium.plans import analysis
     from scholium.plans.review import Run

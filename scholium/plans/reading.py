@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,32 +91,53 @@ def filename_fields(spark, sf):
     return read_table(spark, sf, "documents").select("doc_id", T.filename_author(stem).alias("author"), T.filename_year(stem).alias("year"))
 
 
-def _fetched(ids: list[str]) -> str:
-    """A stand-in for the article server: fails for batches whose least id leaves 1 when divided by three."""
-    if min(map(int, ids)) % 3 == 1:
-        raise OSError("no answer")
-    return "".join(f"<PubmedArticle><MedlineCitation><PMID>{int(i) // 2}</PMID><Article><ArticleTitle>T{i}</ArticleTitle></Article></MedlineCitation></PubmedArticle>" for i in ids)
+class Shelf:
+    """A stand-in for the article server with so many articles, numbered from 0, two to a pmid, one published a day. It reaches no
+    more than 40 hits of a search, fails once for each page that begins with an odd number, and always for pages whose number of a first article
+    leaves 1 when divided by three."""
+
+    reach = 40
+
+    def __init__(self, total: int):
+        self.total, self.asked = total, set()
+
+    def search(self, query, first, last):
+        lo, hi = 0, self.total
+        if first is not None:
+            lo, hi = ((d - search.OLDEST).days for d in (first, last + timedelta(days=1)))
+        lo, hi = min(lo, self.total), min(hi, self.total)
+        return hi - lo, {"first": lo}
+
+    def page(self, handle, start, size):
+        first = handle["first"] + start
+        again = first in self.asked
+        self.asked.add(first)
+        if first % 3 == 1 or first % 2 and not again:
+            raise OSError("no answer")
+        return "".join(f"<PubmedArticle><MedlineCitation><PMID>{i // 2}</PMID><Article><ArticleTitle>T{i}</ArticleTitle></Article></MedlineCitation></PubmedArticle>" for i in range(first, first + size))
 
 
 def _search(spark, sf):
-    ids = [str(r[0]) for r in read_table(spark, sf, "events").select("user_id").distinct().orderBy("user_id").collect()]  # what the search server answers
-    return search.search_articles(spark, "users", lambda q, limit: ids[:limit], _fetched, max_results=1_000_000)
+    """As many articles as there are users, in pages of 7, of searches cut by date."""
+    total = read_table(spark, sf, "events").select("user_id").distinct().count()
+    return search.search_articles(spark, "users", Shelf(total), size=7, wait=0.0, today=search.OLDEST + timedelta(days=2 * total))
 
 
 @query
 def article_search(spark, sf):
-    """Users as ids; two ids share a pmid, so the first of them stays."""
+    """An article for each user, page by page; two share a pmid, so the first of them stays."""
     return _search(spark, sf)[0].select("pmid", "title")
 
 
 @query
 def article_search_log(spark, sf):
-    """Ids, articles and failed batches of the search."""
+    """Hits, articles and failed pages of the search."""
     return _search(spark, sf)[1]
 
 
 S = f"WITH {oracle.STUDIES}"
-_BATCHES = "ids AS (SELECT DISTINCT user_id AS u FROM events), b AS (SELECT u, (row_number() OVER (ORDER BY u) - 1) // 50 AS batch FROM ids), good AS (SELECT *, min(u) OVER (PARTITION BY batch) % 3 <> 1 AS ok FROM b)"
+_PAGES = f"""RECURSIVE t AS (SELECT count(DISTINCT user_id) AS n FROM events), cut(a, b) AS (SELECT 0::BIGINT, 2 * n FROM t UNION ALL SELECT unnest([a, a + (b - a) // 2 + 1]), unnest([a + (b - a) // 2, b]) FROM cut, t WHERE least(b + 1, n) - least(a, n) > {Shelf.reach}),
+        s AS (SELECT a, least(b + 1, n) - least(a, n) AS hits FROM cut, t), p AS (SELECT unnest(range(a, a + hits, 7)) AS first, a + hits AS z FROM s WHERE hits <= {Shelf.reach}), pages AS (SELECT first, least(7, z - first) AS hits, first % 3 <> 1 AS ok FROM p)"""
 _CLEAN = lambda c: oracle.strip(f"translate({c}, '{{}}@' || chr(13), '')")
 _NO_CR = lambda c: f"replace({c}, chr(13), '')"
 
@@ -134,6 +156,6 @@ SQL |= {
         SELECT CAST(item_id AS VARCHAR) AS pmid, CAST(1900 + item_id % 100 AS INTEGER) AS year, 'Doe A' AS authors, 'J' AS journal, md5(t) AS title_md5, md5(x) AS abstract_md5, md5(t || chr(10) || x) AS raw_md5 FROM r""",
     "filename_fields": r"""WITH s AS (SELECT doc_id, translate(source, '.-', '__') || CASE WHEN doc_id % 3 = 0 THEN '_' ELSE '' END AS a, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 9000 + 1000 AS VARCHAR) ELSE '_x  y' END AS b FROM documents)
         SELECT doc_id, regexp_replace(trim(replace(a || CASE WHEN doc_id % 2 = 0 THEN '' ELSE b END, '_', ' ')), '\s+', ' ', 'g') AS author, CAST(CASE WHEN doc_id % 2 = 0 THEN b END AS INTEGER) AS year FROM s""",
-    "article_search": f"WITH {_BATCHES} SELECT CAST(u // 2 AS VARCHAR) AS pmid, 'T' || min(u) AS title FROM good WHERE ok GROUP BY u // 2",
-    "article_search_log": f"WITH {_BATCHES} SELECT 'users' AS query, CAST(count(*) AS INTEGER) AS total_ids, count(*) FILTER (ok) AS fetched, count(DISTINCT batch) FILTER (NOT ok) AS failed_batches FROM good",
+    "article_search": f"WITH {_PAGES} SELECT CAST(i // 2 AS VARCHAR) AS pmid, 'T' || min(i) AS title FROM (SELECT unnest(range(first, first + hits)) AS i FROM pages WHERE ok) GROUP BY i // 2",
+    "article_search_log": f"WITH {_PAGES} SELECT 'users' AS query, CAST(sum(hits) AS BIGINT) AS total_ids, CAST(sum(hits) FILTER (ok) AS BIGINT) AS fetched, count(*) FILTER (NOT ok) AS failed_batches FROM pages",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from scholium.functions import text as T
 from scholium.operators import compose, dedup, meta, replies, screening
 from scholium.plans import review
+from scholium.sources import search
 
 PICO = ("population", "intervention", "comparison", "outcome")
 
@@ -60,6 +61,23 @@ def run_systematic(run: review.Run, retrieved: DataFrame, topic: str, client, le
     return compose.manuscript(written, topic, counts["included"])
 
 
+def run_online(run: review.Run, topic: str, server: search.Server, client, most: int | None = None, least: int = 3, **how) -> str:
+    """The manuscript of a topic from its search on: the model states the question, the server's hits for its query are
+    fetched page by page (how: see search.articles), and the review goes on with them. Articles and the log of the search are stages, so nothing is
+    fetched twice."""
+    pico = question(topic, run, client)
+    found: list[DataFrame] = []
+
+    def fetch(which: int) -> DataFrame:
+        if not found:
+            found.extend(search.search_articles(run.spark, pico["query"], server, most, **how))
+        return found[which]
+
+    retrieved = run.stage("retrieved", lambda: fetch(0))
+    run.stage("search_log", lambda: fetch(1))
+    return run_systematic(run, retrieved, topic, client, least)
+
+
 def replies_of(studies: DataFrame, client) -> DataFrame:
     """Extractions and errors as one table, so that a stage keeps both."""
     good, bad = extracted(studies, client)

@@ -93,11 +93,6 @@ def test_pdf_conversion_goes_on_where_it_stopped(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(out).collect()) == ["a", "b"]
 
 
-def test_search_without_results(spark):
-    studies, log = search.search_articles(spark, "q", lambda q, limit: [], lambda ids: "")
-    assert studies.collect() == [] and log.first().asDict() == {"query": "q", "total_ids": 0, "fetched": 0, "failed_batches": 0}
-
-
 def test_run_counts_and_tables(spark, tmp_path):
     run = Run(spark, str(tmp_path / "run"))
     rows = run.stage("one", lambda: spark.range(5).where("id > 1"), spark.range(5))

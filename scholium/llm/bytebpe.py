@@ -9,6 +9,7 @@ from functools import lru_cache
 from itertools import accumulate, chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -156,8 +157,9 @@ def bpe(ranks: bytes, pattern: str) -> Bpe:
     return Bpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, pattern)
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
-    """(doc_id, ids array<int>), one row for each row of docs(doc_id, text, ...): the token ids of the whole text.
+def encode(docs: DataFrame, ranks: bytes, pattern: str, back: bool = False) -> DataFrame:
+    """(doc_id, ids array<int>), one row for each row of docs(doc_id, text, ...): the token ids of the whole text; with back also
+    a binary column decoded, what decode() makes of the ids, worked out by the same task.
 
     Each match of pattern is encoded by itself, special tokens are ordinary text. Texts are halved down to LEAF characters
     and matches to ATOM bytes; each half is encoded alone. Null and empty texts have no ids; null and repeated doc_ids keep
@@ -171,9 +173,13 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
         encoder = bpe(*shared.value)
         for part in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
             ids = [encoder.encoded(t or "") for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            out = {"doc_id": part.column(0), "ids": pa.array(ids, pa.list_(pa.int32()))}
+            if back:
+                out["decoded"] = pa.array(map(encoder.decoded, ids), pa.binary())
+            yield pa.RecordBatch.from_pydict(out)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encoded, "doc_id long, ids array<int>")
+    schema = "doc_id long, ids array<int>" + ", decoded binary" * back
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encoded, schema)
 
 
 def decode(rows: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
@@ -187,7 +193,10 @@ def decode(rows: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = bpe(*shared.value)
         for part in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
-            out = pa.array([decoder.decoded(ids or ()) for ids in part.column(place).to_pylist()], pa.binary())
+            ids = part.column(place)
+            flat, sizes = ids.flatten().to_pylist(), pc.fill_null(pc.list_value_length(ids), 0).to_pylist()
+            ends = list(accumulate(sizes, initial=0))
+            out = pa.array([decoder.decoded(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([*part.columns, out], [*part.schema.names, "decoded"])
 
     return kept.mapInArrow(decoded, T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())]))

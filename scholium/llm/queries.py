@@ -186,7 +186,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_byte_bpe(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     """Token count of every document and digests of its ids and of what they decode to."""
     ranks = Path(tokenizers, "byte_bpe_50k.tiktoken").read_bytes()
-    found = bytebpe.decode(bytebpe.encode(_documents(spark, sf_dir), ranks, BPE_PATTERN), ranks, BPE_PATTERN)
+    found = bytebpe.encode(_documents(spark, sf_dir), ranks, BPE_PATTERN, back=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -73,6 +73,7 @@ def test_operator(spark, make_docs, corpus):
     got = bytebpe.decode(found, ranks, BPE_PATTERN).collect()
     assert sorted(((r.doc_id, list(r.ids)) for r in got), key=key) == sorted(((i, library.encode_ordinary(t or "")) for i, t in rows), key=key)
     assert sorted(((r.doc_id, bytes(r.decoded)) for r in got), key=key) == sorted(((i, (t or "").encode()) for i, t in rows), key=key)
+    assert sorted(((r.doc_id, list(r.ids), bytes(r.decoded)) for r in bytebpe.encode(docs, ranks, BPE_PATTERN, back=True).collect()), key=key) == sorted(((r.doc_id, list(r.ids), bytes(r.decoded)) for r in got), key=key)
     assert bytebpe.decode(bytebpe.encode(make_docs([]), ranks, BPE_PATTERN), ranks, BPE_PATTERN).collect() == []
     nulls = spark.createDataFrame([(None,), ([],)], "ids array<int>")
     assert [bytes(r.decoded) for r in bytebpe.decode(nulls, ranks, BPE_PATTERN).collect()] == [b"", b""]

@@ -48,16 +48,14 @@ class Book:
             down, up = low[rows, None] - 1 - offsets, high[rows, None] + offsets
             at = np.hstack([down, up])
             inside = np.hstack([down >= first[rows, None], up < last[rows, None]])
-            r, c = np.nonzero(inside)
-            self.evaluated += len(r)
-            entry = at[r, c]
-            far = ((x[rows[r]] - self.entries[entry]) ** 2).sum(axis=1)
-            # Every row that is still here has an entry to look at; of each row's the least comes first.
-            order = np.lexsort((self.order[entry], far, r))
-            head = order[np.flatnonzero(np.diff(r[order], prepend=-1))]
-            seen, d, p = rows[r[head]], far[head], self.order[entry[head]]
-            better = (d < best[seen]) | ((d == best[seen]) & (p < place[seen]))
-            best[seen[better]], place[seen[better]] = d[better], p[better]
+            self.evaluated += np.count_nonzero(inside)
+            at[~inside] = 0
+            far = sum((x[rows, i, None] - self.entries[at, i]) ** 2 for i in range(x.shape[1]))
+            far[~inside] = np.iinfo(np.int64).max
+            d = far.min(axis=1)
+            p = np.where(far == d[:, None], self.order[at], len(self.order)).min(axis=1)
+            better = (d < best[rows]) | ((d == best[rows]) & (p < place[rows]))
+            best[rows[better]], place[rows[better]] = d[better], p[better]
             low[rows] = np.maximum(low[rows] - STEP, first[rows])
             high[rows] = np.minimum(high[rows] + STEP, last[rows])
             reach = np.sqrt(best[rows].astype(np.float64)) * (1 + SLACK) + SLACK * (1 + own[rows])

@@ -88,4 +88,4 @@ def test_rings_are_exact_and_narrow(width, spread):
     plain = ((x[:, None] - entries[None]) ** 2).sum(axis=2)
     assert (place == plain.argmin(axis=1)).all() and (far == plain.min(axis=1)).all()
     if spread == 400 or width == 1:  # among few whole numbers many norms are alike
-        assert book.evaluated < 0.7 * plain.size
+        assert book.evaluated < 0.8 * plain.size

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholium.functions import text as T
-from scholium.operators import markdown, meta, replies, synthesis
+from scholium.operators import markdown, meta, reduction, replies, synthesis
 from scholium.operators.dedup import checkpointed
 
 Client = Callable[[str, dict], str]
@@ -138,18 +138,20 @@ def theme_theses(maps: DataFrame, client: Client) -> DataFrame:
     return asked.select("theme", replies.thesis_reply(T.text_or_empty(F.col("reply"))).alias("t")).select("theme", "t.*")
 
 
-def synthesise_extractions(extractions: DataFrame, client: Client, least: int = 3, level: float = 0.95) -> DataFrame:
+def synthesise_extractions(extractions: DataFrame, client: Client, least: int = 3, level: float = 0.95, budget: int = reduction.BUDGET) -> DataFrame:
     """One row: a meta-analysis if `least` extractions have an effect with its interval, else the model's themes.
 
-    (type, k, pooled_effect, pooled_se, ci_lower, ci_upper, q, i_squared, tau_squared, summary); what does not apply is null.
+    (type, k, pooled_effect, pooled_se, ci_lower, ci_upper, q, i_squared, tau_squared, summary); what does not apply is null. Studies that
+    are more than `budget` characters are condensed level by level first, so no row and no prompt holds all of them.
     """
     numbers = ("pooled_effect", "pooled_se", "ci_lower", "ci_upper", "q", "i_squared", "tau_squared")
     if meta.synthesis_kind(extractions, least) == "meta_analysis":
         found = meta.fixed_effect(extractions, [], level=level)
         return found.select(F.lit("meta-analysis").alias("type"), "k", *numbers, F.lit(None).cast("string").alias("summary"))
     line = F.concat(F.lit("- ["), F.col("pmid"), F.lit("] "), T.text_or_empty(F.col("study_design")), F.lit(": "), T.text_or_empty(F.col("intervention")), F.lit(" → "), T.text_or_empty(F.col("outcome")))
-    lines = extractions.agg(F.count("*").alias("k"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pmid", line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
-    asked = answered(lines, prompt_of("Identify the themes of these studies, where they agree and where they do not.", F.col("lines")), client)
+    parts = extractions.select(F.struct("pmid", line.alias("l")).alias("place"), line.alias("text"))
+    lines = reduction.condensed(parts, "Condense what these studies did and found, and keep their numbers.", client, budget).withColumn("k", F.lit(extractions.count()))
+    asked = answered(lines, prompt_of("Identify the themes of these studies, where they agree and where they do not.", F.col("text")), client)
     return asked.select(F.lit("thematic").alias("type"), "k", *(F.lit(None).cast("double").alias(c) for c in numbers), F.col("reply").alias("summary"))
 
 
@@ -204,11 +206,17 @@ A review of << n_studies >> studies.
 """
 
 
-def manuscript_sections(pico: dict[str, str], extractions: DataFrame, synthesised: DataFrame, counts: dict[str, int], client: Client) -> DataFrame:
+def manuscript_sections(pico: dict[str, str], extractions: DataFrame, synthesised: DataFrame, counts: dict[str, int], client: Client, risk: DataFrame | None = None, budget: int = reduction.BUDGET) -> DataFrame:
     """(name, text) of introduction, methods, results and discussion. pico has topic, population, intervention,
-    comparison, outcome and query; counts has retrieved, deduplicated and included; a failed call leaves a text empty."""
+    comparison, outcome and query; counts has retrieved, deduplicated and included; a failed call leaves a text empty. risk(pmid, overall_rating)
+    adds each study's risk of bias to the results; studies over `budget` characters are condensed level by level."""
     row = F.concat(F.lit("- PMID "), "pmid", F.lit(": "), T.text_or_empty(F.col("study_design")), F.lit(", effect="), F.when(F.col("effect_size").isNotNull(), F.format_string("%.3f", "effect_size")).otherwise("none"))
-    studies = extractions.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pmid", row.alias("l")))), lambda x: x["l"]), "\n").alias("studies"))
+    rows = extractions
+    if risk is not None:
+        rows = extractions.join(risk.groupBy("pmid").agg(F.max("overall_rating").alias("overall_rating")), "pmid", "left")
+        row = F.concat(row, F.lit(", risk of bias="), F.coalesce("overall_rating", F.lit("unclear")))
+    parts = rows.select(F.struct("pmid", row.alias("l")).alias("place"), row.alias("text"))
+    studies = reduction.condensed(parts, "Condense what these studies did and found, and keep their numbers.", client, budget).withColumnRenamed("text", "studies")
     pooled = F.format_string("Pooled effect = %.3f, k = %d, I² = %.1f%%", "pooled_effect", F.col("k").cast("long"), "i_squared")
     both = studies.join(F.broadcast(synthesised.select(F.coalesce(F.when(F.col("type") == "meta-analysis", pooled), F.col("summary"), F.lit("Thematic analysis performed.")).alias("finding"))))
     topic = F.lit(f"Topic: {pico.get('topic', '')}")

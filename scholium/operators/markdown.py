@@ -66,6 +66,12 @@ def assemble(sections: DataFrame, title: str, summary: str = "", limitations: st
     return "\n\n".join(out) + "\n"
 
 
+def write_sections(sections: DataFrame, path: str) -> None:
+    """sections(parent, folder, content) as Markdown files below path/parent_dir=.../folder_dir=..., names made safe."""
+    rows = sections.withColumns({"parent_dir": T.safe_name(F.col("parent")), "folder_dir": T.safe_name(F.col("folder"))})
+    rows.select(F.concat(F.lit("### "), "folder", F.lit("\n\n"), T.strip(T.text_or_empty(F.col("content")))).alias("value"), "parent_dir", "folder_dir").write.mode("overwrite").partitionBy("parent_dir", "folder_dir").text(path)
+
+
 COMMANDS = {1: "section", 2: "subsection", 3: "subsubsection", 4: "paragraph", 5: "subparagraph", 6: "subparagraph"}
 LANGUAGES = {"en": "english", "pt": "brazilian"}
 

@@ -110,3 +110,11 @@ def evidence_package(evidence: DataFrame, chunks: DataFrame, studies: DataFrame)
     line: Column = F.concat(F.lit("[chunk:"), F.col("chunk_id"), F.lit("] "), T.study_citation(F.col("authors"), F.col("year"), F.col("study_pmid")), F.lit(" "), F.col("text"))
     found = rows.select("parent", "folder", "rank", line.alias("line")).groupBy("parent", "folder").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("b"))
     return found.select("parent", "folder", F.array_join(F.transform("b", lambda x: x["line"]), "\n\n").alias("evidence"), F.size("b").alias("n_evidence"))
+
+
+def evidence_pieces(evidence: DataFrame, chunks: DataFrame, studies: DataFrame, sections: DataFrame) -> DataFrame:
+    """(parent, folder, rank, chunk_id, citation, prompt, text): the accepted chunks of each section, one a row, for a judge."""
+    people = studies.select(F.col("pmid").alias("study_pmid"), "authors", "year").dropDuplicates(["study_pmid"])
+    asked = sections.groupBy("parent", "folder").agg(F.min_by("prompt", "section_pos").alias("prompt"))
+    rows = evidence.select("parent", "folder", "rank", "chunk_id").join(chunks.select("chunk_id", "study_pmid", "text"), "chunk_id").join(people, "study_pmid", "left").join(asked, ["parent", "folder"])
+    return rows.select("parent", "folder", "rank", "chunk_id", T.study_citation(F.col("authors"), F.col("year"), F.col("study_pmid")).alias("citation"), F.coalesce("prompt", F.lit("")).alias("prompt"), "text")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from datetime import datetime, timezone
+from inspect import signature
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,13 +29,15 @@ def write_sections(packages: DataFrame, sections: DataFrame, client: Callable[[s
     return drafts.unionByName(bare)
 
 
-def review_loop(drafts: DataFrame, write: Callable[[DataFrame], DataFrame], review: Callable[[DataFrame], DataFrame], rounds: int = 3, accept: float = 7.0) -> DataFrame:
+def review_loop(drafts: DataFrame, write: Callable[[DataFrame], DataFrame], review: Callable[..., DataFrame], rounds: int = 3, accept: float = 7.0) -> DataFrame:
     """drafts(key, content) revised until accepted: review(drafts) -> (key, score, feedback); those below `accept` go with
     their feedback to write(rejected) -> (key, content). A missing score accepts; after `rounds` the last draft stands.
+    A review that takes two arguments is also given what is settled so far (None in the first round).
     Only undecided drafts are asked about again, and each round is checkpointed, so that no model is asked twice, not even for a lost executor."""
     done, todo = None, drafts.select("key", "content")
+    sees_settled = len(signature(review).parameters) > 1
     for k in range(rounds):
-        judged = checkpointed(todo.join(review(todo), "key", "left"))
+        judged = checkpointed(todo.join(review(todo, done) if sees_settled else review(todo), "key", "left"))
         settled = judged.where(F.coalesce(F.col("score") >= accept, F.lit(True)) | F.lit(k == rounds - 1)).select("key", "content", "score", F.lit(k + 1).alias("iterations"))
         done = settled if done is None else done.unionByName(settled)
         if k == rounds - 1:

@@ -54,10 +54,10 @@ def run_systematic(run: review.Run, retrieved: DataFrame, topic: str, client, le
     kept = run.stage("retained", lambda: screening.retained(studies, decisions), studies)
     found = run.stage("extracted", lambda: replies_of(kept, client))
     extractions = found.where("error is null").drop("error", "raw")
-    run.stage("risk_of_bias", lambda: rated(kept, client))
+    risk = run.stage("risk_of_bias", lambda: rated(kept, client))
     pooled = run.stage("pooled", lambda: compose.synthesise_extractions(extractions, client, least))
     counts = {"retrieved": retrieved.count(), "deduplicated": studies.count(), "included": kept.count()}
-    written = run.stage("manuscript", lambda: compose.manuscript_sections(pico, extractions, pooled, counts, client))
+    written = run.stage("manuscript", lambda: compose.manuscript_sections(pico, extractions, pooled, counts, client, risk))
     return compose.manuscript(written, topic, counts["included"])
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from scholium.functions import lexicon
 from scholium.functions import text as T
-from scholium.operators import chunk, compose, coverage, gate, markdown, meta, profile, replies, scope, sections
-from scholium.plans import analysis, oracle, systematic
+from scholium.operators import chunk, compose, coverage, gate, markdown, meta, profile, reduction, replies, scope, sections, synthesis, waves
+from scholium.plans import agents, analysis, oracle, systematic
 from scholium.plans.catalog import SQL, digits, maps_of, query, read_table, studies_of
 
 
@@ -374,6 +374,89 @@ def forest_plot_rows(spark, sf):
     return meta.forest_rows(rows).select("label", digits("effect"), digits("ci_lower"), digits("ci_upper"), digits("weight"))
 
 
+def wave_client(prompt: str, options: dict) -> str:
+    """Drafts carry a digest of what they are told to be covered; concepts are a draft's last three words."""
+    if prompt.startswith("Name"):
+        return ", ".join(_last(prompt).split()[-3:]) + ","
+    told = next((x for x in prompt.split("\n") if x.startswith("Covered before: ")), "")
+    return f"Draft {hashlib.md5(told.encode()).hexdigest()} of a section that is long enough for its concepts to be read from it, namely {_last(prompt)}"
+
+
+#: Waves of the query of covered concepts.
+WAVES = 4
+
+
+def _wave_entries(spark, sf) -> DataFrame:
+    """Conversations as sections of four chapters, about three lettered words of each as evidence; every fifth has none."""
+    words = F.filter(F.transform(T.words(F.col("content")), lambda w: F.regexp_replace(w, "[^A-Za-z]", "")), lambda w: F.length(w) > 2)
+    rows = _first_turns(spark, sf).withColumn("prompt", F.lit("g")).withColumn("evidence", F.when(F.col("section_pos") % 5 > 0, F.array_join(F.slice(words, 1, 3), " ")))
+    return rows.select(F.col("section_pos").cast("int").alias("section_pos"), "parent", "folder", "prompt", "evidence")
+
+
+def _waves(spark, sf, which: int) -> DataFrame:
+    entries = _wave_entries(spark, sf)
+    return waves.write_in_waves(entries, wave_client, together=-(-entries.count() // WAVES), polish=False)[which]
+
+
+@query
+def covered_sections(spark, sf):
+    """Sections written in four waves, each told what earlier ones have covered."""
+    found = _waves(spark, sf, 0)
+    return found.select("section_pos", F.md5("content").alias("content_md5"), F.md5("covered").alias("covered_md5"))
+
+
+@query
+def covered_registry(spark, sf):
+    """The section that covered each concept first."""
+    return _waves(spark, sf, 1).select("concept_key", "concept", "section", F.col("pos.place").alias("place"))
+
+
+@query
+def condensed_texts(spark, sf):
+    """Labels as lines, condensed level by level until one prompt holds what is left."""
+    rows = read_table(spark, sf, "labels").select(F.col("doc_id").alias("place"), F.concat(F.lit("- ["), "doc_id", F.lit("] quality "), "quality", F.lit(", toxic "), "toxic").alias("text"))
+    return reduction.condensed(rows, "Condense", digest, 400)
+
+
+@query
+def merged_agenda(spark, sf):
+    """Gaps of all themes merged by the model; the last reply is an array."""
+    maps = maps_of(spark, sf)
+    gaps = maps.select("theme", F.posexplode("gaps").alias("i", "g")).select(F.struct("theme", "i").alias("pos"), "theme", "g.description", "g.priority")
+    return synthesis.consolidated_agenda(gaps, lambda p, o: f'[{{"description": "{digest(p, o)}", "priority": "alta"}}, {{"description": ""}}]' if p.startswith("Merge these") else digest(p, o), budget=900)
+
+
+@query
+def critical_prompts(spark, sf):
+    """What a critical analysis is told of the studies of a section: benchmark texts of customers' nations."""
+    rows = read_table(spark, sf, "benchmark")
+    i = F.col("item_id")
+    tags = rows.select(F.lit("p").alias("parent"), (i % 3).cast("string").alias("folder"), F.concat(F.lit("s"), (i % 25).cast("string")).alias("study_pmid"), (i * 7 % 101 / 128).alias("similarity"), i.cast("string").alias("chunk_id"))
+    chunks = rows.select(i.cast("string").alias("chunk_id"), "text")
+    nations = read_table(spark, sf, "nation").select(F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("pmid"), "n_nationkey", "n_name")
+    k = F.col("n_nationkey")
+    people = nations.select("pmid", F.when(k % 4 > 0, F.col("n_name")).alias("authors"), F.when(k % 3 > 0, 2000 + k).cast("int").alias("year"))
+    extracted = nations.where("n_nationkey < 20").select("pmid", F.lit("d").alias("study_design"), F.lit(None).cast("double").alias("effect_size"), F.when(k % 2 == 0, "pilot").otherwise("").alias("study_scale"), F.when(k % 5 == 0, "public").alias("funding_source"))
+    risk = nations.where("n_nationkey > 4").select("pmid", F.when(k % 2 == 0, "low").otherwise("high").alias("overall_rating"))
+    return synthesis.study_lines(tags, chunks, people, extracted, risk, 10).select("parent", "folder", F.md5("studies").alias("studies_md5"))
+
+
+@query
+def reviewed_drafts(spark, sf):
+    """Model scores of first turns blended with their gates; some calls fail, some drafts are empty."""
+    rows = _first_turns(spark, sf).select(F.col("section_pos").cast("string").alias("key"), F.when(F.col("section_pos") % 9 > 0, F.concat(F.when(F.col("section_pos") % 2 == 0, "12 K").otherwise("12 K or 13 K"), F.lit(" [chunk:0000000"), F.col("section_pos") % 3, F.lit("] "), F.regexp_replace("content", r"[\d\[\]]", ""))).otherwise(" ").alias("content"))
+    about = rows.select("key", F.lit("t").alias("theme"), F.lit("a thesis").alias("thesis"), F.array(F.lit("the"), F.lit("und")).alias("forbidden_terms"))
+    flags = spark.createDataFrame([("high", ["00000001"]), ("medium", ["00000002"])], "severity string, related_ids array<string>")
+
+    def client(prompt: str, options: dict) -> str:
+        if len(prompt) % 7 == 0:
+            raise OSError("no answer")
+        return f'{{"overall_score": {len(prompt) % 11}, "overall_feedback": "f"}}'
+
+    found = agents.reviewed(rows, about, flags, "(none)", client)
+    return found.select("key", "score", F.md5("feedback").alias("feedback_md5"), F.col("physics_high_flag_hits").cast("long").alias("high_flags"))
+
+
 def _claim(text: str) -> str:
     return f"CASE WHEN regexp_matches({text}, {oracle.q('(?i)' + lexicon.QUANTITY)}) THEN 'quant' WHEN regexp_matches({text}, {oracle.q('(?i)' + lexicon.COMPARISON)}) THEN 'qual' END"
 
@@ -389,6 +472,17 @@ _NINE = (
     ("required_phase_regimes", "doc_id % 7 = 0"), ("forbidden_terms", "doc_id % 29 = 0"), ("required_any_terms", "doc_id % 3 <> 0"),
 )
 
+_SECTIONS = rf"""{_FIRST}, e0 AS (SELECT section_pos, parent, folder, CASE WHEN section_pos % 5 = 0 THEN '' ELSE array_to_string(list_filter(list_transform({_WORDS.replace('text', 'content')}, lambda w: regexp_replace(w, '[^A-Za-z]', '', 'g')), lambda w: length(w) > 2)[1:3], ' ') END AS evidence FROM sec),
+        e1 AS (SELECT *, min(section_pos) OVER (PARTITION BY parent) AS pp, count(*) OVER () AS n FROM e0), e AS (SELECT *, row_number() OVER (ORDER BY pp, section_pos) AS place FROM e1),
+        wv AS (SELECT *, (place - 1) // CAST(ceil(n / {WAVES}) AS BIGINT) AS wave, ' of a section that is long enough for its concepts to be read from it, namely ' AS said FROM e),
+        cs AS (SELECT place, wave, parent || ' / ' || folder AS section, list_filter(list_transform(string_split(array_to_string(string_split(said || evidence, ' ')[-3:], ', ') || ',', ','), lambda x: trim(x)), lambda x: length(x) BETWEEN 2 AND 120) AS xs FROM wv WHERE evidence <> ''),
+        ci AS (SELECT place, wave, section, unnest(xs) AS concept, generate_subscripts(xs, 1) AS i FROM cs),
+        reg AS (SELECT lower(concept) AS concept_key, concept, section, place, wave FROM ci QUALIFY row_number() OVER (PARTITION BY lower(concept) ORDER BY place, i) = 1)"""
+_LEVELS = lambda base, task, budget: f"""RECURSIVE base AS ({base}), lv AS (SELECT 0 AS level, CAST(row_number() OVER (ORDER BY place, text) AS BIGINT) AS place, text FROM base UNION ALL
+        SELECT level + 1, batch, md5('{task}' || chr(10) || string_agg(text, chr(10) ORDER BY place)) FROM (SELECT *, CAST((sum(length(text)) OVER (ORDER BY place) - length(text)) // {budget} AS BIGINT) AS batch, sum(length(text)) OVER () AS size, count(*) OVER () AS n FROM lv) WHERE size > {budget} AND n > 1 GROUP BY level, batch),
+        last AS (SELECT string_agg(text, chr(10) ORDER BY place) AS text FROM lv WHERE level = (SELECT max(level) FROM lv))"""
+_GAPS = """SELECT CAST(doc_id AS VARCHAR) AS place, '- [' || CASE WHEN doc_id % 7 = 0 THEN 'high' ELSE 'low' END || '] (' || doc_id || '): ' || CASE WHEN doc_id % 7 = 0 THEN 'No evidence for this theme.' WHEN doc_id % 5 = 0 THEN 'The synthesis could not be read.' ELSE 'd' END AS text FROM labels"""
+
 SQL |= {
     "chapter_theses": rf"""WITH w AS (SELECT conv_id, turn, array_to_string({_WORDS}[1:3], ' ') AS x FROM conversations), g AS (SELECT conv_id, arg_max('- ' || x, (turn, x)) AS l FROM w GROUP BY conv_id)
         SELECT CAST(conv_id AS VARCHAR) AS parent, CASE WHEN conv_id % 3 = 0 OR length(l) % 5 = 0 THEN '{compose.NO_THESIS}' ELSE {oracle.strip('l')} END AS thesis FROM g""",
@@ -462,4 +556,21 @@ SQL |= {
     "forest_plot_rows": f"""WITH r AS (SELECT c_custkey, (c_acctbal / 1000)::DOUBLE AS e, CASE WHEN c_nationkey < 20 THEN c_acctbal / 1000 + c_nationkey END::DOUBLE AS hi FROM customer WHERE c_nationkey < 20), w AS (SELECT *, pow(CASE WHEN hi - e <= 0 THEN 1e-6 ELSE (hi - e) / (2 * {oracle.H.Z95}) END, -2) AS wt FROM r)
         SELECT CAST(c_custkey AS VARCHAR) AS label, {oracle.sig('e')} AS effect, {oracle.sig('e')} AS ci_lower, {oracle.sig('hi')} AS ci_upper, {oracle.sig('wt')} AS weight FROM w""",
     "gate_reasons": "SELECT CAST(doc_id AS VARCHAR) AS chunk_id, CASE " + " ".join(f"WHEN {test} THEN '{name}'" for name, test in _NINE) + " END AS reason FROM labels",
+    "covered_sections": rf"""WITH {_SECTIONS}, told AS (SELECT w.wave, string_agg(concept || ' (see: ' || section || ')', '; ' ORDER BY concept, section) AS covered FROM (SELECT DISTINCT wave FROM wv) w JOIN (SELECT w.wave AS of, reg.* FROM (SELECT DISTINCT wave FROM wv) w JOIN reg ON reg.wave < w.wave QUALIFY row_number() OVER (PARTITION BY w.wave ORDER BY concept, section) <= {waves.SHOWN}) r ON r.of = w.wave GROUP BY w.wave)
+        SELECT CAST(section_pos AS INTEGER) AS section_pos, md5('Draft ' || md5(CASE WHEN evidence <> '' AND covered IS NOT NULL THEN 'Covered before: ' || covered ELSE '' END) || said || CASE WHEN evidence = '' THEN 'Guidance: g' ELSE evidence END) AS content_md5, md5(coalesce(covered, '')) AS covered_md5 FROM wv LEFT JOIN told USING (wave)""",
+    "covered_registry": rf"""WITH {_SECTIONS} SELECT concept_key, concept, section, CAST(place AS INTEGER) AS place FROM reg""",
+    "condensed_texts": f"""WITH {_LEVELS("SELECT doc_id AS place, '- [' || doc_id || '] quality ' || quality || ', toxic ' || toxic AS text FROM labels", "Condense", 400)} SELECT text FROM last""",
+    "merged_agenda": f"""WITH {_LEVELS(_GAPS, "Merge gaps that are alike. Keep a line for each, with its priority.", 900)}
+        SELECT CAST(1 AS INTEGER) AS rank, md5('Merge these gaps into one agenda, highest priority first, as a JSON array of objects with description, priority and suggested_approach.' || chr(10) || text) AS description, 'alta' AS priority, '' AS suggested_approach FROM last""",
+    "critical_prompts": f"""WITH t AS (SELECT CAST(item_id % 3 AS VARCHAR) AS folder, item_id % 25 AS k, item_id * 7 % 101 / 128 AS sim, CAST(item_id AS VARCHAR) AS c, substr(text, 1, {synthesis.SHOWN}) AS x FROM benchmark), b AS (SELECT folder, k, 's' || k AS pmid, max(sim) AS sim, arg_min(x, (-sim, c)) AS x FROM t GROUP BY folder, k),
+        r AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY sim DESC, pmid) AS rank FROM b),
+        l AS (SELECT folder, rank, '--- (' || CASE WHEN k % 4 > 0 THEN n_name ELSE pmid END || ', ' || CASE WHEN k % 3 > 0 THEN CAST(2000 + k AS VARCHAR) ELSE 'n.d.' END || ') | Scale: ' || CASE WHEN k < 20 AND k % 2 = 0 THEN 'pilot' ELSE 'unknown' END || ' | RoB: ' || CASE WHEN k <= 4 THEN 'unclear' WHEN k % 2 = 0 THEN 'low' ELSE 'high' END
+          || ' | Funding: ' || CASE WHEN k < 20 AND k % 5 = 0 THEN 'public' ELSE 'unknown' END || ' ---' || chr(10) || x AS line FROM r JOIN nation ON n_nationkey = k WHERE rank <= 10)
+        SELECT 'p' AS parent, folder, md5(string_agg(line, chr(10) || chr(10) ORDER BY rank)) AS studies_md5 FROM l GROUP BY folder""",
+    "reviewed_drafts": rf"""WITH {_FIRST}, d AS (SELECT section_pos AS i, CASE WHEN section_pos % 9 = 0 THEN ' ' ELSE CASE WHEN section_pos % 2 = 0 THEN '12 K' ELSE '12 K or 13 K' END || ' [chunk:0000000' || (section_pos % 3) || '] ' || regexp_replace(content, '[\d\[\]]', '', 'g') END AS c FROM sec),
+        g AS (SELECT i, c, length('Score this section from 0 to 10 as JSON with overall_score, overall_feedback and a score and comment for each criterion.' || chr(10) || 'Thesis: a thesis' || chr(10) || 'Approved before:' || chr(10) || '(none)' || chr(10) || substr(c, 1, {agents.DRAFT})) AS n, i % 9 = 0 AS e,
+          round(1 - len(list_filter(['the', 'und'], lambda z: contains(lower(c), z))) / 3, 3) AS con, (i % 9 > 0 AND i % 3 = 1)::BIGINT AS h, CASE WHEN i % 9 = 0 OR i % 2 = 0 THEN 1.0 ELSE 0.5 END AS gr FROM d),
+        s AS (SELECT *, 10 * (con + (1 - 0.25 * h) + gr)::DOUBLE / 3 AS gate FROM g)
+        SELECT CAST(i AS VARCHAR) AS key, CASE WHEN e THEN {agents.EMPTY} WHEN n % 7 = 0 THEN {agents.FAILED} ELSE round(0.7::DOUBLE * (n % 11) + 0.3::DOUBLE * CASE WHEN h > 0 THEN least(gate, 5.0) ELSE gate END, 2) END::DOUBLE AS score,
+          md5(CASE WHEN e THEN '' WHEN n % 7 = 0 THEN 'Review error: no answer' ELSE 'f' || CASE WHEN h > 0 THEN {oracle.q(agents.GUARD)} ELSE '' END END) AS feedback_md5, h AS high_flags FROM s""",
 }

@@ -1,10 +1,9 @@
 """Operators against small hand-made cases and plain-Python folds."""
 
 import random
-
-import pytest
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from scholium.functions import text as T
@@ -82,6 +81,47 @@ def test_similar_pairs_over_several_groups(spark):
     assert routing.similar_pairs(rows.limit(0), 0.5).collect() == []
 
 
+def cosine_brute(rows, threshold):
+    import numpy as np
+
+    pos, v = [p for p, _ in rows], np.array([x for _, x in rows], dtype=float)
+    unit = v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-9)
+    a, b = np.nonzero(np.triu(unit @ unit.T > threshold, 1))
+    return sorted(tuple(sorted((pos[i], pos[j]))) for i, j in zip(a.tolist(), b.tolist()))
+
+
+@pytest.mark.parametrize("threshold, block", [(0.9, 16_384), (0.9, 40), (0.2, 100), (-0.1, 64)])
+def test_similar_pairs_of_clusters_copies_and_short_vectors(spark, monkeypatch, threshold, block):
+    """A third of the rows in one cluster, exact copies, vectors of no length and of hardly any."""
+    import numpy as np
+
+    monkeypatch.setattr(routing, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    mid = rng.normal(size=(12, 6))
+    which = np.where(rng.random(600) < 0.33, 0, rng.integers(12, size=600))
+    rows = [(i * 3, (mid[k] + 0.15 * rng.normal(size=6)).tolist()) for i, k in enumerate(which)]
+    rows += [(5000 + i, rows[i][1]) for i in range(20)] + [(6000 + i, [0.0] * 6) for i in range(9)] + [(7000 + i, (1e-9 * mid[i]).tolist()) for i in range(3)] + [(7100 + i, (1e-4 * mid[i]).tolist()) for i in range(3)]
+    found = routing.similar_pairs(spark.createDataFrame(rows, "pos long, v array<double>").repartition(3), threshold).collect()
+    assert sorted((r.a, r.b) for r in found) == cosine_brute(rows, threshold)
+
+
+def test_clustered_vectors_visit_few_groups():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    mid = rng.normal(size=(40, 32))
+    v = np.repeat(mid, 50, axis=0) + 0.1 * rng.normal(size=(2000, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    frame = pd.DataFrame({"pos": np.arange(2000), "v": list(v), "length": 1.0})
+    pivots = v[rng.choice(2000, 60, replace=False)]
+    own, angle, _ = routing._nearest(frame, pivots)
+    radius, blocks = np.full(61, -np.inf), np.zeros(61, dtype=np.int64)
+    for g in np.unique(own):
+        radius[g], blocks[g] = angle[own == g].max(), 1
+    assert len(routing._dealt(frame, pivots, radius, blocks, float(np.arccos(0.95)))) < 6 * len(frame)  # of 61
+
+
 def test_keep_first_and_last(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, None)], "k string, o int, v string")
     assert {(r.k, r.v) for r in studies.keep_first(rows, ["k"], [F.col("o")]).collect()} == {("a", "x"), ("b", None)}

@@ -48,7 +48,8 @@ def main(args: list[str] | None = None) -> int:
     online.add_argument("--most", type=int, help="hits to fetch; all of them if not given")
     online.add_argument("--rate", type=float, default=3.0, help="requests a second that all tasks make at most")
     args = parser.parse_args(args)
-    spark = SparkSession.builder.appName("scholium").getOrCreate()
+    # Checkpoints that nothing refers to any more go, so that a long run does not fill the shared folder.
+    spark = SparkSession.builder.appName("scholium").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
     if args.command == "md2latex":
         from scholium.operators.markdown import markdown_to_latex
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,11 +13,13 @@ from scholium.functions import lexicon
 from scholium.functions import text as T
 
 
-def ask(rows: DataFrame, prompt: Column, client: Callable[[str, dict], str], options: dict | None = None, cache: DataFrame | None = None, retries: int = 1, model: Column | None = None) -> DataFrame:
+def ask(rows: DataFrame, prompt: Column, client: Callable[[str, dict], str], options: dict | None = None, cache: DataFrame | None = None, retries: int = 1, model: Column | None = None, parallel: int = 1) -> DataFrame:
     """rows with prompt_hash, reply and error: client(prompt, options) for each unlike prompt.
 
     model names a row's own model, which goes to the client as an option. Equal prompts are asked once, and those in cache(prompt_hash, reply) not at all; a call that raises is tried again
-    `retries` times and then leaves its message in `error`. The hash covers prompt, options and model.
+    `retries` times and then leaves its message in `error`. The hash covers prompt, options and model. A task makes `parallel` calls at once
+    at most, so all make that many times the session's cores; the next rows are taken when a batch's calls have ended. client is
+    then called by several threads.
     """
     options = options or {}
     named = F.lit(None).cast("string") if model is None else model
@@ -25,20 +28,23 @@ def ask(rows: DataFrame, prompt: Column, client: Callable[[str, dict], str], opt
     if cache is not None:
         asked = asked.join(cache.select("prompt_hash"), "prompt_hash", "left_anti")
 
+    def one(key: str, text: str, own: str | None) -> tuple:
+        reply, error = None, None
+        chosen = {**options, "model": own} if own else options
+        for _ in range(retries + 1):
+            try:
+                reply, error = client(text, chosen), None
+                break
+            except Exception as e:  # whatever the transport raises becomes a row's error
+                error = str(e)
+        return key, reply, error
+
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for key, text, own in zip(frame["prompt_hash"], frame["prompt"], frame["prompt_model"]):
-                reply, error = None, None
-                chosen = {**options, "model": own} if own else options
-                for _ in range(retries + 1):
-                    try:
-                        reply, error = client(text, chosen), None
-                        break
-                    except Exception as e:  # whatever the transport raises becomes a row's error
-                        error = str(e)
-                out.append((key, reply, error))
-            yield pd.DataFrame(out, columns=["prompt_hash", "reply", "error"])
+        with ThreadPoolExecutor(max_workers=parallel) as pool:
+            for frame in frames:
+                rows = frame["prompt_hash"], frame["prompt"], frame["prompt_model"]
+                out = list(pool.map(one, *rows) if parallel > 1 else map(one, *rows))
+                yield pd.DataFrame(out, columns=["prompt_hash", "reply", "error"])
 
     replies = asked.mapInPandas(call, "prompt_hash string, reply string, error string")
     if cache is not None:

@@ -36,7 +36,7 @@ def read_text_files(spark, sf):
 
 @query
 def read_json_files(spark, sf):
-    """A4: documents as arrays of objects, some with id, some with pmid, some without a title."""
+    """A2: documents as arrays of objects, some with id, some with pmid, some without a title."""
     path = folder(spark)
     fields = F.struct(
         F.when(F.col("pos") % 2 == 0, F.col("pos")).alias("id"), F.concat(F.lit("p"), "pmid").alias("pmid"), F.when(F.col("pos") % 5 > 0, F.col("title")).alias("title"), "abstract", "authors",
@@ -62,7 +62,7 @@ def read_csv_files(spark, sf):
 
 @query
 def read_bibtex_files(spark, sf):
-    """A5: documents as entries."""
+    """A4: documents as entries."""
     path = folder(spark)
     clean = lambda c: T.strip(F.translate(c, "{}@\r", ""))
     entry = F.concat(F.lit("@article{k"), "pmid", F.lit(",\n title = {"), clean("title"), F.lit("},\n Abstract={ "), clean("abstract"), F.lit(" },\n year={"), F.when(F.col("pos") % 3 == 0, (1900 + F.col("pos") % 100).cast("string")).otherwise("n.d."), F.lit("}\n}"))

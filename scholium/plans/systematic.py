@@ -49,6 +49,8 @@ def rated(studies: DataFrame, client) -> DataFrame:
 def run_systematic(run: review.Run, retrieved: DataFrame, topic: str, client, least: int = 3) -> str:
     """The LaTeX manuscript of a systematic review of retrieved(pos, pmid, title, abstract, ...)."""
     pico = question(topic, run, client)
+    given = retrieved
+    retrieved = run.stage("retrieved", lambda: given)  # so that its rows are counted from a table, and read once
     studies = run.stage("studies", lambda: dedup.exact_title_dedup(retrieved), retrieved)
     decisions = run.stage("decisions", lambda: screened(studies, pico, client))
     kept = run.stage("retained", lambda: screening.retained(studies, decisions), studies)

@@ -255,7 +255,7 @@ def evidence_rows(spark, sf):
 
 @query
 def extraction_replies(spark, sf):
-    """Extractions of labels; errors keep the beginning of the reply."""
+    """Extractions of labels; errors keep the beginning of the reply."""
     i = F.col("doc_id")
     clean = F.concat(F.lit('{"study_design": "rct", "population": null, "sample_size": '), (i % 500).cast("string"), F.lit(', "effect_size": '), (i % 7).cast("string"), F.lit('.25, "ci_lower": "x"}'))
     rows = read_table(spark, sf, "labels").select(i.cast("string").alias("pmid"), F.when(i % 3 == 0, "no JSON").when(i % 3 == 1, F.concat(F.lit("```json\n"), clean, F.lit("\n```"))).otherwise(clean).alias("reply"))
@@ -266,7 +266,7 @@ def extraction_replies(spark, sf):
 
 @query
 def query_replies(spark, sf):
-    """Questions in parts, from JSON, from chatter, from nothing."""
+    """Questions in parts, from JSON, from chatter, from nothing."""
     i = F.col("doc_id")
     clean = F.concat(F.lit('{"population": "adults", "query": "a AND b'), i.cast("string"), F.lit('"}'))
     raw = F.when(i % 3 == 0, clean).when(i % 3 == 1, F.concat(F.lit('Well, "Outcome": "o" and "query": "q'), i.cast("string"), F.lit('".'))).otherwise(F.concat(F.lit("plain words "), i.cast("string")))
@@ -325,7 +325,7 @@ def model_screening(spark, sf):
 
 @query
 def extraction_stage(spark, sf):
-    """Extractions and errors of benchmark texts, with their risk of bias."""
+    """Extractions and errors of benchmark texts, with their risk of bias."""
     rows = read_table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("pmid"), F.lit("t").alias("title"), F.col("text").alias("abstract"))
     found = systematic.replies_of(rows, extraction_client)
     return found.join(systematic.rated(rows, extraction_client).select("pmid", "overall_rating"), "pmid").select("pmid", "study_design", "sample_size", F.col("error").isNull().alias("read"), "overall_rating")

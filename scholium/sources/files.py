@@ -50,13 +50,14 @@ def read_json(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """*.csv, each with a header of its own; columns by name, absent ones empty; `id` wins over `pmid` where a file has it.
 
-    Files are parsed without a header, as wide as the widest first line, and every row looks its columns up in its own
-    file's first row, so files may order their columns as they like. The window groups one file's rows, which one task
-    reads anyway.
+    Files are parsed without a header, as wide as the widest first line (which is one line; commas in quotes do not count), and every
+    row looks its columns up in its own file's first row, so files may order their columns as they like. The window groups one
+    file's rows, which one task reads anyway.
     """
     found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").option("ignoreCorruptFiles", "true")
-    heads = found.text(path).select(F.size(F.split("value", ",")).alias("n"))
-    width = heads.agg(F.max("n")).first()[0] or 1
+    lines = found.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
+    heads = lines.groupBy("path").agg(F.min_by("value", "at").alias("head"))
+    width = heads.agg(F.max(1 + F.regexp_count(F.regexp_replace("head", '"(?:[^"]|"")*"', ""), F.lit(",")))).first()[0] or 1
     rows = found.schema(", ".join(f"c{k} string" for k in range(width))).csv(path, header=False, multiLine=True, quote='"', escape='"')
     rows = rows.select(F.array(*(f"c{k}" for k in range(width))).alias("cells"), F.col("_metadata.file_path").alias("path")).withColumn("place", F.monotonically_increasing_id())
     order = W.partitionBy("path").orderBy("place")

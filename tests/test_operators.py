@@ -239,6 +239,34 @@ def test_taxonomies(tmp_path):
     assert load_taxonomy(tmp_path / "bad.json") == load_taxonomy(tmp_path / "none.json") == {}
 
 
+def test_calls_at_once(spark):
+    def client(prompt, options):
+        import threading
+        import time
+
+        state = threading.__dict__.setdefault("calls_at_once", {"lock": threading.Lock(), "now": 0, "most": 0, "seen": set()})
+        with state["lock"]:
+            state["now"] += 1
+            state["most"] = max(state["most"], state["now"])
+            first = prompt not in state["seen"]
+            state["seen"].add(prompt)
+        time.sleep(0.02)
+        with state["lock"]:
+            state["now"] -= 1
+        if prompt.endswith("7") and first:
+            raise OSError("once")
+        if prompt.endswith("9"):
+            raise OSError("always")
+        return f"{prompt} of {state['most']}"
+
+    rows = spark.createDataFrame([(f"p{i}",) for i in range(40)], "q string").coalesce(1)
+    found = replies.ask(rows, F.col("q"), client, parallel=4).collect()
+    assert len(found) == 40 and all((r.error == "always") == r.q.endswith("9") for r in found)
+    assert all(r.reply.split(" of ")[0] == r.q for r in found if r.reply)
+    peak = max(int(r.reply.split(" of ")[1]) for r in found if r.reply)
+    assert 1 < peak <= 4
+
+
 def test_model_calls_and_review_loop(spark, tmp_path):
     def client(prompt, options):
         if "broken" in prompt:

@@ -66,3 +66,10 @@ def test_streams(spark, tmp_path):
     assert sorted(r.pmid for r in spark.sql("select pmid from arrived").collect()) == ["a", "b", "c"]
     events = spark.sql("select timestamp'2024-01-01 00:10:00' as ts, 'click' as event_type, 2.0 as value union all select timestamp'2024-01-01 00:50:00', 'click', 3.0")
     assert [(r.n, float(r.total)) for r in ingest.event_windows(events).collect()] == [(2, 5.0)]
+
+
+def test_csv_width_comes_from_first_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,title,"abstract"\n1,T,' + '"' + "," * 3000 + '"\n2,"x, y",z\n')
+    (tmp_path / "b.csv").write_text('"title, and more",pmid,title\nq,7,U\n')
+    rows = {r.pmid: (r.title, r.abstract) for r in files.read_csv(spark, str(tmp_path)).collect()}
+    assert rows == {"1": ("T", "," * 3000), "2": ("x, y", "z"), "7": ("U", "")}

@@ -12,7 +12,7 @@ from scholium.functions import text as T
 from scholium.operators.dedup import ensure_checkpoint_dir
 from scholium.plans import oracle
 from scholium.plans.catalog import SQL, query, read_table, studies_of
-from scholium.sources import files, search
+from scholium.sources import files, search, store
 
 
 def folder(spark: SparkSession) -> str:
@@ -123,6 +123,18 @@ def _search(spark, sf):
     return search.search_articles(spark, "users", Shelf(total), size=7, wait=0.0, today=search.OLDEST + timedelta(days=2 * total))
 
 
+@query
+def stored_studies(spark, sf):
+    """Documents in three loads under keys that they share; a fourth is interrupted before its manifest."""
+    rows = studies_of(spark, sf).select("pos", (F.col("pos") % 701).cast("string").alias("pmid"), F.md5("title").alias("title_md5"))
+    table = store.Store(spark, folder(spark), "pos long, pmid string, title_md5 string", "pmid", buckets=8)
+    table.insert(rows.where("pos % 3 = 0"))
+    table.insert(rows.where("pos % 3 <> 0"))
+    table._load(rows.select("pos", "pmid", F.lit("lost").alias("title_md5")), True)
+    table.replace(rows.where("pos % 5 = 1"))
+    return table.read()
+
+
 @query
 def article_search(spark, sf):
     """An article for each user, page by page; two share a pmid, so the first of them stays."""
@@ -156,6 +168,9 @@ SQL |= {
         SELECT CAST(item_id AS VARCHAR) AS pmid, CAST(1900 + item_id % 100 AS INTEGER) AS year, 'Doe A' AS authors, 'J' AS journal, md5(t) AS title_md5, md5(x) AS abstract_md5, md5(t || chr(10) || x) AS raw_md5 FROM r""",
     "filename_fields": r"""WITH s AS (SELECT doc_id, translate(source, '.-', '__') || CASE WHEN doc_id % 3 = 0 THEN '_' ELSE '' END AS a, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 9000 + 1000 AS VARCHAR) ELSE '_x  y' END AS b FROM documents)
         SELECT doc_id, regexp_replace(trim(replace(a || CASE WHEN doc_id % 2 = 0 THEN '' ELSE b END, '_', ' ')), '\s+', ' ', 'g') AS author, CAST(CASE WHEN doc_id % 2 = 0 THEN b END AS INTEGER) AS year FROM s""",
+    "stored_studies": f"""{S}, k AS (SELECT pos, CAST(pos % 701 AS VARCHAR) AS pmid, md5(title) AS title_md5 FROM studies), a AS (SELECT * FROM k WHERE pos % 3 = 0 QUALIFY row_number() OVER (PARTITION BY pmid ORDER BY pos) = 1),
+        b AS (SELECT * FROM k WHERE pos % 3 <> 0 AND pmid NOT IN (SELECT pmid FROM a) QUALIFY row_number() OVER (PARTITION BY pmid ORDER BY pos) = 1), c AS (SELECT * FROM k WHERE pos % 5 = 1 QUALIFY row_number() OVER (PARTITION BY pmid ORDER BY pos DESC) = 1)
+        SELECT * FROM c UNION ALL SELECT * FROM (FROM a UNION ALL FROM b) WHERE pmid NOT IN (SELECT pmid FROM c)""",
     "article_search": f"WITH {_PAGES} SELECT CAST(i // 2 AS VARCHAR) AS pmid, 'T' || min(i) AS title FROM (SELECT unnest(range(first, first + hits)) AS i FROM pages WHERE ok) GROUP BY i // 2",
     "article_search_log": f"WITH {_PAGES} SELECT 'users' AS query, CAST(sum(hits) AS BIGINT) AS total_ids, CAST(sum(hits) FILTER (ok) AS BIGINT) AS fetched, count(*) FILTER (NOT ok) AS failed_batches FROM pages",
 }

@@ -309,3 +309,21 @@ def test_reports(spark, tmp_path):
     covered = coverage.coverage(outline, tags)
     assert {r.folder: r.n_chunks for r in covered.collect()} == {"x": 3, "y": 0, "z": 0}
     assert coverage.coverage_summary(covered, chunks).first().sections_without_evidence == 2
+
+
+@pytest.mark.parametrize("guarded", [True, False])
+def test_a_long_outline_is_routed_as_a_short_one(spark, monkeypatch, guarded):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    chunks = spark.createDataFrame([(f"c{i}", "p", "s", f"text {i % 4}", rng.integers(0, 4, 8).astype(float).tolist()) for i in range(60)], "chunk_id string, paper_id string, study_pmid string, text string, v array<double>")
+    entries = [{"parent": "A", "folder": f"f{i}", "prompt": "", "min_similarity": [0.0, 0.7, 0.5][i % 3], "routing_strictness": ["soft", "hard"][i % 2], "required_any_terms": [[], ["text 1"]][i % 5 == 0]} for i in range(23)]
+    vectors = spark.createDataFrame([(i, rng.integers(0, 4, 8).astype(float).tolist()) for i in range(23)], "section_pos int, v array<double>")
+    outline = sections_frame(spark, entries).join(vectors, "section_pos")
+    profiles = spark.createDataFrame([("p", [], [], [], [], [])], "paper_id string, domains array<string>, phase_regimes array<string>, keywords array<string>, working_fluids array<string>, system_topologies array<string>")
+    key = lambda r: (r.chunk_id, r.section_pos)
+    short = sorted(routing.route(chunks, outline, profiles, 0.4, 3, guarded).collect(), key=key)
+    monkeypatch.setattr(routing, "MAX_SECTIONS", 5)
+    monkeypatch.setattr(routing, "SECTION_BLOCK", 6)
+    assert sorted(routing.route(chunks, outline, profiles, 0.4, 3, guarded).collect(), key=key) == short
+    assert len(short) > 100 and any(r.assigned for r in short)

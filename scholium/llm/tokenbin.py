@@ -131,7 +131,7 @@ def write_shards(found: DataFrame, path: str, length: int = LENGTH, shard: int =
 
     Each shard is one range of slots, sorted in one task. The sequences are first written by waves of shards; then each
     wave is read, shuffled and written, and its part and its shuffle files go before the next, so the disk holds the sequences
-    once more than the shards at most. An interrupted write can go on with the shards that are not there. spent is a table of spill() that
+    once more than the shards at most. A write that is interrupted as a whole begins anew, in another folder. spent is a table of spill() that
     found reads; it goes as soon as the waves are written.
     """
     spark = found.sparkSession

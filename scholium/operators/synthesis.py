@@ -53,6 +53,7 @@ def study_lines(tags: DataFrame, chunks: DataFrame, studies: DataFrame, extracti
     people = studies.select("pmid", "authors", "year").dropDuplicates(["pmid"])
     rows = rows.join(more, "pmid", "left").join(people, "pmid", "left").join(chunks.select("chunk_id", F.substring("text", 1, SHOWN).alias("x")), "chunk_id")
     known = lambda c, other: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(other))
+    # Fixed value: the line that heads a study in a critical analysis.
     label = F.concat(F.lit("--- ("), F.coalesce(F.nullif(F.col("authors"), F.lit("")), "pmid"), F.lit(", "), known("year", "n.d."), F.lit(") | Scale: "), known("study_scale", "unknown"), F.lit(" | RoB: "), known("overall_rating", "unclear"), F.lit(" | Funding: "), known("funding_source", "unknown"), F.lit(" ---\n"), "x")
     found = rows.select("parent", "folder", "rank", label.alias("l")).groupBy("parent", "folder").agg(F.array_sort(F.collect_list(F.struct("rank", "l"))).alias("b"))
     return found.select("parent", "folder", F.array_join(F.transform("b", lambda x: x["l"]), "\n\n").alias("studies"))

@@ -13,18 +13,19 @@ from scholium.plans import analysis, review, systematic
 
 #: Sections that a reviewer is shown, and characters of each and of the draft.
 APPROVED, PREVIEW, DRAFT = 15, 300, 4_000
-# What a draft scores whose review fails, and one that is empty.
+# What a draft scores whose review fails, and one that is empty; what stands for sections approved before, and for a thesis.
 FAILED, EMPTY = 8.0, 10.0
+NONE_APPROVED, NO_THESIS = "(no previous sections approved yet)", "(no thesis provided)"
 GUARD = "\n- The section refers to findings with high flags of phase or condition."
 
 
 def approved_text(done: DataFrame | None, outline: DataFrame) -> str:
     """The beginnings of the first APPROVED settled sections in outline order, a line each."""
     if done is None:
-        return "(no previous sections approved yet)"
+        return NONE_APPROVED
     first = done.join(outline.select(F.col("section_pos").cast("string").alias("key"), "section_pos", T.theme_key(F.col("parent"), F.col("folder")).alias("theme")), "key").where(T.strip(F.col("content")) != "")
     rows = first.orderBy("section_pos").limit(APPROVED).select(F.concat(F.lit("["), "theme", F.lit("]: "), T.strip(F.translate(F.substring("content", 1, PREVIEW), "\n", " ")), F.lit("...")).alias("l"))
-    return "\n".join(r["l"] for r in rows.collect()) or "(no previous sections approved yet)"
+    return "\n".join(r["l"] for r in rows.collect()) or NONE_APPROVED
 
 
 def reviewed(rows: DataFrame, about: DataFrame, flags: DataFrame, approved: str, client, allowed: int = 0) -> DataFrame:
@@ -35,7 +36,7 @@ def reviewed(rows: DataFrame, about: DataFrame, flags: DataFrame, approved: str,
     gates = sections.section_quality(told.select(F.col("key").alias("section_id"), "content", F.coalesce("forbidden_terms", F.array().cast("array<string>")).alias("forbidden_terms")), flags)
     gates = gates.select(F.col("section_id").alias("key"), "cross_topic_contamination_score", "physics_consistency_score", "grounding_score", "physics_high_flag_hits")
     empty = T.strip(T.text_or_empty(F.col("content"))) == ""
-    task = compose.prompt_of("Score this section from 0 to 10 as JSON with overall_score, overall_feedback and a score and comment for each criterion.", F.concat(F.lit("Thesis: "), F.coalesce(F.nullif(F.col("thesis"), F.lit("")), F.lit("(no thesis provided)"))), F.lit(f"Approved before:\n{approved}"), F.substring("content", 1, DRAFT))
+    task = compose.prompt_of("Score this section from 0 to 10 as JSON with overall_score, overall_feedback and a score and comment for each criterion.", F.concat(F.lit("Thesis: "), F.coalesce(F.nullif(F.col("thesis"), F.lit("")), F.lit(NO_THESIS))), F.lit(f"Approved before:\n{approved}"), F.substring("content", 1, DRAFT))
     asked = replies.ask(told, task, client).join(gates, "key", "left")
     model = replies.review_reply(F.col("reply"), empty)
     blend = sections.blended_score(model, F.col("cross_topic_contamination_score"), F.col("physics_consistency_score"), F.col("grounding_score"), F.col("physics_high_flag_hits"), allowed)

@@ -12,7 +12,7 @@ COLUMNS = ("pos", "pmid", "title", "authors", "journal", "year", "abstract", "do
 
 def title_and_abstract(raw: Column, stem: Column) -> Column:
     """struct(title, abstract) of a plain text: first line that is not blank (else stem), and the others (else all)."""
-    lines = F.filter(F.transform(F.split(raw, r"\R"), T.strip), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(raw, r"\R"), T.strip_item), lambda x: x != "")
     return T.let(lines, lambda ls: F.struct(F.coalesce(F.get(ls, 0), stem).alias("title"), F.when(F.size(ls) > 1, F.array_join(F.slice(ls, 2, 1_000_000_000), "\n")).otherwise(raw).alias("abstract")))
 
 

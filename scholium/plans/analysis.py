@@ -36,12 +36,18 @@ class Settings:
 class Analysis:
     """Scope, chunks, profiles, flags, tags, gate and coverage of studies against sections (parent, folder, prompt, ...).
 
-    Every result is made when it is first asked for. Studies in scope, chunks, profiles, routed pairs and judged tags, on which
+    Every result is made when it is first asked for. Studies as given and in scope, chunks, profiles, routed pairs and judged tags, on which
     several results rest, are written to the checkpoint folder then; the others are lazy.
     """
 
     def __init__(self, studies: DataFrame, sections: DataFrame, settings: Settings, embed: Callable[[Column], Column]):
-        self.given, self.sections, self.settings, self.embed = spread(studies), sections, settings, embed
+        self.collected, self.sections, self.settings, self.embed = studies, sections, settings, embed
+
+    @cached_property
+    def given(self) -> DataFrame:
+        """The studies as they came, written once: Spark would else push the tests of scope below what makes a study and work its title and
+        abstract out again for each pattern."""
+        return spread(checkpointed(self.collected))
 
     @cached_property
     def scoped(self) -> DataFrame:

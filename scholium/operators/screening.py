@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholium.functions import text as T
+
 
 def _some(text: Column, terms: list[str]) -> Column:
     return F.exists(F.array(*map(F.lit, terms)).cast("array<string>"), lambda t: F.contains(text, t))
@@ -19,18 +21,26 @@ def screen_by_keywords(studies: DataFrame, keywords: list[str], include_rules: l
     n = len(keywords)
     keywords, include_rules, exclude_rules = ([t.lower() for t in ts] for ts in (keywords, include_rules, exclude_rules))
     text = F.lower(F.concat_ws(" ", "title", "abstract"))
-    hits = F.size(F.filter(F.array(*map(F.lit, keywords)).cast("array<string>"), lambda k: F.contains(F.col("low"), k)))
-    rows = studies.select("pos", "pmid", text.alias("low")).select("pos", "pmid", hits.alias("hits"), _some(F.col("low"), include_rules).alias("inc"), _some(F.col("low"), exclude_rules).alias("exc"))
-    score = F.col("hits") / max(n, 1)
-    out, inc, amb = F.col("exc") & ~F.col("inc"), (score >= 0.3) | F.col("inc"), score >= 0.15
+
+    def facts(low: Column) -> Column:
+        hits = F.size(F.filter(F.array(*map(F.lit, keywords)).cast("array<string>"), lambda k: F.contains(low, k)))
+        return F.struct(hits.alias("hits"), _some(low, include_rules).alias("inc"), _some(low, exclude_rules).alias("exc"))
+
+    # One expression over one text: a filter on the decision, which Spark pushes below what makes the text, makes it once.
+    return studies.select("pos", "pmid", T.let(T.let(text, facts), lambda f: _decided(f, n)).alias("d")).select("pos", "pmid", "d.*")
+
+
+def _decided(facts: Column, n: int) -> Column:
+    """struct(decision, confidence, justification) of a study's facts (hits, inc, exc), of n keywords."""
+    score = facts["hits"] / max(n, 1)
+    out, inc, amb = facts["exc"] & ~facts["inc"], (score >= 0.3) | facts["inc"], score >= 0.15
     shown = F.format_string("%.2f", score)
-    return rows.select(
-        "pos", "pmid",
+    return F.struct(
         F.when(out, "exclude").when(inc, "include").when(amb, "ambiguous").otherwise("exclude").alias("decision"),
         F.when(out, 0.8).when(inc, F.least(0.5 + score, F.lit(1.0))).when(amb, score).otherwise(1.0 - score).alias("confidence"),
         # The four justifications.
         F.when(out, "Matched exclusion rule")
-        .when(inc, F.concat(F.lit("Keyword match score: "), shown, F.lit(" ("), F.col("hits").cast("string"), F.lit(f"/{n} keywords)")))
+        .when(inc, F.concat(F.lit("Keyword match score: "), shown, F.lit(" ("), facts["hits"].cast("string"), F.lit(f"/{n} keywords)")))
         .when(amb, F.concat(F.lit("Low keyword match: "), shown, F.lit(" — flagged for review")))
         .otherwise(F.concat(F.lit("Insufficient keyword match: "), shown)).alias("justification"),
     )

@@ -339,3 +339,14 @@ def test_cosines_halfway_between_two_numbers_of_nine_places(spark):
     profiles = spark.createDataFrame([("s", ["english"], [], [], [], [])], "paper_id string, domains array<string>, phase_regimes array<string>, keywords array<string>, working_fluids array<string>, system_topologies array<string>")
     got = routing.route(rows, outline, profiles).collect()
     assert [(r.chunk_id, r.base_similarity, r.assigned) for r in got] == [("c", 0.75, True)]
+
+
+def test_a_filter_on_decisions_makes_the_text_once(spark):
+    """Spark pushes the filter of retained() below the projection that makes title and abstract; they may not be worked out for each keyword."""
+    from scholium.operators import studies
+
+    docs = spark.createDataFrame([(1, "A\nk1 good", "s")], "doc_id long, text string, source string")
+    kept = screening.screen_by_keywords(studies.from_documents(docs), ["k1", "k2", "k3"], ["good"], ["bad"]).where("decision <> 'exclude'")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    condition = next(line for line in plan.splitlines() if "Filter" in line)
+    assert condition.count("split(") <= 2 and kept.head().decision == "include"

@@ -1,4 +1,4 @@
-"""Articles by search as a Python data source: a partition is one page of a search's hits, and no list of ids is kept anywhere."""
+"""Articles by search as a Python data source: a partition is a run of pages of a search's hits, and no list of ids is kept anywhere."""
 
 from __future__ import annotations
 
@@ -22,6 +22,8 @@ from scholium.sources.files import parse_articles
 ARTICLE = r"(?s)<PubmedArticle[ >].*?</PubmedArticle>"
 #: The first day that a search by date begins with.
 OLDEST = date(1800, 1, 1)
+#: Partitions of a search at most; one with more pages than that gets several pages to a partition, as a task costs more than a page.
+PARTITIONS = 512
 
 
 class Server(Protocol):
@@ -38,13 +40,18 @@ class Server(Protocol):
 
 
 @dataclass
-class Page(InputPartition):
+class Page:
     number: int
     handle: dict
     start: int
     size: int
 
 
+@dataclass
+class Run(InputPartition):
+    pages: list[Page]
+
+
 def slices(server: Server, query: str, last: date) -> list[tuple[int, dict]]:
     """(hits, handle) of searches that together have every hit once: a search with more hits than the server reaches is cut in
     halves by date of publication, a single day's hits beyond that being an error rather than lost."""
@@ -72,7 +79,7 @@ class Pages(DataSourceReader):
     def __init__(self, server: Server, query: str, last: date, most: int | None, size: int, retries: int, wait: float, pause: float):
         self.server, self.query, self.last, self.most, self.size, self.retries, self.wait, self.pause = server, query, last, most, size, retries, wait, pause
 
-    def partitions(self) -> list[Page]:
+    def partitions(self) -> list[Run]:
         pages, left = [], self.most
         for hits, handle in slices(self.server, self.query, self.last):
             hits = hits if left is None else min(hits, left)
@@ -80,11 +87,16 @@ class Pages(DataSourceReader):
             pages += [Page(0, handle, at, min(self.size, hits - at)) for at in range(0, hits, self.size)]
         for number, page in enumerate(pages):
             page.number = number
-        return pages or [Page(-1, {}, 0, 0)]  # Spark asks for one at least
+        n = -(-len(pages) // PARTITIONS)
+        return [Run(pages[k : k + n]) for k in range(0, len(pages), n or 1)] or [Run([])]  # Spark asks for one at least
+
+    def read(self, run: Run) -> Iterator[tuple]:
+        for page in run.pages:
+            yield self._read(page)
 
-    def read(self, page: Page) -> Iterator[tuple]:
+    def _read(self, page: Page) -> tuple:
         xml = error = None
-        for k in range((self.retries + 1) * (page.number >= 0)):
+        for k in range(self.retries + 1):
             began = time.monotonic()
             try:
                 xml, error = self.server.page(page.handle, page.start, page.size), None
@@ -93,8 +105,7 @@ class Pages(DataSourceReader):
             time.sleep(max(0.0, self.pause - (time.monotonic() - began)) + (self.wait * 2**k if error is not None and k < self.retries else 0.0))
             if error is None:
                 break
-        if page.number >= 0:
-            yield page.number, page.size, xml, error
+        return page.number, page.size, xml, error
 
 
 def articles(spark: SparkSession, server: Server, query: str, most: int | None = None, size: int = 50, retries: int = 3, wait: float = 1.0, rate: float | None = None, today: date | None = None) -> DataFrame:

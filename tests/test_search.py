@@ -120,3 +120,11 @@ def test_from_a_topic_to_a_manuscript(spark, tmp_path):
     assert stages["retrieved"].count() == 6 and stages["search_log"].first().fetched == 6 and stages["retained"].where(F.col("pmid") == "3").count() == 0
     # A run that is there asks neither server nor model again.
     assert systematic.run_online(run, "heat", None, None) == tex
+
+
+def test_many_pages_share_partitions(monkeypatch):
+    monkeypatch.setattr(search, "PARTITIONS", 3)
+    reader = search.Pages(Stand(list(range(23)), reach=6), "q", LAST, None, 2, 0, 0.0, 0.0)
+    runs = reader.partitions()
+    rows = [r for run in runs for r in reader.read(run)]
+    assert len(runs) <= 3 and [r[0] for r in rows] == list(range(len(rows))) and sum(r[1] for r in rows) == 23

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm import decontam, jaccard, packing, quality, suffix
+from scholium.llm import decontam, jaccard, packing, quality, simhash, suffix
 from scholium.llm.common import discard, read, spill, spread
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -17,8 +17,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by five-word Jaccard similarity of 0.8."""
-    return jaccard.keep_one(docs)
+    """One document, that of the smallest id, of each group linked by SimHash fingerprints, or by five-word Jaccard similarity of 0.8
+    where changes leave fingerprints more than two bits apart."""
+    return jaccard.keep_one(docs, simhash.simhash_components(docs.where("doc_id is not null")))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -208,11 +208,14 @@ def near_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.join(whole, "digest").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """The rows of docs whose doc_id names their component; of rows that repeat one doc_id a single one stays, and rows
-    without a doc_id stay."""
+    without a doc_id stay. others(doc_id, component_id) are components by another method: both methods' links count, together."""
     found = cut(near_components(docs))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    if others is not None:
+        links = found.select("doc_id", "component_id").unionAll(others.select("doc_id", "component_id")).where("doc_id <> component_id")
+        gone = connected_components(links.toDF("a", "b")).where("node <> component").select(F.col("node").alias("doc_id"))
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     again = cut(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionAll(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))

@@ -131,3 +131,17 @@ def test_run_over_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     assert corpus_pipeline.run(spark, sf).collect() == []
+
+
+def test_near_duplicates_by_fingerprint(spark):
+    """Texts of one repeated line with unlike ends have fingerprints within two bits and a Jaccard similarity far below 0.8; c is linked to b by Jaccard
+    alone, and through b to a."""
+    from scholium.llm.simhash import fingerprint
+
+    line = "one two three four five six seven eight nine ten eleven "
+    end = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    a, b, other = line * 60 + end("a", 20), line * 60 + end("b", 20), end("x", 60)
+    c = line + end("b", 20)
+    assert (fingerprint(a.encode()) ^ fingerprint(b.encode())).bit_count() <= 2 < (fingerprint(b.encode()) ^ fingerprint(c.encode())).bit_count()
+    docs = spark.createDataFrame([(1, a, "en", "s", 1), (2, b, "en", "s", 1), (3, c, "en", "s", 1), (4, other, "en", "s", 1), (None, a, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == ["1", "4", "None"]

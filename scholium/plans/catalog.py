@@ -232,8 +232,7 @@ def cosine_topk_sections(spark, sf):
 @query
 def greedy_vector_dedup(spark, sf):
     """The log of the greedy scan."""
-    vectors = _unit(spark, sf)
-    return _rounded(dedup.greedy_dedup(vectors.select("pos"), routing.similar_pairs(vectors, harness.EDGE_SIMILARITY))[1])
+    return _rounded(routing.greedy_vectors(_unit(spark, sf), harness.EDGE_SIMILARITY)[1])
 
 
 @query

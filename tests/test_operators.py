@@ -105,6 +105,72 @@ def test_similar_pairs_of_clusters_copies_and_short_vectors(spark, monkeypatch,
     assert sorted((r.a, r.b) for r in found) == cosine_brute(rows, threshold)
 
 
+def fold_greedy(rows, threshold):
+    """The log of the plain scan over (pos, vector), sums in the order of the coordinates."""
+
+    def added(xs):
+        total = 0.0
+        for x in xs:
+            total += x
+        return total
+
+    def unit(v):
+        norm = added(x * x for x in v) ** 0.5 + 1e-9
+        return [x / norm for x in v]
+
+    rows = sorted((p, unit(v)) for p, v in rows if v and None not in v)
+    kept, log = [], []
+    for pos, v in rows:
+        for earlier, w in kept:
+            similarity = added(x * y for x, y in zip(v, w))
+            if similarity > threshold:
+                log.append((earlier, pos, similarity))
+                break
+        else:
+            kept.append((pos, v))
+    return sorted(log)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.97, -0.1])
+@pytest.mark.parametrize("first, values", [(8_192, 1 << 22), (50, 1 << 22), (150, 600)])
+def test_greedy_vectors_against_a_scan(spark, monkeypatch, threshold, first, values):
+    """Clusters, copies, cosines at the threshold itself, vectors of no length, and such as have none to be compared by; in one round and in many."""
+    import numpy as np
+
+    monkeypatch.setattr(routing, "ROUND", first)
+    monkeypatch.setattr(routing, "VALUES", values)
+    rng = np.random.default_rng(11)
+    mid = rng.normal(size=(9, 6))
+    rows = [(int(p), (mid[k] + 0.3 * rng.normal(size=6)).tolist()) for p, k in zip(rng.permutation(400) * 5 - 700, rng.integers(9, size=400))]
+    rows += [(3000 + i, rows[i * 7][1]) for i in range(30)] + [(-5000 + i, [0.0] * 6) for i in range(4)] + [(4000 + i, (1e-9 * mid[i]).tolist()) for i in range(4)]
+    rows += [(-6000 + i, [float(x) for x in v]) for i, v in enumerate([(3, 4, 0, 0, 0, 0), (1, 0, 0, 0, 0, 0), (0, 0, 3, 4, 0, 0), (0, 0, 1, 0, 0, 0), (6, 8, 0, 0, 0, 0)])]
+    none = [(-7000, None), (-7001, []), (-7002, [1.0, None] + [0.0] * 4), (-7003, [float("nan")] * 6), (-7004, [float("inf")] + [1.0] * 5)]
+    kept, log = routing.greedy_vectors(spark.createDataFrame(rows + none, "pos long, v array<double>").repartition(3), threshold)
+    wanted = fold_greedy(rows, threshold)
+    assert len(wanted) > 40 and sorted(map(tuple, log.collect())) == wanted
+    assert sorted(r.pos for r in kept.collect()) == sorted({p for p, _ in rows + none} - {b for _, b, _ in wanted})
+
+
+def test_greedy_vectors_of_an_empty_table(spark):
+    kept, log = routing.greedy_vectors(spark.createDataFrame([(1, None)], "pos long, v array<double>"), 0.5)
+    assert log.collect() == [] and [r.pos for r in kept.collect()] == [1]
+
+
+def test_greedy_vector_dedup_writes_in_proportion_to_its_table(spark, tmp_path):
+    """3,000 copies have 4.5 million links; what the query writes grows with the rows."""
+    from pathlib import Path
+
+    from scholium.plans import catalog
+
+    spark.range(3_000).selectExpr("id AS vec_id", "array(1.0F, 2.0F, id % 2 / 1e6F) AS embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    written = lambda: sum(p.stat().st_size for p in Path(re.sub("^file:", "", spark.sparkContext._jsc.sc().getCheckpointDir().get())).rglob("part-*"))
+    dedup.ensure_checkpoint_dir(spark)
+    before = written()
+    log = catalog.QUERIES["greedy_vector_dedup"](spark, str(tmp_path)).collect()
+    assert written() - before < 3_000 * 1_000
+    assert sorted((r.kept, r.removed) for r in log) == [(0, b) for b in range(1, 3_000)]
+
+
 def test_clustered_vectors_visit_few_groups():
     import numpy as np
     import pandas as pd
